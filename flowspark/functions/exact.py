@@ -1,71 +1,52 @@
-"""Exact integer arithmetic for sums and squares that outgrow 64 bits."""
+"""Exact integer arithmetic for sums and squares that outgrow 64 bits, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-# Larger than any value a running minimum is taken over; stands for "no value yet".
-UNSET = (1 << 63) - 1
 
+def decimal(value: str, digits: int = 38) -> str:
+    return f"CAST({value} AS DECIMAL({digits},0))"
 
-def decimal(value: Column, digits: int = 38) -> Column:
-    return value.cast(f"decimal({digits},0)")
 
+def square_limbs(value: str, base: int = 1_000_000) -> dict[str, str]:
+    """The three parts of value^2 over ``base`` digits; each sums safely in a bigint for 2^22 rows."""
+    high, low = f"({value} div {base})", f"({value} % {base})"
+    return {"hh": f"{high} * {high}", "hl": f"{high} * {low}", "ll": f"{low} * {low}"}
 
-def int_div(a: Column, b: Column) -> Column:
-    """Integer division of non-negative bigints."""
-    return F.call_function("div", a, b)
 
-
-def floor_quotient(a: Column, b: Column) -> Column:
-    """floor(a / b) for non-negative decimals, as a decimal.
-
-    ``div`` on decimals returns a bigint and wraps when the quotient is larger; decimal division
-    rounds half up in its last digit. So divide, floor, and step back where that rounded up.
-    """
-    q = decimal(F.floor(a / b))
-    return F.when(q * b > a, q - 1).otherwise(q)
-
-
-def int_std(square_sum: Column, total: Column, n: Column) -> Column:
-    """floor(sqrt((square_sum - floor(total^2 / n)) / (n - 1))) with integer divisions; 0 for n < 2.
-
-    ``square_sum`` is a decimal(38,0), ``total`` and ``n`` are bigints. total^2 / n is split into
-    quotient and remainder of total / n, so that no product leaves 38 digits.
-    """
-    safe_n = F.greatest(n, F.lit(1))
-    whole, rest = int_div(total, safe_n), total % safe_n
-    square = decimal(whole, 19) * decimal(total, 19) + decimal(
-        F.call_function("div", decimal(rest, 19) * decimal(total, 19), decimal(safe_n, 19))
-    )
-    spread = decimal(square_sum - decimal(square))
-    variance = floor_quotient(spread, decimal(F.greatest(n - 1, F.lit(1)), 18))
-    return F.when(n > 1, F.floor(F.sqrt(variance.cast("double")))).otherwise(F.lit(0)).cast("bigint")
-
-
-def square_limbs(value: Column, base: int = 1_000_000) -> dict[str, Column]:
-    """The three parts of value^2 over ``base`` digits; each sums safely in a bigint."""
-    high, low = int_div(value, F.lit(base)), value % base
-    return {"hh": high * high, "hl": high * low, "ll": low * low}
-
-
-def join_limbs(hh: Column, hl: Column, ll: Column, base: int = 1_000_000) -> Column:
+def join_limbs(hh: str, hl: str, ll: str, base: int = 1_000_000) -> str:
     """Sum of squares as decimal(38,0) from the summed parts."""
     return decimal(
-        decimal(hh, 20) * F.lit(base * base).cast("decimal(13,0)")
-        + decimal(hl, 20) * F.lit(2 * base).cast("decimal(7,0)")
-        + decimal(ll, 20)
+        f"{decimal(hh, 20)} * {base * base}BD + {decimal(hl, 20)} * {2 * base}BD + {decimal(ll, 20)}"
     )
 
 
-def least_state(level: Column, value: Column) -> Column:
-    """State of a minimum that a zero resets: take ``min`` over it to keep the values of the
-    highest ``level`` (position of the latest zero) and, among those, the smallest."""
-    return F.struct((-F.coalesce(level, F.lit(-1))).alias("level"), F.coalesce(value, F.lit(UNSET)).alias("low"))
-
+def add_int_std(df: DataFrame, spreads: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """Add floor(sqrt((square_sum - floor(total^2 / n)) / (n - 1))), integer divisions, 0 for n < 2.
 
-def least_value(state: Column) -> Column:
-    """The minimum held by :func:`least_state`, 0 when no value followed the latest zero."""
-    low = F.coalesce(state["low"], F.lit(UNSET))
-    return F.when(low == UNSET, F.lit(0)).otherwise(low).cast("bigint")
+    ``spreads`` maps an output column to its (square_sum, total, n) columns: a decimal(38,0) and two
+    bigints. total^2 / n is split into quotient and remainder of total / n, so no product leaves 38
+    digits. The last division may not fit a bigint, so ``div`` is no use there: divide as decimals,
+    floor, and step back where the decimal quotient was rounded up. One projection per step, so
+    that no step's expression is copied into the next.
+    """
+    def whole(total, n):
+        return f"{total} div greatest({n}, 1)"
+
+    def spread(square_sum, total, n, name):
+        rest = f"{decimal(f'{total} - {name}_q * {n}', 19)} * {decimal(total, 19)}"
+        split = f"{decimal(f'{name}_q', 19)} * {decimal(total, 19)}"
+        return f"{square_sum} - {decimal(split)} - {decimal(f'({rest}) div {decimal(f'greatest({n}, 1)', 19)}')}"
+
+    def last(name, n):
+        return f"{decimal(f'greatest({n} - 1, 1)', 18)}"
+
+    df = df.selectExpr("*", *[f"{whole(t, n)} AS {o}_q" for o, (_, t, n) in spreads.items()])
+    df = df.selectExpr("*", *[f"{decimal(spread(s, t, n, o))} AS {o}_d" for o, (s, t, n) in spreads.items()])
+    df = df.selectExpr("*", *[
+        f"{decimal(f'floor({o}_d / {last(o, n)})')} AS {o}_v" for o, (_, _, n) in spreads.items()])
+    return df.selectExpr("*", *[
+        f"CASE WHEN {n} > 1 THEN CAST(floor(sqrt(CAST({o}_v - CASE WHEN {o}_v * {last(o, n)} > {o}_d"
+        f" THEN 1 ELSE 0 END AS DOUBLE))) AS BIGINT) ELSE 0L END AS {o}"
+        for o, (_, _, n) in spreads.items()])

@@ -33,16 +33,18 @@ UP_TO = (Window.unboundedPreceding, 0)
 
 
 def has_flag(mask: int, column: str = "flags") -> Column:
+    """Whether all bits of the mask are set."""
     return F.col(column).bitwiseAND(F.lit(mask)) == mask
 
 
 def flow_key(packets: DataFrame) -> DataFrame:
     """Add the normalised 5-tuple: ends swapped where the destination address sorts first."""
-    swap = F.col("dstip") < F.col("srcip")
-    ends = {"k_ip1": ("srcip", "dstip"), "k_port1": ("srcport", "dstport"),
-            "k_ip2": ("dstip", "srcip"), "k_port2": ("dstport", "srcport")}
-    return packets.withColumns(
-        {k: F.when(swap, F.col(b)).otherwise(F.col(a)) for k, (a, b) in ends.items()}
+    return packets.withColumn("swapped", F.expr("dstip < srcip")).selectExpr(
+        *packets.columns,
+        "CASE WHEN swapped THEN dstip ELSE srcip END AS k_ip1",
+        "CASE WHEN swapped THEN dstport ELSE srcport END AS k_port1",
+        "CASE WHEN swapped THEN srcip ELSE dstip END AS k_ip2",
+        "CASE WHEN swapped THEN srcport ELSE dstport END AS k_port2",
     )
 
 
@@ -57,13 +59,10 @@ def keyed_rows(packets: DataFrame, block_rows: int = BLOCK_ROWS, window_us: int
     key = list(KEY)
     if window_us:
         rows, key = capture_window(rows, window_us), key + ["k_window"]
-    side = F.when(F.col("srcip") == F.col("k_ip1"), 0).otherwise(1)
-    hlen = F.col("iphlen").cast("bigint") + F.col("prhlen")
-    rows = rows.select(
-        *key, side.alias("side"),
-        exact.int_div(F.col("seq"), F.lit(block_rows)).alias("block"),
-        "seq", "ts_us", F.col("len").cast("bigint").alias("len"), hlen.alias("hlen"),
-        F.col("dscp").cast("bigint").alias("dscp"), F.coalesce("flags", F.lit(0)).alias("flags"),
+    rows = rows.selectExpr(
+        *key, "CASE WHEN srcip = k_ip1 THEN 0 ELSE 1 END AS side", f"seq div {block_rows} AS block",
+        "seq", "ts_us", "CAST(len AS BIGINT) AS len", "CAST(iphlen + prhlen AS BIGINT) AS hlen",
+        "CAST(dscp AS BIGINT) AS dscp", "coalesce(flags, 0) AS flags",
     )
     return rows, key
 
@@ -127,11 +126,24 @@ def mark_runs(rows: DataFrame, key: list[str]) -> DataFrame:
 
 # Measures of one side of one segment, by how they merge.
 SUMS = ["n", "vol", "vol2", "hlen", "psh", "urg", "iat_n", "iat_sum", "iat_hh", "iat_hl", "iat_ll"]
-MAXS = ["len_max", "iat_max", "last_ts", "last_seq"]
+MAXS = ["len_max", "len_state", "iat_max", "iat_level", "last_ts", "last_seq"]
 MINS = ["first_ts", "first"]
-# Values whose minimum restarts after a zero.
-RESET = ["len", "iat"]
-DSCP_BASE = 256  # a packet's seq and dscp packed into one bigint: seq * 256 + dscp
+FLAGS = ["valid_hit", "closes"]
+DSCP_BASE = 256  # a packet's seq and dscp in one bigint: seq * 256 + dscp
+# Minima restart after a zero. Their state is the position (seq) of the latest zero and the lowest
+# value since. IP lengths have 16 bits, so for them both fit one bigint: the greatest state has the
+# latest zero and, among equals, the lowest length.
+LEN_BITS = 17
+LEN_NONE = (1 << LEN_BITS) - 1
+
+
+def _window(columns: list[str], order: str = "", frame: str = "") -> str:
+    return f"OVER (PARTITION BY {', '.join(columns)} {order and 'ORDER BY ' + order} {frame})"
+
+
+def _both(template: str) -> list[str]:
+    """A column expression for either side; ``@`` stands for the side number."""
+    return [template.replace("@", str(side)) for side in SIDES]
 
 
 def segments(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -139,59 +151,45 @@ def segments(rows: DataFrame, key: list[str]) -> DataFrame:
 
     Grouped by the block first, so both aggregations run where the rows already are.
     """
-    order = Window.partitionBy(*key, "block").orderBy("seq").rowsBetween(*UP_TO)
-
-    def latest_zero(value):
-        at = [F.max(F.when((F.col(value) == 0) & (F.col("side") == s), F.col("seq"))).over(order) for s in SIDES]
-        return F.when(F.col("side") == 0, at[0]).otherwise(at[1])
-
-    rows = rows.withColumns({f"{v}_zero": latest_zero(v) for v in RESET})
-    one = F.lit(1)
-    iat2 = exact.square_limbs(F.col("iat"))
-    is_tcp = F.col("proto") == TCP
+    so_far = _window([*key, "block"], "seq", "ROWS UNBOUNDED PRECEDING")
+    zeros = [
+        f"max(CASE WHEN {v} = 0 AND side = {s} THEN seq END) {so_far} AS {v}_zero{s}"
+        for v in ("len", "iat") for s in SIDES
+    ]
+    flags = [c for c in FLAGS if c in rows.columns]
     seg = [*key, "block", "l_flow", "l_burst"]
-    by_side = rows.groupBy(*seg, "side", *[f"{v}_zero" for v in RESET]).agg(
-        F.count(one).alias("n"),
-        F.sum("len").alias("vol"),
-        F.sum(F.col("len") * F.col("len")).alias("vol2"),
-        F.sum("hlen").alias("hlen"),
-        F.count_if(is_tcp & has_flag(PSH)).alias("psh"),
-        F.count_if(is_tcp & has_flag(URG)).alias("urg"),
-        F.count("iat").alias("iat_n"),
-        F.sum("iat").alias("iat_sum"),
-        *[F.sum(c).alias(f"iat_{part}") for part, c in iat2.items()],
-        F.max("len").alias("len_max"),
-        F.max("iat").alias("iat_max"),
-        F.max("ts_us").alias("last_ts"),
-        F.max("seq").alias("last_seq"),
-        F.min("ts_us").alias("first_ts"),
-        F.min(F.col("seq") * DSCP_BASE + F.col("dscp")).alias("first"),
-        *[F.min(F.when(F.col(v) != 0, F.col(v))).alias(f"{v}_low") for v in RESET],
-        F.max("gap").alias("gap"),
-        *[F.max(c).alias(c) for c in ("valid_hit", "closes") if c in rows.columns],
+    leveled = rows.selectExpr("*", *zeros).selectExpr(
+        *rows.columns,
+        "CASE side WHEN 0 THEN iat_zero0 ELSE iat_zero1 END AS iat_level",
+        f"shiftleft(coalesce(CASE side WHEN 0 THEN len_zero0 ELSE len_zero1 END, -1L), {LEN_BITS})"
+        f" + CASE WHEN len = 0 THEN 0 ELSE {LEN_NONE} - len END AS len_state",
+        *[f"{part} AS iat_{name}" for name, part in exact.square_limbs("iat").items()],
     )
-
-    def sided(side, fn, column):
-        return fn(F.when(F.col("side") == side, F.col(column))).alias(f"s{side}_{column}")
-
-    sides = []
-    for s in SIDES:
-        sides += [sided(s, F.sum, c) for c in SUMS]
-        sides += [sided(s, F.max, c) for c in MAXS]
-        sides += [sided(s, F.min, c) for c in MINS]
-        for v in RESET:
-            state = F.when(F.col("side") == s, exact.least_state(F.col(f"{v}_zero"), F.col(f"{v}_low")))
-            sides += [F.min(state).alias(f"s{s}_{v}_state")]
+    e = F.expr
+    by_side = leveled.groupBy(*seg, "side", "iat_level").agg(
+        e("count(1) AS n"), e("sum(len) AS vol"), e("sum(len * len) AS vol2"), e("sum(hlen) AS hlen"),
+        e(f"count_if(proto = {TCP} AND flags & {PSH} = {PSH}) AS psh"),
+        e(f"count_if(proto = {TCP} AND flags & {URG} = {URG}) AS urg"),
+        e("count(iat) AS iat_n"), e("sum(iat) AS iat_sum"),
+        e("sum(iat_hh) AS iat_hh"), e("sum(iat_hl) AS iat_hl"), e("sum(iat_ll) AS iat_ll"),
+        e("max(len) AS len_max"), e("max(len_state) AS len_state"), e("max(iat) AS iat_max"),
+        e("min(nullif(iat, 0)) AS iat_low"),
+        e("max(ts_us) AS last_ts"), e("max(seq) AS last_seq"), e("min(ts_us) AS first_ts"),
+        e(f"min(seq * {DSCP_BASE} + dscp) AS first"), e("max(gap) AS gap"),
+        *[e(f"max({c}) AS {c}") for c in flags],
+    )
+    sided = [
+        f"{fn}(CASE WHEN side = @ THEN {c} END) AS s@_{c}"
+        for fn, names in (("sum", SUMS), ("max", MAXS), ("min", MINS)) for c in names
+    ]
+    sided.append("max_by(iat_low, CASE WHEN side = @ THEN coalesce(iat_level, -1) END) AS s@_iat_low")
     return by_side.groupBy(*seg).agg(
-        *sides,
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-        F.min(exact.int_div(F.col("first"), F.lit(DSCP_BASE))).alias("first_seq"),
-        F.min("first").alias("first"),
+        *[e(x) for template in sided for x in _both(template)],
+        e("min(first_ts) AS first_ts"), e("max(last_ts) AS last_ts"), e("max(last_seq) AS last_seq"),
+        e("min(first) AS first"), e(f"min(first) div {DSCP_BASE} AS first_seq"),
         # Only the packet that opens a burst inside a flow has waited through an idle gap.
-        F.max(F.when(F.col("l_burst").isNotNull() & (F.col("l_burst") != F.coalesce("l_flow", F.lit(-1))),
-                     F.col("gap"))).alias("max_gap"),
-        *[F.max(c).alias(c) for c in ("valid_hit", "closes") if c in by_side.columns],
+        e("max(CASE WHEN l_burst <> coalesce(l_flow, -1) THEN gap END) AS idle"),
+        *[e(f"max({c}) AS {c}") for c in flags],
     )
 
 
@@ -201,188 +199,146 @@ def settle_segments(segs: DataFrame, key: list[str]) -> DataFrame:
     Only segments that continue an earlier block, or end one, take part in the walk along the key
     (at most one per block plus the bursts of flows that cross an edge); the others are spread.
     """
-    block = Window.partitionBy(*key, "block").orderBy("first_seq")
-    segs = segs.withColumns({
-        "ends_block": F.lead("first_seq").over(block).isNull(),
-        "block_flow": F.max("l_flow").over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-    })
-    edge = F.col("l_flow").isNull() | F.col("ends_block")
-    segs = segs.withColumn("carry_group", F.when(edge, F.lit(CARRIED)).otherwise(F.col("block")))
-    along = Window.partitionBy(*key, "carry_group").orderBy("first_seq")
-
-    def last_of(side):
-        here = F.struct(F.col(f"s{side}_last_seq").alias("seq"), F.col(f"s{side}_last_ts").alias("ts_us"))
-        return F.last(F.when(F.col(f"s{side}_n") > 0, here), ignorenulls=True)
-
-    segs = segs.select(
+    block = _window([*key, "block"])
+    segs = segs.selectExpr(
+        "*", f"max(l_flow) {block} AS block_flow", f"max(last_seq) {block} AS block_end"
+    ).selectExpr(
+        "*", f"CASE WHEN l_flow IS NULL OR last_seq = block_end THEN {CARRIED} ELSE block END AS carry_group"
+    )
+    before = _window([*key, "carry_group"], "first_seq", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    after = _window([*key, "carry_group"], "first_seq", "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING")
+    last = "last_value(CASE WHEN s@_n > 0 THEN struct(s@_last_seq AS seq, s@_last_ts AS ts) END, true)"
+    segs = segs.selectExpr(
+        "*", f"max(l_flow) {before} AS c_flow", f"max(l_burst) {before} AS c_burst",
+        f"max(l_flow) {after} AS next_flow", *_both(f"{last} {before} AS c_last@"),
+    ).selectExpr(
+        "*", "coalesce(l_flow, c_flow) AS flow_seq", "coalesce(l_burst, c_burst) AS burst_seq"
+    ).selectExpr(
         "*",
-        F.max("l_flow").over(along.rowsBetween(*BEFORE)).alias("c_flow"),
-        F.max("l_burst").over(along.rowsBetween(*BEFORE)).alias("c_burst"),
-        *[last_of(s).over(along.rowsBetween(*BEFORE)).alias(f"c_last{s}") for s in SIDES],
-        F.max("l_flow").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("next_flow"),
+        "coalesce(next_flow > flow_seq, false) OR coalesce(block_flow > flow_seq, false) AS followed",
+        *_both("coalesce(l_burst IS NULL AND c_last@.seq >= burst_seq, false) AS running@"),
+    ).selectExpr(
+        "*",
+        *_both("CASE WHEN running@ AND s@_n > 0 THEN s@_first_ts - c_last@.ts END AS edge@"),
+        # The first packet of this side in its burst may set the dscp.
+        *_both(f"CASE WHEN NOT running@ AND s@_first % {DSCP_BASE} <> 0 THEN s@_first END AS s@_dscp"),
     )
-    segs = segs.withColumns({
-        "flow_seq": F.coalesce("l_flow", "c_flow"), "burst_seq": F.coalesce("l_burst", "c_burst"),
-    })
-    later = F.coalesce(F.col("next_flow") > F.col("flow_seq"), F.lit(False)) | F.coalesce(
-        F.col("block_flow") > F.col("flow_seq"), F.lit(False)
+    flags = [c for c in FLAGS if c in segs.columns]
+    same = ["n", "vol", "vol2", "hlen", "psh", "urg", "len_max", "len_state", "last_seq", "first", "dscp"]
+    fixed = [f"s@_{c}" for c in same] + [
+        "s@_iat_n + CASE WHEN edge@ IS NULL THEN 0 ELSE 1 END AS s@_iat_n",
+        "coalesce(s@_iat_sum, 0) + coalesce(edge@, 0) AS s@_iat_sum",
+        "greatest(s@_iat_max, edge@) AS s@_iat_max",
+        # An edge gap comes before the gaps of its segment: a zero among those makes it void.
+        f"CASE WHEN s@_iat_level IS NULL AND edge@ = 0 THEN s@_first div {DSCP_BASE}"
+        " ELSE s@_iat_level END AS s@_iat_level",
+        "CASE WHEN s@_iat_level IS NULL AND edge@ <> 0 THEN least(s@_iat_low, edge@)"
+        " ELSE s@_iat_low END AS s@_iat_low",
+    ] + [
+        f"coalesce(s@_iat_{name}, 0) + coalesce({part}, 0) AS s@_iat_{name}"
+        for name, part in exact.square_limbs("edge@").items()
+    ]
+    return segs.selectExpr(
+        *key, "flow_seq", "burst_seq", "first_seq", "first", "first_ts", "last_ts", "idle", "followed",
+        *flags, *[x for template in fixed for x in _both(template)],
     )
-    out = {"followed": later}
-    for s in SIDES:
-        last = F.col(f"c_last{s}")
-        running = F.col("l_burst").isNull() & (last["seq"] >= F.col("burst_seq"))
-        gap = F.when(running & (F.col(f"s{s}_n") > 0), F.col(f"s{s}_first_ts") - last["ts_us"])
-        first = F.col(f"s{s}_first")
-        out[f"s{s}_edge"] = gap
-        # The first packet of this side in its burst may set the dscp.
-        out[f"s{s}_dscp"] = F.when(~F.coalesce(running, F.lit(False)) & (first % DSCP_BASE != 0), first)
-    segs = segs.withColumns(out)
-
-    fixed = {}
-    for s in SIDES:
-        edge_gap = F.col(f"s{s}_edge")
-        parts = exact.square_limbs(edge_gap)
-        state = F.col(f"s{s}_iat_state")
-        unreset = state["level"] == 1  # no zero in this segment: the edge gap still counts
-        at_first = exact.int_div(F.col(f"s{s}_first"), F.lit(DSCP_BASE))
-        fixed |= {
-            f"s{s}_iat_n": F.col(f"s{s}_iat_n") + edge_gap.isNotNull().cast("bigint"),
-            f"s{s}_iat_sum": F.coalesce(f"s{s}_iat_sum", F.lit(0)) + F.coalesce(edge_gap, F.lit(0)),
-            f"s{s}_iat_max": F.greatest(F.col(f"s{s}_iat_max"), edge_gap),
-            f"s{s}_iat_state": F.when(
-                unreset & edge_gap.isNotNull(),
-                F.when(edge_gap == 0, exact.least_state(at_first, state["low"]))
-                .otherwise(exact.least_state(F.lit(-1), F.least(state["low"], edge_gap))),
-            ).otherwise(state),
-        }
-        fixed |= {
-            f"s{s}_iat_{p}": F.coalesce(f"s{s}_iat_{p}", F.lit(0)) + F.coalesce(c, F.lit(0))
-            for p, c in parts.items()
-        }
-    return segs.withColumns(fixed)
 
 
 def flow_rows(segs: DataFrame, key: list[str]) -> DataFrame:
     """Merge settled segments into one row per flow, still with sides instead of directions."""
+    e = F.expr
     flow = [*key, "flow_seq"]
-    order = Window.partitionBy(*flow).orderBy("first_seq").rowsBetween(*UP_TO)
-    leveled = {}
-    for s in SIDES:
-        for v in RESET:
-            state = F.col(f"s{s}_{v}_state")
-            level = F.max(-state["level"]).over(order)
-            leveled[f"s{s}_{v}_state"] = F.when(state.isNotNull(), exact.least_state(level, state["low"]))
-    sides = {}
-    for s in SIDES:
-        p = f"s{s}_"
-        sides |= {p + c: F.sum(p + c) for c in ("n", "vol", "hlen", "psh", "urg", "iat_n", "iat_sum")}
-        sides[p + "vol2"] = F.sum(exact.decimal(F.col(p + "vol2"), 28))
-        sides[p + "iat2"] = F.sum(exact.decimal(
-            exact.join_limbs(F.col(p + "iat_hh"), F.col(p + "iat_hl"), F.col(p + "iat_ll")), 38))
-        sides |= {p + c: F.max(p + c) for c in ("len_max", "iat_max")}
-        sides |= {p + f"{v}_state": F.min(p + f"{v}_state") for v in RESET}
-        sides[p + "dscp"] = F.min(p + "dscp")
-    opening = F.col("first_seq") == F.col("flow_seq")
-    first_side = F.when(F.col("s0_first") == F.col("first"), 0).otherwise(1)
-    whole = sides | {
-        "first_ts": F.min("first_ts"), "last_ts": F.max("last_ts"),
-        "idle": F.max("max_gap"), "followed": F.max("followed"),
-        "first_side": F.max(F.when(opening, first_side)),
-        "open_dscp": F.min(F.when(opening & (F.col("first") % DSCP_BASE != 0), F.col("first"))),
-    }
-    flags = [c for c in ("valid_hit", "closes") if c in segs.columns]
-    whole |= {c: F.max(c) for c in flags}
-    bursts = (
-        segs.repartition(*flow).withColumns(leveled)
-        .groupBy(*flow, "burst_seq").agg(*[c.alias(n) for n, c in whole.items()])
-        .withColumn("active", F.col("last_ts") - F.col("first_ts"))
-    )
-    zero_at = F.max(F.when(F.col("active") == 0, F.col("burst_seq"))).over(
-        Window.partitionBy(*flow).orderBy("burst_seq").rowsBetween(*UP_TO)
+    whole_flow = _window(flow)
+    flags = [c for c in FLAGS if c in segs.columns]
+    segs = segs.selectExpr(
+        "*",
+        *_both(f"max(shiftright(s@_len_state, {LEN_BITS})) {whole_flow} AS len_top@"),
+        *_both(f"max(s@_iat_level) {whole_flow} AS iat_top@"),
     )
-    bursts = bursts.withColumn(
-        "active_state", exact.least_state(zero_at, F.when(F.col("active") != 0, F.col("active")))
+    low_len = f"nullif({LEN_NONE} - (s@_len_state & {LEN_NONE}), {LEN_NONE})"
+    sides = [f"sum(s@_{c}) AS s@_{c}" for c in ("n", "vol", "hlen", "psh", "urg", "iat_n", "iat_sum")] + [
+        f"sum({exact.decimal('s@_vol2', 28)}) AS s@_vol2",
+        f"sum({exact.join_limbs('s@_iat_hh', 's@_iat_hl', 's@_iat_ll')}) AS s@_iat2",
+        "max(s@_len_max) AS s@_len_max", "max(s@_iat_max) AS s@_iat_max", "min(s@_dscp) AS s@_dscp",
+        f"min(CASE WHEN s@_last_seq >= len_top@ THEN {low_len} END) AS s@_len_min",
+        "min(CASE WHEN iat_top@ IS NULL OR s@_last_seq >= iat_top@ THEN s@_iat_low END) AS s@_iat_min",
+    ]
+    bursts = segs.groupBy(*flow, "burst_seq").agg(
+        *[e(x) for template in sides for x in _both(template)],
+        e("max(last_ts) - min(first_ts) AS active"), e("max(idle) AS idle"),
+        e("min(first_ts) AS first_ts"), e("max(last_ts) AS last_ts"), e("max(followed) AS followed"),
+        e("max(CASE WHEN first_seq = flow_seq THEN CASE WHEN s0_first = first THEN 0 ELSE 1 END END)"
+          " AS first_side"),
+        e(f"min(CASE WHEN first_seq = flow_seq AND first % {DSCP_BASE} <> 0 THEN first END) AS open_dscp"),
+        *[e(f"max({c}) AS {c}") for c in flags],
+    ).selectExpr("*", f"max(CASE WHEN active = 0 THEN burst_seq END) {whole_flow} AS active_top")
+    totals = [f"sum(s@_{c}) AS s@_{c}" for c in
+              ("n", "vol", "hlen", "psh", "urg", "iat_n", "iat_sum", "vol2", "iat2")]
+    totals += [f"max(s@_{c}) AS s@_{c}" for c in ("len_max", "iat_max")]
+    totals += [f"min(s@_{c}) AS s@_{c}" for c in ("len_min", "iat_min", "dscp")]
+    square = lambda c: f"sum(CAST({exact.decimal(c, 18)} * {exact.decimal(c, 18)} AS DECIMAL(38,0)))"
+    return bursts.groupBy(*flow).agg(
+        *[e(x) for template in totals for x in _both(template)],
+        e("min(first_ts) AS first_ts"), e("max(last_ts) AS last_ts"), e("max(followed) AS followed"),
+        e("max(first_side) AS first_side"), e("min(open_dscp) AS open_dscp"),
+        e("count(1) AS active_n"), e("sum(active) AS active_sum"), e(f"{square('active')} AS active2"),
+        e("max(active) AS active_max"),
+        e("min(CASE WHEN burst_seq > coalesce(active_top, -1) THEN active END) AS active_min"),
+        e("count(idle) AS idle_n"), e("sum(idle) AS idle_sum"), e(f"{square('idle')} AS idle2"),
+        e("max(idle) AS idle_max"), e("min(idle) AS idle_min"),
+        *[e(f"max({c}) AS {c}") for c in flags],
     )
-    square = lambda c: F.sum(exact.decimal(exact.decimal(F.col(c), 19) * exact.decimal(F.col(c), 19)))
-    total = {n: (F.sum(n) if n.rpartition("_")[2] in
-                 ("n", "vol", "hlen", "psh", "urg", "sum", "vol2", "iat2") else F.max(n)) for n in sides}
-    total |= {n: F.min(n) for n in sides if n.endswith(("_state", "_dscp"))}
-    total |= {
-        "first_ts": F.min("first_ts"), "last_ts": F.max("last_ts"), "followed": F.max("followed"),
-        "first_side": F.max("first_side"), "open_dscp": F.min("open_dscp"),
-        "n_bursts": F.count(F.lit(1)),
-        "active_sum": F.sum("active"), "active2": square("active"),
-        "active_max": F.max("active"), "active_state": F.min("active_state"),
-        "idle_n": F.count("idle"), "idle_sum": F.sum("idle"), "idle2": square("idle"),
-        "idle_max": F.max("idle"), "idle_min": F.min("idle"),
-    }
-    total |= {c: F.max(c) for c in flags}
-    return bursts.groupBy(*flow).agg(*[c.alias(n) for n, c in total.items()])
 
 
 def flow_columns(flows: DataFrame) -> DataFrame:
     """Turn sides into directions and finish the 45 output columns."""
-    forward_first = F.col("first_side") == 0
-
-    def directed(forward: bool, column: str) -> Column:
-        a, b = (f"s0_{column}", f"s1_{column}") if forward else (f"s1_{column}", f"s0_{column}")
-        return F.when(forward_first, F.col(a)).otherwise(F.col(b))
-
-    zero = F.lit(0).cast("bigint")
-    num = lambda c: F.coalesce(c, zero)
-    over = lambda a, n: exact.int_div(num(a), F.greatest(num(n), F.lit(1)))
-    swap = lambda a, b: F.when(forward_first, F.col(a)).otherwise(F.col(b))
-    cols = {
-        "srcip": swap("k_ip1", "k_ip2"), "srcport": swap("k_port1", "k_port2"),
-        "dstip": swap("k_ip2", "k_ip1"), "dstport": swap("k_port2", "k_port1"),
-        "proto": F.col("proto").cast("bigint"),
+    def pick(a, b, name):
+        return f"CASE WHEN first_side = 0 THEN {a} ELSE {b} END AS {name}"
+
+    measures = ["n", "vol", "hlen", "psh", "urg", "iat_n", "iat_sum", "vol2", "iat2", "len_max", "iat_max",
+                "len_min", "iat_min"]
+    tcp_close = "closes" in flows.columns
+    window = ["k_window"] if "k_window" in flows.columns else []
+    directed = flows.selectExpr(
+        *window, "proto", "flow_seq", "first_ts", "last_ts", "followed",
+        *(FLAGS if tcp_close else [f"false AS {c}" for c in FLAGS]),
+        pick("k_ip1", "k_ip2", "srcip"), pick("k_port1", "k_port2", "srcport"),
+        pick("k_ip2", "k_ip1", "dstip"), pick("k_port2", "k_port1", "dstport"),
+        pick("least(open_dscp, s1_dscp)", "least(open_dscp, s0_dscp)", "dscp_at"),
+        *[pick(f"coalesce(s{int(d == 'b')}_{c}, 0)", f"coalesce(s{int(d == 'f')}_{c}, 0)", f"{d}_{c}")
+          for c in measures for d in "fb"],
+        *[f"coalesce(idle{c}, 0) AS idle{c}" for c in ("_n", "_sum", "2", "_max", "_min")],
+        "active_n", "active_sum", "active2", "active_max", "coalesce(active_min, 0) AS active_min",
+    )
+    spreads = {
+        "std_fpktl": ("f_vol2", "f_vol", "f_n"), "std_bpktl": ("b_vol2", "b_vol", "b_n"),
+        "std_fiat": ("f_iat2", "f_iat_sum", "f_iat_n"), "std_biat": ("b_iat2", "b_iat_sum", "b_iat_n"),
+        "std_active": ("active2", "active_sum", "active_n"), "std_idle": ("idle2", "idle_sum", "idle_n"),
     }
-    for fwd, d in ((True, "f"), (False, "b")):
-        n, vol = num(directed(fwd, "n")), num(directed(fwd, "vol"))
-        iat_n, iat_sum = num(directed(fwd, "iat_n")), num(directed(fwd, "iat_sum"))
-        big = lambda c: F.coalesce(directed(fwd, c), exact.decimal(F.lit(0)))
+    done = exact.add_int_std(directed, spreads)
+    mean = lambda total, n: f"{total} div greatest({n}, 1)"
+    cols = {"proto": "CAST(proto AS BIGINT)"}
+    for d in "fb":
         cols |= {
-            f"total_{d}packets": n, f"total_{d}volume": vol,
-            f"min_{d}pktl": exact.least_value(directed(fwd, "len_state")),
-            f"mean_{d}pktl": F.when(n > 0, over(vol, n)).otherwise(F.lit(-1)).cast("bigint"),
-            f"max_{d}pktl": num(directed(fwd, "len_max")),
-            f"std_{d}pktl": exact.int_std(big("vol2"), vol, n),
-            f"min_{d}iat": exact.least_value(directed(fwd, "iat_state")),
-            f"mean_{d}iat": over(iat_sum, iat_n),
-            f"max_{d}iat": num(directed(fwd, "iat_max")),
-            f"std_{d}iat": exact.int_std(big("iat2"), iat_sum, iat_n),
-            f"sflow_{d}packets": over(n, F.col("n_bursts")),
-            f"sflow_{d}bytes": over(vol, F.col("n_bursts")),
-            f"{d}psh_cnt": num(directed(fwd, "psh")), f"{d}urg_cnt": num(directed(fwd, "urg")),
-            f"total_{d}hlen": num(directed(fwd, "hlen")),
+            f"total_{d}packets": f"{d}_n", f"total_{d}volume": f"{d}_vol",
+            f"min_{d}pktl": f"{d}_len_min", f"max_{d}pktl": f"{d}_len_max",
+            f"mean_{d}pktl": f"CASE WHEN {d}_n > 0 THEN {mean(f'{d}_vol', f'{d}_n')} ELSE -1L END",
+            f"min_{d}iat": f"{d}_iat_min", f"max_{d}iat": f"{d}_iat_max",
+            f"mean_{d}iat": mean(f"{d}_iat_sum", f"{d}_iat_n"),
+            f"sflow_{d}packets": f"{d}_n div active_n", f"sflow_{d}bytes": f"{d}_vol div active_n",
+            f"{d}psh_cnt": f"{d}_psh", f"{d}urg_cnt": f"{d}_urg", f"total_{d}hlen": f"{d}_hlen",
         }
-    big_zero = exact.decimal(F.lit(0))
-    cols |= {
-        "duration": F.col("last_ts") - F.col("first_ts"),
-        "min_active": exact.least_value(F.col("active_state")),
-        "mean_active": over(F.col("active_sum"), F.col("n_bursts")),
-        "max_active": F.col("active_max"),
-        "std_active": exact.int_std(F.col("active2"), F.col("active_sum"), F.col("n_bursts")),
-        "min_idle": num(F.col("idle_min")),
-        "mean_idle": over(F.col("idle_sum"), F.col("idle_n")),
-        "max_idle": num(F.col("idle_max")),
-        "std_idle": exact.int_std(F.coalesce("idle2", big_zero), num(F.col("idle_sum")), F.col("idle_n")),
-        "dscp": num(F.least(F.col("open_dscp"), directed(False, "dscp")) % DSCP_BASE),
-    }
-    closed = F.col("closes") if "closes" in flows.columns else F.lit(False)
-    hit = F.col("valid_hit") if "valid_hit" in flows.columns else F.lit(False)
-    cols |= {
-        "flow_seq": F.col("flow_seq"), "last_ts": F.col("last_ts"),
-        "end_reason": F.when(F.coalesce(closed, F.lit(False)), "tcp_closed")
-        .when(F.col("followed"), "timeout").otherwise("open"),
-        "valid": F.when(F.col("proto") == UDP, cols["total_bpackets"] > 0)
-        .otherwise(F.coalesce(hit, F.lit(False))),
-    }
-    if "k_window" in flows.columns:
-        cols["k_window"] = F.col("k_window")
+    for name in ("active", "idle"):
+        cols |= {f"min_{name}": f"{name}_min", f"max_{name}": f"{name}_max",
+                 f"mean_{name}": mean(f"{name}_sum", f"{name}_n")}
+    cols |= {"duration": "last_ts - first_ts", "dscp": f"coalesce(dscp_at % {DSCP_BASE}, 0)"}
     names = [c for c in schemas.STATS_FLOW_COLUMNS if c != schemas.LABEL]
-    extra = [c for c in cols if c not in names]
-    return flows.select(*[cols[c].alias(c) for c in names + extra])
+    return done.selectExpr(
+        *[f"{cols.get(c, c)} AS {c}" for c in names],
+        *window, "flow_seq", "last_ts",
+        "CASE WHEN closes THEN 'tcp_closed' WHEN followed THEN 'timeout' ELSE 'open' END AS end_reason",
+        f"CASE WHEN proto = {UDP} THEN b_n > 0 ELSE valid_hit END AS valid",
+    )
 
 
 def flow_table(
