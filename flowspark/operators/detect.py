@@ -193,8 +193,8 @@ def entropy_limits(entropies: DataFrame, num_ranges: int, threshold: float) -> D
 
 
 def tumbling_entropy(
-    df: DataFrame, features: str, n: int, num_ranges: int, num_features: int, order=None,
-    index: str = rows.INDEX, label: str | None = None,
+    df: DataFrame, features: str, n: int, num_ranges: int, order=None, index: str = rows.INDEX,
+    label: str | None = None,
 ) -> DataFrame:
     """One row per window of n rows: its row range, entropy vector and greatest label."""
     label = label if label in df.columns else None
@@ -207,17 +207,18 @@ def tumbling_entropy(
                 F.posexplode(vector_to_array(features)).alias("feature", "value"))
     )
     group = ["window_id", "feature"]
-    span = cells.groupBy(*group).agg(
-        F.min("value").alias("low"), F.max("value").alias("high"), F.min(index).alias("first_row"),
-        F.max(index).alias("last_row"), *([F.max(label).alias("label")] if label else []),
+    extra = [F.min(index).alias("first_row"), F.max(index).alias("last_row"),
+             *([F.max(label).alias(label)] if label else [])]
+    carried = [F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"),
+               *([F.max(label).alias(label)] if label else [])]
+    counts = (
+        histograms.with_range(cells, group, small_groups=True)
+        .groupBy(*group, histograms.bucket_of(num_ranges).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *extra)
     )
-    per_feature = histograms.entropy(cells, num_ranges, n, group).join(span, group)
+    per_feature = counts.groupBy(*group).agg(histograms.entropy_of(n).alias("entropy"), *carried)
     # Every window has all features, so position i of the sorted array is feature i.
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("feature", "entropy"))), lambda c: c["entropy"])
-    return per_feature.groupBy("window_id").agg(
-        F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"),
-        *([F.max("label").alias(label)] if label else []), array_to_vector(ordered).alias(features),
-    )
+    return per_feature.groupBy("window_id").agg(*carried, array_to_vector(ordered).alias(features))
 
 
 class EntropyClassifier(Estimator, _EntropyParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -264,7 +265,7 @@ class EntropyModel(Model, _Limits, _EntropyParams, DefaultParamsReadable, Defaul
     def _transform(self, dataset: DataFrame) -> DataFrame:
         get = self.getOrDefault
         windows = tumbling_entropy(
-            dataset, self.getFeaturesCol(), get("windowSize"), get("numRanges"), self.numFeatures,
+            dataset, self.getFeaturesCol(), get("windowSize"), get("numRanges"),
             get("orderCols") or None, label=self.getLabelCol())
         lower, upper = self.limits
         values = windows.withColumn("_values", vector_to_array(self.getFeaturesCol()))

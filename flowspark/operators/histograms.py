@@ -30,6 +30,18 @@ def with_range(df: DataFrame, by: list[str], value: str = "value", small_groups:
     return df.join(ranges, by)
 
 
+def bucket_of(num_ranges: int, value: str = "value") -> Column:
+    """Bucket of a value inside the range [low, high] of its group."""
+    x, low, high = F.col(value), F.col("low"), F.col("high")
+    return F.when(high == low, 0).otherwise(F.floor((x - low) / (high - low) * num_ranges)).cast("int")
+
+
+def entropy_of(n: int, count: str = "n") -> Column:
+    """Entropy in bits over bucket counts, as shares of n rows."""
+    share = F.col(count) / F.lit(float(n))
+    return F.round(-F.sum(share * log2(share)), EPSILON_DIGITS) + 0.0
+
+
 def value_histogram(
     df: DataFrame, num_ranges: int, by: list[str], value: str = "value", small_groups: bool = False
 ) -> DataFrame:
@@ -37,11 +49,9 @@ def value_histogram(
 
     The maximum falls into bucket ``num_ranges``; a constant group has the single bucket 0.
     """
-    x, low, high = F.col(value), F.col("low"), F.col("high")
-    bucket = F.when(high == low, 0).otherwise(F.floor((x - low) / (high - low) * num_ranges))
     return (
-        with_range(df.where(x.isNotNull()), by, value, small_groups)
-        .groupBy(*by, bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        with_range(df.where(F.col(value).isNotNull()), by, value, small_groups)
+        .groupBy(*by, bucket_of(num_ranges, value).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -83,6 +93,5 @@ def entropy(
     df: DataFrame, num_ranges: int, n: int, by: list[str], value: str = "value", small_groups: bool = True
 ) -> DataFrame:
     """Entropy in bits of each group's value histogram; n is the nominal number of rows."""
-    share = F.col("n") / F.lit(float(n))
     counts = value_histogram(df, num_ranges, by, value, small_groups)
-    return counts.groupBy(*by).agg(F.round(-F.sum(share * log2(share)), EPSILON_DIGITS).alias("entropy"))
+    return counts.groupBy(*by).agg(entropy_of(n).alias("entropy"))
