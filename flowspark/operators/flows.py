@@ -341,6 +341,18 @@ def flow_columns(flows: DataFrame) -> DataFrame:
     )
 
 
+def mark_tcp_rows(
+    rows: DataFrame, key: list[str], timeout_us: int = FLOW_TIMEOUT_US, idle_us: int = IDLE_US
+) -> DataFrame:
+    """As :func:`mark_gaps`, with TCP flows also ending at connection close."""
+    from flowspark.operators.tcp import track_connections
+
+    tcp = track_connections(rows.where(F.col("proto") == TCP), key, timeout_us, idle_us)
+    other = mark_gaps(rows.where(F.col("proto") != TCP), key, timeout_us, idle_us)
+    never = F.lit(False)
+    return tcp.unionByName(other.withColumns({"valid_hit": never, "closes": never}))
+
+
 def flow_table(
     packets: DataFrame, *, tcp_close: bool = False, timeout_us: int = FLOW_TIMEOUT_US,
     idle_us: int = IDLE_US, window_us: int | None = None, block_rows: int = BLOCK_ROWS,
@@ -351,12 +363,7 @@ def flow_table(
     every capture buffer.
     """
     rows, key = keyed_rows(packets, block_rows, window_us)
-    if tcp_close:
-        from flowspark.operators.tcp import mark_tcp
-
-        marked = mark_tcp(rows, key, timeout_us, idle_us)
-    else:
-        marked = mark_gaps(rows, key, timeout_us, idle_us)
+    marked = (mark_tcp_rows if tcp_close else mark_gaps)(rows, key, timeout_us, idle_us)
     segs = settle_segments(segments(mark_runs(marked, key), key), key)
     return flow_columns(flow_rows(segs, key))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.octets import dotted_quad, number
-from flowspark.schemas import TCP, UDP
+from flowspark.schemas import CORE_PACKET, TCP, UDP
 
 # Where the fields lie. Ethernet header 14 bytes, IPv4 EtherType, shortest header
 # of each protocol.
@@ -46,29 +46,40 @@ def count_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
     return inspect_frames(df, frame).groupBy("verdict").agg(F.count(F.lit(1)).alias("frames"))
 
 
+def micros(seconds: Column) -> Column:
+    """Seconds to whole microseconds, truncated."""
+    return (seconds * 1_000_000).cast("bigint")
+
+
+def _ip_fields() -> dict[str, Column]:
+    return {
+        "srcip": dotted_quad("_head", ETHERNET + 12), "dstip": dotted_quad("_head", ETHERNET + 16),
+        "len": number("_head", ETHERNET + 2, 2), "iphlen": F.col("_iphlen").cast("int"),
+        "dscp": F.shiftright(number("_head", ETHERNET + 1), 2), "ttl": number("_head", ETHERNET + 8),
+    }
+
+
+def ip_header(df: DataFrame, frame: str = "frame", keep=("seq",)) -> DataFrame:
+    """IP header fields of frames taken to be IPv4, whatever they carry."""
+    fields = _ip_fields()
+    return inspect_frames(df, frame).select(
+        *keep, *[fields[c].alias(c) for c in ("srcip", "dstip", "len", "dscp", "iphlen")])
+
+
 def decode_frames(df: DataFrame, frame: str = "frame", ts: str = "ts", keep=("seq",)) -> DataFrame:
     """Packet rows of the frames that carry TCP or UDP over IPv4; ``ts`` in seconds."""
     ok = inspect_frames(df, frame).where(F.col("verdict") == "ok")
-    ip = ETHERNET
 
     def at(offset, size=1):
         """Transport field: its place depends on the IP header length."""
-        return number("_head", F.col("_iphlen") + (ip + offset), size)
+        return number("_head", F.col("_iphlen") + (ETHERNET + offset), size)
 
     tcp = F.col("_proto") == TCP
-    high_nibble = F.shiftright(at(12), 4)
-    return ok.select(
-        *keep,
-        (F.col(ts) * 1_000_000).cast("bigint").alias("ts_us"),
-        dotted_quad("_head", ip + 12).alias("srcip"),
-        dotted_quad("_head", ip + 16).alias("dstip"),
-        at(0, 2).alias("srcport"),
-        at(2, 2).alias("dstport"),
-        F.col("_proto").cast("int").alias("proto"),
-        number("_head", ip + 2, 2).alias("len"),
-        F.col("_iphlen").cast("int").alias("iphlen"),
-        F.when(tcp, high_nibble * 4).otherwise(at(4, 2)).alias("prhlen"),
-        F.shiftright(number("_head", ip + 1), 2).alias("dscp"),
-        number("_head", ip + 8).alias("ttl"),
-        F.when(tcp, at(13).bitwiseAND(F.lit(63))).cast("int").alias("flags"),
-    )
+    fields = _ip_fields() | {
+        "ts_us": micros(F.col(ts)),
+        "srcport": at(0, 2), "dstport": at(2, 2), "proto": F.col("_proto").cast("int"),
+        "prhlen": F.when(tcp, F.shiftright(at(12), 4) * 4).otherwise(at(4, 2)),
+        "flags": F.when(tcp, at(13).bitwiseAND(F.lit(63))).cast("int"),
+    }
+    order = [c for c in CORE_PACKET.names if c in fields]
+    return ok.select(*keep, *[fields[c].alias(c) for c in order])

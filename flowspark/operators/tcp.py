@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowspark.operators.flows import ACK, BEFORE, FIN, RST, SYN, mark_gaps
-from flowspark.schemas import TCP
+from flowspark.operators.flows import ACK, BEFORE, FIN, RST, SYN
 
 # The connection states of either side.
 STATES = ("start", "syn", "synack", "established", "fin", "closed")
@@ -291,11 +290,3 @@ def track_connections(rows: DataFrame, key: list[str], timeout_us: int, idle_us:
         rows.repartition(*group).sortWithinPartitions(*group, "seq")
         .mapInArrow(fold_fn(group, timeout_us, idle_us), out).drop("piece")
     )
-
-
-def mark_tcp(rows: DataFrame, key: list[str], timeout_us: int, idle_us: int) -> DataFrame:
-    """As ``mark_gaps``, with TCP flows also ending at connection close."""
-    tcp = track_connections(rows.where(F.col("proto") == TCP), key, timeout_us, idle_us)
-    other = mark_gaps(rows.where(F.col("proto") != TCP), key, timeout_us, idle_us)
-    never = F.lit(False)
-    return tcp.unionByName(other.withColumns({"valid_hit": never, "closes": never}))

@@ -60,7 +60,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def packet_records(core: DataFrame) -> DataFrame:
+def packet_records(core: DataFrame, keep=()) -> DataFrame:
     """Core packets as 26-column packet records; columns of other protocols are null."""
     def bit(mask):
         return F.expr(f"CASE WHEN (flags & {mask}) = {mask} THEN 1 END")
@@ -97,10 +97,35 @@ def packet_records(core: DataFrame) -> DataFrame:
         "icmp_code": only(1, "CASE WHEN cents % 5 = 4 THEN NULL ELSE 0 END"),
     }
     return core.select(
-        *[values[f.name].cast(f.dataType).alias(f.name) for f in schemas.PACKET.fields]
+        *keep, *[values[f.name].cast(f.dataType).alias(f.name) for f in schemas.PACKET.fields]
     )
 
 
+def frames(core: DataFrame) -> DataFrame:
+    """Packets as raw Ethernet frames (seq, ts in seconds, frame), headers only.
+
+    Some are spoiled by sequence number: another EtherType, cut short, another IP version, a cut
+    transport header.
+    """
+    def octets(expr, size):
+        return f"lpad(hex({expr}), {2 * size}, '0')"
+
+    def address(column):
+        parts = [octets(f"CAST(split_part({column}, '.', {i}) AS BIGINT)", 1) for i in range(1, 5)]
+        return f"concat({', '.join(parts)})"
+
+    zeros = lambda n: "'" + "00" * n + "'"
+    ip = ["CASE seq % 50 WHEN 9 THEN '65' ELSE '45' END", octets("shiftleft(dscp, 2)", 1), octets("len", 2), zeros(4),
+          octets("ttl", 1), octets("proto", 1), zeros(2), address("srcip"), address("dstip")]
+    ports = [octets("srcport", 2), octets("dstport", 2)]
+    tcp = [*ports, zeros(8), octets("prhlen * 4", 1), octets("flags", 1), zeros(6)]
+    udp = [*ports, octets("prhlen", 2), zeros(2)]
+    body = f"CASE proto WHEN 6 THEN concat({', '.join(tcp)}) WHEN 17 THEN concat({', '.join(udp)}) ELSE {zeros(8)} END"
+    ether = f"concat({zeros(12)}, CASE seq % 50 WHEN 7 THEN '0806' ELSE '0800' END, {', '.join(ip)}, {body})"
+    size = "CASE seq % 50 WHEN 8 THEN 30 WHEN 10 THEN 38 ELSE 100 END"
+    return core.selectExpr("seq", "ts_us / 1000000D AS ts", f"substring(unhex({ether}), 1, {size}) AS frame")
+
+
 def labelled(flows: DataFrame, src: str = "srcip", dst: str = "dstip") -> DataFrame:
     """Label 1 where the client host (the 10.0. address) has a last octet divisible by 4."""
     client = F.when(F.col(src).startswith("10.0."), F.col(src)).otherwise(F.col(dst))
