@@ -291,53 +291,52 @@ def flow_rows(segs: DataFrame, key: list[str]) -> DataFrame:
 
 
 def flow_columns(flows: DataFrame) -> DataFrame:
-    """Turn sides into directions and finish the 45 output columns."""
+    """Turn sides into directions and finish the 45 output columns.
+
+    Measures take their final names at once: the optimizer derives constraints for every renaming,
+    and their number multiplies with the columns renamed.
+    """
     def pick(a, b, name):
         return f"CASE WHEN first_side = 0 THEN {a} ELSE {b} END AS {name}"
 
-    measures = ["n", "vol", "hlen", "psh", "urg", "iat_n", "iat_sum", "vol2", "iat2", "len_max", "iat_max",
-                "len_min", "iat_min"]
+    final = {"n": "total_@packets", "vol": "total_@volume", "hlen": "total_@hlen", "psh": "@psh_cnt",
+             "urg": "@urg_cnt", "len_max": "max_@pktl", "len_min": "min_@pktl", "iat_max": "max_@iat",
+             "iat_min": "min_@iat", "iat_n": "@iat_n", "iat_sum": "@iat_sum", "vol2": "@vol2", "iat2": "@iat2"}
     tcp_close = "closes" in flows.columns
     window = ["k_window"] if "k_window" in flows.columns else []
     directed = flows.selectExpr(
-        *window, "proto", "flow_seq", "first_ts", "last_ts", "followed",
+        *window, "CAST(proto AS BIGINT) AS proto", "flow_seq", "last_ts", "last_ts - first_ts AS duration", "followed",
         *(FLAGS if tcp_close else [f"false AS {c}" for c in FLAGS]),
         pick("k_ip1", "k_ip2", "srcip"), pick("k_port1", "k_port2", "srcport"),
         pick("k_ip2", "k_ip1", "dstip"), pick("k_port2", "k_port1", "dstport"),
-        pick("least(open_dscp, s1_dscp)", "least(open_dscp, s0_dscp)", "dscp_at"),
-        *[pick(f"coalesce(s{int(d == 'b')}_{c}, 0)", f"coalesce(s{int(d == 'f')}_{c}, 0)", f"{d}_{c}")
-          for c in measures for d in "fb"],
-        *[f"coalesce(idle{c}, 0) AS idle{c}" for c in ("_n", "_sum", "2", "_max", "_min")],
-        "active_n", "active_sum", "active2", "active_max", "coalesce(active_min, 0) AS active_min",
+        f"coalesce(CASE WHEN first_side = 0 THEN least(open_dscp, s1_dscp) ELSE least(open_dscp, s0_dscp) END % {DSCP_BASE}, 0) AS dscp",
+        *[pick(f"coalesce(s{int(d == 'b')}_{c}, 0)", f"coalesce(s{int(d == 'f')}_{c}, 0)", name.replace("@", d))
+          for c, name in final.items() for d in "fb"],
+        "active_n", "active_sum", "active2", "active_max AS max_active", "coalesce(active_min, 0) AS min_active",
+        *[f"coalesce(idle{c}, 0) AS idle{c}" for c in ("_n", "_sum", "2")],
+        "coalesce(idle_max, 0) AS max_idle", "coalesce(idle_min, 0) AS min_idle",
     )
     spreads = {
-        "std_fpktl": ("f_vol2", "f_vol", "f_n"), "std_bpktl": ("b_vol2", "b_vol", "b_n"),
-        "std_fiat": ("f_iat2", "f_iat_sum", "f_iat_n"), "std_biat": ("b_iat2", "b_iat_sum", "b_iat_n"),
+        "std_fpktl": ("fvol2", "total_fvolume", "total_fpackets"),
+        "std_bpktl": ("bvol2", "total_bvolume", "total_bpackets"),
+        "std_fiat": ("fiat2", "fiat_sum", "fiat_n"), "std_biat": ("biat2", "biat_sum", "biat_n"),
         "std_active": ("active2", "active_sum", "active_n"), "std_idle": ("idle2", "idle_sum", "idle_n"),
     }
     done = exact.add_int_std(directed, spreads)
     mean = lambda total, n: f"{total} div greatest({n}, 1)"
-    cols = {"proto": "CAST(proto AS BIGINT)"}
+    cols = {f"mean_{name}": mean(f"{name}_sum", f"{name}_n") for name in ("fiat", "biat", "active", "idle")}
     for d in "fb":
+        packets, volume = f"total_{d}packets", f"total_{d}volume"
         cols |= {
-            f"total_{d}packets": f"{d}_n", f"total_{d}volume": f"{d}_vol",
-            f"min_{d}pktl": f"{d}_len_min", f"max_{d}pktl": f"{d}_len_max",
-            f"mean_{d}pktl": f"CASE WHEN {d}_n > 0 THEN {mean(f'{d}_vol', f'{d}_n')} ELSE -1L END",
-            f"min_{d}iat": f"{d}_iat_min", f"max_{d}iat": f"{d}_iat_max",
-            f"mean_{d}iat": mean(f"{d}_iat_sum", f"{d}_iat_n"),
-            f"sflow_{d}packets": f"{d}_n div active_n", f"sflow_{d}bytes": f"{d}_vol div active_n",
-            f"{d}psh_cnt": f"{d}_psh", f"{d}urg_cnt": f"{d}_urg", f"total_{d}hlen": f"{d}_hlen",
+            f"mean_{d}pktl": f"CASE WHEN {packets} > 0 THEN {mean(volume, packets)} ELSE -1L END",
+            f"sflow_{d}packets": f"{packets} div active_n", f"sflow_{d}bytes": f"{volume} div active_n",
         }
-    for name in ("active", "idle"):
-        cols |= {f"min_{name}": f"{name}_min", f"max_{name}": f"{name}_max",
-                 f"mean_{name}": mean(f"{name}_sum", f"{name}_n")}
-    cols |= {"duration": "last_ts - first_ts", "dscp": f"coalesce(dscp_at % {DSCP_BASE}, 0)"}
     names = [c for c in schemas.STATS_FLOW_COLUMNS if c != schemas.LABEL]
     return done.selectExpr(
-        *[f"{cols.get(c, c)} AS {c}" for c in names],
+        *[f"{cols[c]} AS {c}" if c in cols else c for c in names],
         *window, "flow_seq", "last_ts",
         "CASE WHEN closes THEN 'tcp_closed' WHEN followed THEN 'timeout' ELSE 'open' END AS end_reason",
-        f"CASE WHEN proto = {UDP} THEN b_n > 0 ELSE valid_hit END AS valid",
+        f"CASE WHEN proto = {UDP} THEN total_bpackets > 0 ELSE valid_hit END AS valid",
     )
 
 

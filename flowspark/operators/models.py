@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import time
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
     NaiveBayes, RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, MinMaxScaler
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +56,29 @@ _ESTIMATORS = {
 SUPERVISED = list(_ESTIMATORS)[:7]
 
 
+class ClipNegative(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Negative feature values become 0."""
+
+    def __init__(self, inputCol="features", outputCol="non_negative_features"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        clipped = F.transform(vector_to_array(self.getInputCol()), lambda x: F.greatest(x, F.lit(0.0)))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(clipped))
+
+
 def estimator(algorithm: str, features: str = "features", label: str = "label", **params):
     """The estimator of an algorithm.
 
-    Naive Bayes takes no negative values, and a mean length is -1 for flows without an answer: its
-    features are scaled to [0, 1] first. The perceptron needs its layers; the default fits the 40
+    Naive Bayes takes no negative values, and a mean length is -1 for flows without an answer: such
+    values are clipped to 0 first. The perceptron needs its layers; the default fits the 40
     statistics features.
     """
     make = _ESTIMATORS[algorithm]
     if algorithm == "naive_bayes":
-        scaler = MinMaxScaler(inputCol=features, outputCol="non_negative_features")
-        return Pipeline(stages=[scaler, make(featuresCol="non_negative_features", labelCol=label, **params)])
+        clip = ClipNegative(inputCol=features)
+        return Pipeline(stages=[clip, make(featuresCol=clip.getOutputCol(), labelCol=label, **params)])
     if algorithm == "neural_network":
         params.setdefault("layers", MLP_LAYERS)
         params.setdefault("seed", SEED)

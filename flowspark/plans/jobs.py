@@ -11,8 +11,14 @@ from flowspark.sources import readers, writers
 from flowspark.streaming import progress, sinks, windows
 
 
-def _features(df: DataFrame) -> DataFrame:
-    return df if "features" in df.columns else codec.featurize_stats(df, handle_invalid="skip")
+def _describe(model: Model) -> str:
+    stages = getattr(model, "stages", None)
+    return models.describe_params(stages[-1] if stages else model)
+
+
+def _features(df: DataFrame, handle_invalid: str = "error") -> DataFrame:
+    """Statistics flows as vectors; a null feature is an error unless the caller says otherwise."""
+    return df if "features" in df.columns else codec.featurize_stats(df, handle_invalid=handle_invalid)
 
 
 def train_and_evaluate(
@@ -39,7 +45,7 @@ def train_and_evaluate(
             fit = lambda: est.fit(train)
         model, training_time = models.timed(fit)
         return {"algorithm": models.TITLES[algorithm], "training time": training_time, "dataset": dataset,
-                "hyperparameters": models.describe_params(model)} | evaluate(model, test)
+                "hyperparameters": _describe(model)} | evaluate(model, test)
     finally:
         train.unpersist()
 

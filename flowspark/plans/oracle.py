@@ -233,7 +233,7 @@ LABEL = ("CASE WHEN CAST(string_split(CASE WHEN srcip LIKE '10.0.%' THEN srcip E
 STATS = ", ".join(FEATURES)
 
 MEASURES = """
-m AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS row_index,
+m AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS row_index,
              l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
              CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem)"""
 MEASURE_NAMES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -73,6 +73,11 @@ def _flow_files(spark, sf):
     return path
 
 
+def _flow_table(spark, sf):
+    """Labelled flows as jobs get them: a table of flow records."""
+    return readers.read_flows(spark, _flow_files(spark, sf))
+
+
 def _flow_messages(spark, sf):
     path = scratch_dir(spark, "messages")
     codec.encode_flow_message(_flows(spark, sf)).write.text(path)
@@ -147,7 +152,7 @@ def snk2_publish_flows(spark, sf):
 
 def _online(spark, sf):
     """Training flows and a stream of flow messages."""
-    return _flows(spark, sf), readers.stream_text(spark, _flow_messages(spark, sf))
+    return _flow_table(spark, sf), readers.stream_text(spark, _flow_messages(spark, sf))
 
 
 @query(_FLOW_KEYS)
@@ -185,7 +190,7 @@ def snk5_relay(spark, sf):
 @query()
 def snk6_save_run_metrics(spark, sf):
     path = scratch_dir(spark, "runs")
-    run = jobs.train_and_evaluate(_flows(spark, sf), "decision_tree", sf.rstrip("/").rpartition("/")[2], folds=1)
+    run = jobs.train_and_evaluate(_flow_table(spark, sf), "decision_tree", sf.rstrip("/").rpartition("/")[2], folds=1)
     writers.save_run_metrics(spark, [run], path)
     return spark.read.parquet(path)
 
@@ -402,7 +407,7 @@ def top1_most_frequent_bucket(spark, sf):
 l AS ({O.long_measures("window_id", "w")}), {O.entropy_ctes(50, 5, "window_id, feature", "l")}
 SELECT window_id, feature, round(entropy, 9) AS entropy FROM ent""")
 def agg11_entropy(spark, sf):
-    placed = rows.tumbling_rows(fixtures.measures(spark, sf), 50, fixtures.MEASURE_ORDER)
+    placed = rows.tumbling_rows(fixtures.measures(spark, sf), 50, fixtures.TOTAL_ORDER)
     cells = histograms.unpivot(placed, fixtures.MEASURES, ["window_id"])
     return _rounded(histograms.entropy(cells, 5, 50, ["window_id", "feature"]), ("entropy",), 9)
 
@@ -561,7 +566,7 @@ def flw22_expire_idle(spark, sf):
 max(l_quantity) OVER f AS high, sum(l_quantity) OVER f AS total FROM m WINDOW f AS (ORDER BY row_index ROWS 19 PRECEDING))
 SELECT * FROM w WHERE window_start >= 0""")
 def win1_sliding_rows(spark, sf):
-    runs = rows.sliding_rows(fixtures.measures(spark, sf), 20, ["l_quantity"], fixtures.MEASURE_ORDER, block_rows=4096)
+    runs = rows.sliding_rows(fixtures.measures(spark, sf), 20, ["l_quantity"], fixtures.TOTAL_ORDER, block_rows=4096)
     q = F.col("l_quantity")
     return runs.select(
         "window_start", F.size(q).alias("n"), F.array_min(q).alias("low"), F.array_max(q).alias("high"),
@@ -571,7 +576,7 @@ def win1_sliding_rows(spark, sf):
 @query(f"""WITH {O.MEASURES} SELECT row_index // 1000 AS window_id, count(*) AS n, sum(l_quantity) AS total, min(l_orderkey) AS first_order,
 max(l_orderkey) AS last_order FROM m GROUP BY 1""")
 def win2_tumbling_rows(spark, sf):
-    placed = rows.tumbling_rows(fixtures.measures(spark, sf), 1000, fixtures.MEASURE_ORDER)
+    placed = rows.tumbling_rows(fixtures.measures(spark, sf), 1000, fixtures.TOTAL_ORDER)
     return placed.groupBy("window_id").agg(
         F.count("*").alias("n"), F.sum("l_quantity").alias("total"), F.min("l_orderkey").alias("first_order"),
         F.max("l_orderkey").alias("last_order"))
@@ -627,7 +632,7 @@ def fun7_text_and_json(spark, sf):
 def _supervised(name, algorithm, **params):
     def run(spark, sf):
         result = jobs.train_and_evaluate(
-            _flows(spark, sf), algorithm, params=params, folds=1, split_key=["srcip", "dstip", "duration"])
+            _flow_table(spark, sf), algorithm, params=params, folds=1, split_key=["srcip", "dstip", "duration"])
         return _one_row(spark, **{c: result[c] for c in ("accuracy", "precision", "recall", "f1-score")})
 
     run.__name__ = name
@@ -667,7 +672,7 @@ def ml9_mean_variance_score(spark, sf):
 
 def _entropy_model(spark, sf, data):
     return detect.EntropyClassifier(
-        numFeatures=4, numRanges=5, windowSize=20, threshold=0.1, orderCols=fixtures.MEASURE_ORDER).fit(data)
+        numFeatures=4, numRanges=5, windowSize=20, threshold=0.1, orderCols=fixtures.TOTAL_ORDER).fit(data)
 
 
 _ENTROPY_LIMITS = O.entropy_limit_ctes(20, 5, 0.1)
@@ -715,7 +720,7 @@ def ml14_legit_attack_split(spark, sf):
 
 @query()
 def ml15_cross_validation(spark, sf):
-    data = codec.featurize_stats(_flows(spark, sf)).select("features", "label").cache()
+    data = codec.featurize_stats(_flow_table(spark, sf)).select("features", "label").cache()
     est = models.estimator("decision_tree")
     model = tuning.cross_validate(est, data, tuning.grid(est, {"maxDepth": [3, 6]}), folds=3)
     data.unpersist()
@@ -737,23 +742,23 @@ def ml16_pair_cross_validation(spark, sf):
 
 @query()
 def ml17_pair_cross_validation_entropy(spark, sf):
-    est = detect.EntropyClassifier(4, 5, 20, 0.1, fixtures.MEASURE_ORDER)
+    est = detect.EntropyClassifier(4, 5, 20, 0.1, fixtures.TOTAL_ORDER)
     return _pair_cv(spark, sf, est, "fold", tuning.grid(est, {"threshold": [0.1]}))
 
 
 @query()
 def ml20_algorithm_sweep(spark, sf):
     light = {"random_forest": {"numTrees": 5}, "gradient_boosted_tree": {"maxIter": 3}, "neural_network": {"maxIter": 10}}
-    return jobs.sweep(_flows(spark, sf), folds=1, params=light).select("algorithm", "accuracy", "f1-score")
+    return jobs.sweep(_flow_table(spark, sf), folds=1, params=light).select("algorithm", "accuracy", "f1-score")
 
 
 # Streaming
 
 @query()
 def str1_score_stream(spark, sf):
-    train = _flows(spark, sf)
-    model, prepare = jobs.online_model(train, "decision_tree")
-    scored = windows.score_stream(model, prepare(readers.stream_flows(spark, _flow_files(spark, sf))))
+    files = _flow_files(spark, sf)
+    model, prepare = jobs.online_model(readers.read_flows(spark, files), "decision_tree")
+    scored = windows.score_stream(model, prepare(readers.stream_flows(spark, files)))
     out, _, _ = _collect_stream(spark, codec.prediction_columns(scored))
     return spark.read.parquet(out)
 
@@ -827,7 +832,7 @@ def str11_chained_queries(spark, sf):
 
 @query()
 def job1_train_and_evaluate(spark, sf):
-    run = jobs.train_and_evaluate(_flows(spark, sf), "logistic_regression", sf, folds=2)
+    run = jobs.train_and_evaluate(_flow_table(spark, sf), "logistic_regression", sf, folds=2)
     return _one_row(spark, **{c: run[c] for c in ("accuracy", "precision", "recall", "f1-score", "auc")})
 
 
@@ -840,7 +845,8 @@ def job2_anomaly_evaluate(spark, sf):
 
 @query()
 def job3_score_files(spark, sf):
-    return jobs.score_files(spark, _flows(spark, sf), _flow_files(spark, sf), "decision_tree",
+    files = _flow_files(spark, sf)
+    return jobs.score_files(spark, readers.read_flows(spark, files), files, "decision_tree",
                             scratch_dir(spark, "scored"), pca_k=5, once=True)["metrics"]
 
 

@@ -12,6 +12,8 @@ from flowspark import schemas
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 MEASURE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+# The keys may tie; rows that tie in the measures too are interchangeable.
+TOTAL_ORDER = MEASURE_ORDER + MEASURES
 
 
 def packets_from_events(events: DataFrame) -> DataFrame:
