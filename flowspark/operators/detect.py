@@ -126,15 +126,17 @@ def run_entropies(values: np.ndarray, n: int, num_ranges: int) -> np.ndarray:
     runs of a slice are counted at once, bucket by bucket.
     """
     out = []
-    step = max(1, (1 << 20) // (n * values.shape[1]))
+    # Narrow bucket numbers: the counting below is bound by memory traffic.
+    number = np.int8 if num_ranges < 127 else np.int64
+    step = max(1, (1 << 17) // (n * values.shape[1]))
     runs = np.lib.stride_tricks.sliding_window_view(values, n, axis=0)
     for start in range(0, len(runs), step):
         part = runs[start:start + step]
         low = part.min(axis=2, keepdims=True)
         span = part.max(axis=2, keepdims=True) - low
         flat = span == 0
-        bucket = np.floor((part - low) / np.where(flat, 1.0, span) * num_ranges).astype(np.int64)
-        bucket = np.where(flat, 0, bucket)
+        bucket = np.floor((part - low) / np.where(flat, 1.0, span) * num_ranges).astype(number)
+        bucket = np.where(flat, number(0), bucket)
         total = np.zeros(part.shape[:2])
         for b in range(num_ranges + 1):
             share = (bucket == b).sum(axis=2) / n

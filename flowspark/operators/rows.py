@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowspark.session import cut_lineage
 
 INDEX = "row_index"
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 13
 
 
 def number_rows(df: DataFrame, order: list[str], index: str = INDEX) -> DataFrame:

@@ -670,9 +670,10 @@ def ml9_mean_variance_score(spark, sf):
     return model.transform(data).select(*fixtures.MEASURE_ORDER, "label", "prediction")
 
 
-def _entropy_model(spark, sf, data):
+def _entropy_model(spark, sf, data, order=()):
+    """Without order columns the detector takes the row numbers it finds."""
     return detect.EntropyClassifier(
-        numFeatures=4, numRanges=5, windowSize=20, threshold=0.1, orderCols=fixtures.TOTAL_ORDER).fit(data)
+        numFeatures=4, numRanges=5, windowSize=20, threshold=0.1, orderCols=order).fit(data)
 
 
 _ENTROPY_LIMITS = O.entropy_limit_ctes(20, 5, 0.1)
@@ -680,7 +681,7 @@ _ENTROPY_LIMITS = O.entropy_limit_ctes(20, 5, 0.1)
 
 @query(f"WITH {_ENTROPY_LIMITS} SELECT nr AS feature, round(lower, 9) AS lower, round(upper, 9) AS upper FROM limits")
 def ml10_entropy_fit(spark, sf):
-    lower, upper = _entropy_model(spark, sf, _measure_vectors(spark, sf)).limits
+    lower, upper = _entropy_model(spark, sf, _measure_vectors(spark, sf), fixtures.TOTAL_ORDER).limits
     found = [(i, lo, up) for i, (lo, up) in enumerate(zip(lower, upper))]
     return _rounded(spark.createDataFrame(found, "feature int, lower double, upper double"), ("lower", "upper"), 9)
 
@@ -692,7 +693,8 @@ verdict AS (SELECT w, max(CASE WHEN entropy < lower OR entropy > upper THEN 1.0
 SELECT w AS window_id, min(row_index) AS first_row, max(row_index) AS last_row, max(label) AS label, any_value(prediction) AS prediction
 FROM tw JOIN verdict USING (w) GROUP BY w""")
 def ml11_entropy_score(spark, sf):
-    data = _measure_vectors(spark, sf)
+    # Numbered once, for fit and score alike.
+    data = rows.number_rows(_measure_vectors(spark, sf), fixtures.TOTAL_ORDER)
     scored = _entropy_model(spark, sf, data).transform(data)
     return scored.select("window_id", "first_row", "last_row", "label", "prediction")
 
