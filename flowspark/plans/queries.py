@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +61,24 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(table.schema).parquet(f"{sf}/events.parque[t]")
 
 
+@contextmanager
+def _state_partitions(spark):
+    """A stateful stream keeps the number of partitions it starts with: no more than two per core."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _collect_stream(spark, stream, fmt="parquet"):
     """Run a stream to the end of its input; what it wrote, and the finished query."""
     out, state = scratch_dir(spark, "out"), scratch_dir(spark, "state")
     q = stream.writeStream.format(fmt).option("path", out).option("checkpointLocation", state)
-    q = sinks.run_bounded(q.trigger(availableNow=True).start())
+    with _state_partitions(spark):
+        q = sinks.run_bounded(q.trigger(availableNow=True).start())
     return out, state, q
 
 
@@ -139,17 +154,22 @@ def snk1_src4_predictions_csv(spark, sf):
     return _rounded(result, ("Precision", "Recall", "F1 Score", "Accuracy"), 9)
 
 
-@query(_AGG_LABELLED)
-def snk2_publish_flows(spark, sf):
+def _published(spark, sf, label, **options):
     """Packets of the stream's one micro-batch published as flow messages, parsed back."""
     path = scratch_dir(spark, "topic")
     stream = fixtures.packet_records(fixtures.packets_from_events(_event_stream(spark, sf)))
-    q = sinks.publish_flows(stream, writers.file_writer(path, "text"), scratch_dir(spark, "state"), 0, once=True)
+    q = sinks.publish_flows(
+        stream, writers.file_writer(path, "text"), scratch_dir(spark, "state"), label, once=True, **options)
     sinks.run_bounded(q)
     messages = spark.read.option("recursiveFileLookup", True).text(path)
     return _rounded(codec.parse_fields(messages, schemas.AGG_FLOW.schema))
 
 
+@query(_AGG_LABELLED)
+def snk2_publish_flows(spark, sf):
+    return _published(spark, sf, 0)
+
+
 def _online(spark, sf):
     """Training flows and a stream of flow messages."""
     return _flow_table(spark, sf), readers.stream_text(spark, _flow_messages(spark, sf))
@@ -165,11 +185,9 @@ def snk3_publish_predictions_json(spark, sf):
     return rows_.where(F.col("prediction").isin(0.0, 1.0) & F.col("date").isNotNull()).drop("date", "prediction")
 
 
-@query(_FLOW_KEYS)
-def snk4_index_predictions(spark, sf):
+def _indexed(spark, sf, algorithm):
     path = scratch_dir(spark, "index")
-    q = jobs.score_to_index(*_online(spark, sf), "mean_variance", writers.file_writer(path),
-                            scratch_dir(spark, "state"), once=True)
+    q = jobs.score_to_index(*_online(spark, sf), algorithm, writers.file_writer(path), scratch_dir(spark, "state"), once=True)
     sinks.run_bounded(q)
     docs = spark.read.schema(
         "srcip STRING, srcport BIGINT, dstip STRING, dstport BIGINT, proto BIGINT, prediction DOUBLE"
@@ -177,6 +195,11 @@ def snk4_index_predictions(spark, sf):
     return docs.where(F.col("prediction").isin(0.0, 1.0)).drop("prediction")
 
 
+@query(_FLOW_KEYS)
+def snk4_index_predictions(spark, sf):
+    return _indexed(spark, sf, "mean_variance")
+
+
 @query(O.flow_query(
     "SELECT srcip || ',' || srcport || ',' || dstip || ',' || dstport || ',' || proto AS value FROM flows"))
 def snk5_relay(spark, sf):
@@ -706,6 +729,12 @@ def ml12_pca(spark, sf):
     return reduced.select(*fixtures.MEASURE_ORDER, F.size(vector_to_array("pcaFeatures")).alias("k"))
 
 
+@query()
+def ml13_random_split(spark, sf):
+    train, test = models.random_split(fixtures.measures(spark, sf))
+    return train.agg(F.count("*").alias("rows")).union(test.agg(F.count("*").alias("rows")))
+
+
 @query("SELECT count(*) AS n FROM lineitem")
 def ml13_hash_split(spark, sf):
     key = fixtures.MEASURE_ORDER
@@ -765,6 +794,12 @@ def str1_score_stream(spark, sf):
     return spark.read.parquet(out)
 
 
+@query(f"WITH {O.RECORDS} SELECT {O.AGG_COLUMNS}, 1 AS label FROM ({O.agg_flows(flags='nonnull')})")
+def str2_micro_batch_flows(spark, sf):
+    """The micro-batch is the flow window."""
+    return _published(spark, sf, 1, flags="nonnull")
+
+
 _WINDOWED = f"""WITH {O.RECORDS}, windowed AS (SELECT *, make_timestamp(ts_us - ts_us % 5000000) AS window_start FROM records)
 SELECT window_start, ip_proto, {O.AGG_COLUMNS} FROM ({O.agg_flows(source="windowed", extra="window_start")})"""
 
@@ -816,12 +851,11 @@ def str10_progress_metrics(spark, sf):
     return progress.progress_metrics(spark, q)
 
 
-@query(_FLOW_KEYS)
-def str11_chained_queries(spark, sf):
+def _chained(spark, sf, algorithm):
     topic, index = scratch_dir(spark, "topic"), scratch_dir(spark, "index")
     train, messages = _online(spark, sf)
-    first, second = jobs.score_low_latency(
-        train, messages, "mean_variance", scratch_dir(spark, "state"), "text", {"path": topic},
+    _, second = jobs.score_low_latency(
+        train, messages, algorithm, scratch_dir(spark, "state"), "text", {"path": topic},
         lambda: readers.stream_text(spark, topic), writers.file_writer(index, "text"), scratch_dir(spark, "state"),
         continuous=False, once=True)
     sinks.run_bounded(second)
@@ -830,6 +864,11 @@ def str11_chained_queries(spark, sf):
     return found.select(F.from_json("value", layout).alias("r")).select("r.*")
 
 
+@query(_FLOW_KEYS)
+def str11_chained_queries(spark, sf):
+    return _chained(spark, sf, "mean_variance")
+
+
 # Jobs
 
 @query()
@@ -859,6 +898,16 @@ def job4_score_payloads(spark, sf):
     return result["metrics"].select("Test cases")
 
 
+@query(_FLOW_KEYS)
+def job5_score_to_index(spark, sf):
+    return _indexed(spark, sf, "decision_tree")
+
+
+@query(_FLOW_KEYS)
+def job6_score_low_latency(spark, sf):
+    return _chained(spark, sf, "svm")
+
+
 @query(_AGG_LABELLED)
 def job7_publish_packet_flows(spark, sf):
     topic, path = scratch_dir(spark, "topic"), scratch_dir(spark, "flows")
