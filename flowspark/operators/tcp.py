@@ -99,7 +99,10 @@ def _lists(batch: pa.RecordBatch, *columns: str):
 
 
 def fold_fn(group: list[str], timeout_us: int, idle_us: int):
-    """mapInArrow function over rows sorted by group and seq; adds the flow marks, drops late rows."""
+    """mapInArrow function over rows sorted by group and seq; adds the flow marks, drops late rows.
+
+    A group may begin with a row that holds the state handed over to it instead of a packet.
+    """
 
     def fold(batches):
         previous, mode, last = None, NO_FLOW, 0
@@ -112,7 +115,10 @@ def fold_fn(group: list[str], timeout_us: int, idle_us: int):
             columns = _lists(batch, "ts_us", "symbol", "has_data", "start_mode", "start_last")
             for i, (ts, symbol, data, start_mode, start_last) in enumerate(zip(*columns)):
                 if i in heads:
+                    mode, last = NO_FLOW, 0
+                if start_mode is not None:
                     mode, last = start_mode, start_last
+                    continue
                 before, since = mode, ts - last
                 mode, last, event = step(mode, last, ts, symbol, timeout_us)
                 if event == LATE:
@@ -279,8 +285,9 @@ def track_connections(rows: DataFrame, key: list[str], timeout_us: int, idle_us:
     group = [*key, "piece"]
     rows = rows.withColumns({"symbol": symbol(), "has_data": F.col("len") > F.col("hlen")})
     rows, edges = cut_pieces(rows, key)
-    starts = start_states(rows, edges, key, timeout_us)
-    rows = rows.join(starts, group, "left").fillna(0, ["start_mode", "start_last"])
+    # States travel among the rows, not by a join: the rows are shuffled once for the fold. A state
+    # has no seq, so it sorts before the packets of its piece.
+    rows = rows.unionByName(start_states(rows, edges, key, timeout_us), allowMissingColumns=True)
     dropped = ("symbol", "has_data", "start_mode", "start_last")
     out = T.StructType([f for f in rows.schema.fields if f.name not in dropped])
     out.add("gap", T.LongType())
