@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark import schemas
@@ -99,11 +99,11 @@ def _flow_messages(spark, sf):
     return path
 
 
-_LABELLED = O.flow_query(f"SELECT {O.STATS}, {O.LABEL} AS label FROM flows")
+_LABELLED = O.flow_query(f"SELECT {O.STATS}, CAST({O.LABEL} AS BIGINT) AS label FROM flows")
 _UNLABELLED = O.flow_query(f"SELECT {O.STATS}, CAST(NULL AS BIGINT) AS label FROM flows")
 _FLOW_KEYS = O.flow_query("SELECT srcip, srcport, dstip, dstport, proto FROM flows")
 _AGG = f"WITH {O.RECORDS} SELECT {O.AGG_COLUMNS} FROM ({O.agg_flows()})"
-_AGG_LABELLED = f"WITH {O.RECORDS} SELECT {O.AGG_COLUMNS}, 0 AS label FROM ({O.agg_flows()})"
+_AGG_LABELLED = f"WITH {O.RECORDS} SELECT {O.AGG_COLUMNS}, CAST(0 AS BIGINT) AS label FROM ({O.agg_flows()})"
 _PREDICTIONS = "p AS (SELECT toxic AS label, CAST(quality AS DOUBLE) AS prediction FROM labels)"
 _CONFUSION = """c AS (SELECT count(*) AS size, count(*) FILTER (WHERE label = 0) AS rn, count(*) FILTER (WHERE label = 1) AS rp,
  count(*) FILTER (WHERE prediction = 0) AS pn, count(*) FILTER (WHERE prediction = 1) AS pp,
@@ -138,11 +138,9 @@ def src3_payload_stream(spark, sf):
 
 
 def _prediction_files(spark, sf):
-    fixed = fixtures.label_predictions(spark, sf)
     table = spark.read.parquet(f"{sf}/labels.parquet")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf}/labels.parque[t]").select(
         F.col("toxic").cast("int").alias("label"), F.col("quality").cast("double").alias("prediction"))
-    assert set(stream.columns) <= set(fixed.columns)
     path = scratch_dir(spark, "predictions")
     sinks.run_bounded(sinks.write_predictions_csv(stream, path, once=True))
     return path
@@ -334,7 +332,7 @@ _BAND = ([10.0, 1000.0, 0.02, 0.0], [45.0, 60000.0, 0.09, 0.07])
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity < 10 OR l_quantity > 45
  OR l_extendedprice < 1000 OR l_extendedprice > 60000 OR l_discount < 0.02 OR l_discount > 0.09 OR l_tax < 0 OR l_tax > 0.07
- THEN 1.0 ELSE 0.0 END AS prediction FROM lineitem""")
+ THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM lineitem""")
 def flt4_band_predicate(spark, sf):
     verdict = detect.outside([F.col(c) for c in fixtures.MEASURES], *_BAND)
     return fixtures.measures(spark, sf).select(*fixtures.MEASURE_ORDER, verdict.alias("prediction"))
@@ -592,7 +590,7 @@ def win1_sliding_rows(spark, sf):
     runs = rows.sliding_rows(fixtures.measures(spark, sf), 20, ["l_quantity"], fixtures.TOTAL_ORDER, block_rows=4096)
     q = F.col("l_quantity")
     return runs.select(
-        "window_start", F.size(q).alias("n"), F.array_min(q).alias("low"), F.array_max(q).alias("high"),
+        "window_start", F.size(q).cast("bigint").alias("n"), F.array_min(q).alias("low"), F.array_max(q).alias("high"),
         F.aggregate(q, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
@@ -686,7 +684,7 @@ _MV_OUT = " OR ".join(
 
 
 @query(f"""WITH {_MV_LIMITS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, label,
-CASE WHEN {_MV_OUT} THEN 1.0 ELSE 0.0 END AS prediction FROM m""")
+CASE WHEN {_MV_OUT} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM m""")
 def ml9_mean_variance_score(spark, sf):
     data = _measure_vectors(spark, sf)
     model = detect.MeanVarianceClassifier(2.0).fit(data.where("label = 0"))
@@ -711,7 +709,7 @@ def ml10_entropy_fit(spark, sf):
 
 @query(f"""WITH {_ENTROPY_LIMITS}, tw AS (SELECT *, row_index // 20 AS w FROM m), tlong AS ({O.long_measures("w", "tw")}),
 {O.entropy_ctes(20, 5, "w, nr", "tlong", "scored")},
-verdict AS (SELECT w, max(CASE WHEN entropy < lower OR entropy > upper THEN 1.0 ELSE 0.0 END) AS prediction
+verdict AS (SELECT w, max(CASE WHEN entropy < lower OR entropy > upper THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS prediction
   FROM scored JOIN limits USING (nr) GROUP BY w)
 SELECT w AS window_id, min(row_index) AS first_row, max(row_index) AS last_row, max(label) AS label, any_value(prediction) AS prediction
 FROM tw JOIN verdict USING (w) GROUP BY w""")
@@ -794,7 +792,7 @@ def str1_score_stream(spark, sf):
     return spark.read.parquet(out)
 
 
-@query(f"WITH {O.RECORDS} SELECT {O.AGG_COLUMNS}, 1 AS label FROM ({O.agg_flows(flags='nonnull')})")
+@query(f"WITH {O.RECORDS} SELECT {O.AGG_COLUMNS}, CAST(1 AS BIGINT) AS label FROM ({O.agg_flows(flags='nonnull')})")
 def str2_micro_batch_flows(spark, sf):
     """The micro-batch is the flow window."""
     return _published(spark, sf, 1, flags="nonnull")
