@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from flowspark.llm import tokens
+from flowspark.llm import exact, lines, tokens
 from flowspark.llm.common import table
 
 QUERIES: dict = {}
@@ -21,6 +21,33 @@ def query(sql: str | None = None):
     return add
 
 
+@query(r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, line, pos, r.key IS NOT NULL AND doc_id < last AS gone
+    FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op3_line_dedup(spark, sf):
+    return lines.line_report(table(spark, sf, "documents"))
+
+
+@query(r"""
+WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM normal WINDOW same AS (PARTITION BY norm)
+""")
+def op9_exact_dedup(spark, sf):
+    return exact.exact_duplicates(table(spark, sf, "documents"))
+
+
 @query()
 def op10_token_counts(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
