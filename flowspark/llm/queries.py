@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from flowspark.llm import exact, lines, tokens
+from flowspark.llm import exact, lines, quality, tokens
 from flowspark.llm.common import table
 
 QUERIES: dict = {}
@@ -38,6 +38,11 @@ def op3_line_dedup(spark, sf):
     return lines.line_report(table(spark, sf, "documents"))
 
 
+@query()
+def op4_quality_rules(spark, sf):
+    return quality.quality_report(table(spark, sf, "documents"))
+
+
 @query(r"""
 WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
