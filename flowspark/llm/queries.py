@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from flowspark.llm import exact, lines, quality, tokens
+from flowspark.llm import exact, lines, pii, quality, tokens, toxicity
 from flowspark.llm.common import table
 
 QUERIES: dict = {}
@@ -21,6 +21,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_personal_data(spark, sf):
+    return pii.span_report(table(spark, sf, "documents"))
+
+
 @query(r"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
@@ -43,6 +48,11 @@ def op4_quality_rules(spark, sf):
     return quality.quality_report(table(spark, sf, "documents"))
 
 
+@query()
+def op5_toxicity(spark, sf):
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query(r"""
 WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
