@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from flowspark.llm.common import map_rows, text_of
 
 #: Labelled documents the model is fitted on, about, at most; chosen by a hash of their id.
-FIT_DOCUMENTS = 16_000
-#: Hashed features; words seen in fewer of the fitted documents than this are ignored.
-BUCKETS, LEAST_DOCUMENTS = 1 << 18, 4
-STEPS, RATE, DECAY, BIAS = 150, 0.15, 2e-4, -6.0
+FIT_DOCUMENTS = 8_000
+#: Hashed character n-grams of words, with marked ends, and whole words.
+BUCKETS, GRAMS = 1 << 20, (4, 5, 6, 7)
+#: Features take part if their share among toxic documents stands out by so many deviations, in so many documents.
+LEAST_Z, LEAST_DOCUMENTS = 3.0, 3
+STEPS, RATE, DECAY, BIAS = 200, 0.1, 0.01, -5.0
 #: A document is predicted toxic from this score on, a sentence is listed from this chance on.
 DOCUMENT_LIMIT, SENTENCE_LIMIT = 0.7, 0.5
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -34,93 +36,101 @@ def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
     return out
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % BUCKETS
+def features(word: str) -> list[int]:
+    marked = f"^{word}$"
+    grams = {marked, *(marked[i:i + k] for k in GRAMS for i in range(len(marked) - k + 1))}
+    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
 
 
 def held_out(id_col):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def fit_noisy_or(labels: np.ndarray, doc_of_sentence: np.ndarray, sentence_of_word: np.ndarray, words: np.ndarray):
-    """Weights and bias of the sentence scores, from document labels.
+def fit_noisy_or(labels: np.ndarray, documents: list[list[np.ndarray]], of_word: list[list[int]]):
+    """Feature weights and bias of the sentence scores, from document labels.
 
-    A sentence is toxic with chance s = sigmoid(bias + sum of its words' weights), a document with
+    ``documents`` hold sentences of word numbers, ``of_word`` the features of each word. A sentence is
+    toxic with chance s = sigmoid(bias + weights of its words' features), a document with
     1 - prod(1 - s). Full-batch Adam on the documents' log-likelihood, with decay.
     """
-    used, cols = np.unique(words, return_inverse=True)
-    pairs = np.unique(doc_of_sentence[sentence_of_word].astype(np.int64) * len(used) + cols) % len(used)
-    frequent = np.bincount(pairs, minlength=len(used)) >= LEAST_DOCUMENTS
-    keep = frequent[cols]
-    renumber = np.cumsum(frequent) - 1
-    used, cols, rows = used[frequent], renumber[cols[keep]], sentence_of_word[keep]
-    n_sent, n_docs = len(doc_of_sentence), len(labels)
-    w, first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    n_docs, n_words = len(labels), len(of_word)
+    every, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for label, sentences in zip(labels, documents, strict=True):
+        seen = np.unique([f for w in {int(w) for s in sentences for w in s} for f in of_word[w]]).astype(np.int64)
+        every[seen] += 1
+        toxic[seen] += label
+    share = labels.mean() if n_docs else 0.0
+    z = (toxic - every * share) / np.sqrt(np.maximum(every * share * (1 - share), 1e-9))
+    chosen = np.flatnonzero((z > LEAST_Z) & (toxic >= LEAST_DOCUMENTS))
+    number = np.full(BUCKETS, -1)
+    number[chosen] = np.arange(len(chosen))
+    word_of = np.repeat(np.arange(n_words), [len(f) for f in of_word])
+    feature = number[np.array([f for fs in of_word for f in fs], np.int64)]
+    word_of, feature = word_of[feature >= 0], feature[feature >= 0]
+    live = np.zeros(n_words, bool)
+    live[word_of] = True
+    sentences = [s[live[s]] for ss in documents for s in ss]
+    doc_of = np.repeat(np.arange(n_docs), [len(ss) for ss in documents])
+    sentence_of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    words = np.concatenate([*sentences, np.zeros(0, np.int64)])
+    w, first, second = (np.zeros(len(chosen) + 1) for _ in range(3))
     w[-1] = BIAS
     for step in range(1, STEPS + 1):
-        z = np.bincount(rows, w[cols], n_sent) + w[-1]
-        soft = np.logaddexp(0, z)
-        total = np.bincount(doc_of_sentence, soft, n_docs)
-        slope = np.where(labels > 0, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), 1.0) / max(n_docs, 1)
-        by_sentence = slope[doc_of_sentence] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(cols, by_sentence[rows], len(used)), by_sentence.sum())
-        grad[:-1] += DECAY / max(n_docs, 1) ** 0.5 * w[:-1]
+        by_word = np.bincount(word_of, w[feature], n_words)
+        z = np.bincount(sentence_of, by_word[words], len(sentences)) + w[-1]
+        total = np.bincount(doc_of, np.logaddexp(0, z), n_docs)
+        slope = np.where(labels > 0, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), 1.0)
+        by_sentence = slope[doc_of] / (1 + np.exp(-z))
+        back = np.bincount(words, by_sentence[sentence_of], n_words)
+        grad = np.append(np.bincount(feature, back[word_of], len(chosen)), by_sentence.sum())
+        grad[:-1] += DECAY * w[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad ** 2
         w -= RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-9)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = w[:-1]
-    return weights, float(w[-1])
+        np.maximum(w[:-1], 0, out=w[:-1])  # chosen features speak for toxicity only
+    return chosen, w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS, id_col: str = "doc_id",
-          text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
+          text_col: str = "text", label_col: str = "toxic") -> tuple[dict[int, float], float]:
     """Fit on labelled documents outside the held-out third: all of them, or, beyond ``fit_documents``,
-    those whose hashed id is small enough. Words become features in parallel; one task of bounded
-    size fits. Only the weights (1 MB) reach the driver."""
+    those whose hashed id is small enough. Sentences are split in parallel; one task, bounded by
+    ``fit_documents`` texts, fits. Only the weights of the chosen features reach the driver."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(
         F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id")).dropDuplicates(["id"])
     share = min(1.0, fit_documents / max(1, usable.count()))
-    chosen = usable.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))) | F.lit(share >= 1))
+    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < round(share * (1 << 20)))
     # Bounded by fit_documents, a few hundred kB.
     sample = text_of(docs, id_col, text_col).join(F.broadcast(chosen), "id")
 
     def start():
-        known: dict[str, int] = {}
-
         def step(texts, labels):
-            words, sizes = [], []
-            for text in texts:
-                sentences = [[known.setdefault(w, bucket(w)) for w in ws] for _, _, ws in sentence_words(text)]
-                words.append(np.array([b for s in sentences for b in s], np.int32).tobytes())
-                sizes.append(np.array([len(s) for s in sentences], np.int32).tobytes())
-                if len(known) > 1 << 19:
-                    known.clear()
-            return labels, words, sizes
+            lines = ["\n".join(" ".join(sorted(ws)) for _, _, ws in sentence_words(t)) for t in texts]
+            return labels, lines
 
         return step
 
-    features = map_rows(sample.select("text", F.col("label").cast("double")), start,
-                        "label double, words binary, sizes binary",
-                        {"label": pa.float64(), "words": pa.binary(), "sizes": pa.binary()})
+    split = map_rows(sample.select("text", F.col("label").cast("double")), start, "label double, words string",
+                     {"label": pa.float64(), "words": pa.string()})
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        labels = np.array([r["label"] for r in rows])
-        sizes = [np.frombuffer(r["sizes"], np.int32) for r in rows]
-        words = np.concatenate([np.frombuffer(r["words"], np.int32) for r in rows] or [np.zeros(0, np.int32)])
-        lengths = np.concatenate(sizes or [np.zeros(0, np.int32)])
-        docs_of = np.repeat(np.arange(len(rows)), [len(s) for s in sizes])
-        weights, bias = fit_noisy_or(labels, docs_of, np.repeat(np.arange(len(lengths)), lengths), words)
-        yield pa.RecordBatch.from_pylist([{"weights": weights.tobytes(), "bias": bias}])
-
-    row = features.repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+        known: dict[str, int] = {}
+        labels, documents = [], []
+        for batch in batches:
+            for label, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                labels.append(label)
+                documents.append([np.array([known.setdefault(w, len(known)) for w in line.split(" ")], np.int64)
+                                  for line in text.split("\n") if line])
+        chosen, weights, bias = fit_noisy_or(np.array(labels), documents, [features(w) for w in known])
+        yield pa.RecordBatch.from_pylist([{"chosen": chosen.tolist(), "weights": weights.tolist(), "bias": bias}])
+
+    row = split.repartition(1).mapInArrow(fit, "chosen array<long>, weights array<double>, bias double").first()
     if row is None:
-        return np.zeros(BUCKETS, np.float32), BIAS
-    return np.frombuffer(bytes(row["weights"]), np.float32), row["bias"]
+        return {}, BIAS
+    return dict(zip(row["chosen"], row["weights"], strict=True)), row["bias"]
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, weights: dict[int, float], bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score of every whole text, and ``sentences``: (start, end, score) of the offending ones."""
 
     def start():
@@ -131,7 +141,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc
             if value is None:
                 if len(known) > 1 << 19:
                     known.clear()
-                value = known[word] = float(weights[bucket(word)])
+                value = known[word] = sum(weights.get(f, 0.0) for f in features(word))
             return value
 
         def step(ids, texts):
