@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from flowspark.llm import exact, lines, pii, quality, tokens, toxicity
+from flowspark.llm import exact, lines, minhash, pii, quality, tokens, toxicity
 from flowspark.llm.common import table
 
 QUERIES: dict = {}
@@ -53,6 +53,11 @@ def op5_toxicity(spark, sf):
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op8_near_dedup(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @query(r"""
 WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
