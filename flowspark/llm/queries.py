@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from flowspark.llm import exact, lines, minhash, pii, quality, tokens, toxicity
+from flowspark.llm import exact, lines, minhash, mixing, packing, pii, quality, tokens, toxicity
 from flowspark.llm.common import table
 
 QUERIES: dict = {}
@@ -26,6 +27,21 @@ def op1_personal_data(spark, sf):
     return pii.span_report(table(spark, sf, "documents"))
 
 
+#: The mixture of the registered query and of the pipeline: domains by source, and the weights of nodes;
+#: others weigh 1.
+CURATED = r"^src1[0-9]$"
+MIX_WEIGHTS = {("curated",): 2.0, ("web",): 3.0, ("curated", "en"): 2.0, ("web", "en"): 2.0}
+
+
+def domain_of_source():
+    return F.when(F.col("source").rlike(CURATED), "curated").otherwise("web")
+
+
+@query()
+def op2_source_mixture(spark, sf):
+    return mixing.mixture(table(spark, sf, "documents"), domain_of_source(), MIX_WEIGHTS)
+
+
 @query(r"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
@@ -53,6 +69,11 @@ def op5_toxicity(spark, sf):
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op6_retrieval_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query()
 def op8_near_dedup(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"))
