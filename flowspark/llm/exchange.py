@@ -25,14 +25,14 @@ def owners_for(spark: SparkSession, keys: int) -> int:
     return min(MOST_OWNERS, max(shuffle_partitions(spark), -(-keys // OWNER_KEYS)))
 
 
-def owner_base(owner: int, owners: int) -> int:
+def owner_base(owner: int, owners: int, bits: int = KEY_BITS) -> int:
     """The least key of an owner."""
-    return -(-(owner << KEY_BITS) // owners)
+    return -(-(owner << bits) // owners)
 
 
-def cells(keys: np.ndarray, owners: int):
+def cells(keys: np.ndarray, owners: int, bits: int = KEY_BITS):
     """Cut sorted distinct keys into (owner, from, to, k, code)."""
-    bases = np.array([owner_base(o, owners) for o in range(owners + 1)], np.uint64)
+    bases = np.array([owner_base(o, owners, bits) for o in range(owners + 1)], np.uint64)
     cuts = np.searchsorted(keys, bases)
     for owner in np.flatnonzero(np.diff(cuts)):
         a, b = int(cuts[owner]), int(cuts[owner + 1])
@@ -40,20 +40,31 @@ def cells(keys: np.ndarray, owners: int):
         yield int(owner), a, b, k, code
 
 
-def answers(sent: DataFrame, owners: int) -> DataFrame:
-    """From rows (block, owner, n, k, code): (block, owner, bits), a bit for each key that another
-    block sent as well."""
+def answers(sent: DataFrame, owners: int, bits: int = KEY_BITS, least: bool = False) -> DataFrame:
+    """From rows (block, owner, n, k, code): (block, owner, bits), a bit for each key that another block
+    sent as well. With ``least`` the rows also hold the least id the block has for each key (int64),
+    and the bit says that another block has a smaller one."""
 
     def own(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        base = owner_base(rows[0]["owner"], owners)
-        lists = [golomb.decode(r["code"], r["n"], r["k"], base) for r in rows]
-        every = np.sort(np.concatenate(lists))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
+        base = owner_base(rows[0]["owner"], owners, bits)
+        keys = np.concatenate([golomb.decode(r["code"], r["n"], r["k"], base) for r in rows])
+        if least:
+            ids = np.concatenate([np.frombuffer(r["least"], np.int64) for r in rows])
+            order = np.lexsort((ids, keys))
+            first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]) != 0)
+            smallest = np.repeat(ids[order[first]], np.diff(np.append(first, len(order))))
+            flags = np.empty(len(keys), bool)
+            flags[order] = ids[order] > smallest
+        else:
+            every = np.sort(keys)
+            flags = np.isin(keys, every[1:][every[1:] == every[:-1]])
+        cuts = np.cumsum([0, *(r["n"] for r in rows)])
         return pa.table({
-            "block": [r["block"] for r in rows], "owner": pa.array([r["owner"] for r in rows], pa.int32()),
-            "bits": [golomb.pack(np.isin(x, shared, assume_unique=True)) for x in lists],
+            "block": pa.array([r["block"] for r in rows], pa.int64()),
+            "owner": pa.array([r["owner"] for r in rows], pa.int32()),
+            "bits": pa.array([golomb.pack(flags[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
         })
 
-    return sent.select("block", "owner", "n", "k", "code").groupBy("owner").applyInArrow(
-        own, "block long, owner int, bits binary")
+    columns = ["block", "owner", "n", "k", "code", *["least"] * least]
+    return sent.select(*columns).groupBy("owner").applyInArrow(own, "block long, owner int, bits binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowspark.llm import exact, lines, minhash, mixing, packing, pii, quality, tokens, toxicity
+from flowspark.llm import exact, lines, minhash, mixing, packing, pii, quality, repeats, tokens, toxicity
 from flowspark.llm.common import table
 
 QUERIES: dict = {}
@@ -74,6 +74,11 @@ def op6_retrieval_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query()
+def op7_substring_dedup(spark, sf):
+    return repeats.repeats(table(spark, sf, "documents"))
+
+
 @query()
 def op8_near_dedup(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"))
