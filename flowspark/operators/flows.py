@@ -25,6 +25,9 @@ FIN, SYN, RST, PSH, ACK, URG = 0x01, 0x02, 0x04, 0x08, 0x10, 0x20
 
 BLOCK_ROWS = 1 << 20
 KEY = ["k_ip1", "k_port1", "k_ip2", "k_port2", "proto"]
+#: Inside, null key parts are '' or -1 and this column has a bit for each of the four, so that joins,
+#: windows and folds all compare them alike.
+NULLS = "k_null"
 CARRIED = -1  # carry group of the segments that touch a block edge
 SIDES = (0, 1)
 
@@ -48,6 +51,24 @@ def flow_key(packets: DataFrame) -> DataFrame:
     )
 
 
+def filled_key(rows: DataFrame) -> DataFrame:
+    """Key parts without nulls, and which of them were null."""
+    empty = {"k_ip1": "''", "k_port1": "-1", "k_ip2": "''", "k_port2": "-1"}
+    nulls = " + ".join(f"CASE WHEN {c} IS NULL THEN {1 << i} ELSE 0 END" for i, c in enumerate(empty))
+    return rows.withColumn(NULLS, F.expr(nulls)).withColumns(
+        {c: F.expr(f"coalesce({c}, {value})") for c, value in empty.items()})
+
+
+def _part(name: str) -> str:
+    """A key part as it came, null included."""
+    return f"CASE WHEN {NULLS} & {1 << KEY.index(name)} = 0 THEN {name} END"
+
+
+def restored_key(rows: DataFrame) -> DataFrame:
+    """Undo :func:`filled_key`."""
+    return rows.withColumns({c: F.expr(_part(c)) for c in KEY[:4]}).drop(NULLS)
+
+
 def capture_window(packets: DataFrame, width_us: int = CAPTURE_US) -> DataFrame:
     """Add the start of the tumbling capture buffer a packet falls into."""
     return packets.withColumn("k_window", F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(width_us)))
@@ -55,14 +76,14 @@ def capture_window(packets: DataFrame, width_us: int = CAPTURE_US) -> DataFrame:
 
 def keyed_rows(packets: DataFrame, block_rows: int = BLOCK_ROWS, window_us: int | None = None):
     """Rows of TCP and UDP packets with key, side and block; returns (rows, key columns)."""
-    rows = flow_key(packets.where(F.col("proto").isin(TCP, UDP)))
-    key = list(KEY)
+    rows = filled_key(flow_key(packets.where(F.col("proto").isin(TCP, UDP))))
+    key = [*KEY, NULLS]
     if window_us:
         rows, key = capture_window(rows, window_us), key + ["k_window"]
     rows = rows.selectExpr(
-        *key, "CASE WHEN srcip = k_ip1 THEN 0 ELSE 1 END AS side", f"seq div {block_rows} AS block",
+        *key, "CASE WHEN coalesce(srcip, '') = k_ip1 THEN 0 ELSE 1 END AS side", f"seq div {block_rows} AS block",
         "seq", "ts_us", "CAST(len AS BIGINT) AS len", "CAST(iphlen + prhlen AS BIGINT) AS hlen",
-        "CAST(dscp AS BIGINT) AS dscp", "coalesce(flags, 0) AS flags",
+        "coalesce(CAST(dscp AS BIGINT), 0) AS dscp", "coalesce(flags, 0) AS flags",
     )
     return rows, key
 
@@ -127,14 +148,14 @@ def mark_runs(rows: DataFrame, key: list[str]) -> DataFrame:
 # Measures of one side of one segment, by how they merge.
 SUMS = ["n", "vol", "vol2", "hlen", "psh", "urg", "iat_n", "iat_sum", "iat_hh", "iat_hl", "iat_ll"]
 MAXS = ["len_max", "len_state", "iat_max", "iat_level", "last_ts", "last_seq"]
-MINS = ["first_ts", "first"]
+MINS = ["first_ts", "first_seq"]
 FLAGS = ["valid_hit", "closes"]
-DSCP_BASE = 256  # a packet's seq and dscp in one bigint: seq * 256 + dscp
 # Minima restart after a zero. Their state is the position (seq) of the latest zero and the lowest
-# value since. IP lengths have 16 bits, so for them both fit one bigint: the greatest state has the
-# latest zero and, among equals, the lowest length.
-LEN_BITS = 17
-LEN_NONE = (1 << LEN_BITS) - 1
+# value since. For lengths both are one decimal, (position + 1) * LEN_SPAN + what the length lacks to
+# LEN_SPAN - 1: the greatest state has the latest zero and, among equals, the lowest length. It holds
+# every bigint position and any length below LEN_SPAN.
+LEN_SPAN = 10**12
+_SPAN = f"CAST({LEN_SPAN} AS DECIMAL(13,0))"
 
 
 def _window(columns: list[str], order: str = "", frame: str = "") -> str:
@@ -161,8 +182,8 @@ def segments(rows: DataFrame, key: list[str]) -> DataFrame:
     leveled = rows.selectExpr("*", *zeros).selectExpr(
         *rows.columns,
         "CASE side WHEN 0 THEN iat_zero0 ELSE iat_zero1 END AS iat_level",
-        f"shiftleft(coalesce(CASE side WHEN 0 THEN len_zero0 ELSE len_zero1 END, -1L), {LEN_BITS})"
-        f" + CASE WHEN len = 0 THEN 0 ELSE {LEN_NONE} - len END AS len_state",
+        "CAST((CAST(coalesce(CASE side WHEN 0 THEN len_zero0 ELSE len_zero1 END, -1L) AS DECIMAL(20,0)) + 1)"
+        f" * {_SPAN} + CASE WHEN len = 0 THEN 0 ELSE {LEN_SPAN - 1} - len END AS DECIMAL(38,0)) AS len_state",
         *[f"{part} AS iat_{name}" for name, part in exact.square_limbs("iat").items()],
     )
     e = F.expr
@@ -175,7 +196,7 @@ def segments(rows: DataFrame, key: list[str]) -> DataFrame:
         e("max(len) AS len_max"), e("max(len_state) AS len_state"), e("max(iat) AS iat_max"),
         e("min(nullif(iat, 0)) AS iat_low"),
         e("max(ts_us) AS last_ts"), e("max(seq) AS last_seq"), e("min(ts_us) AS first_ts"),
-        e(f"min(seq * {DSCP_BASE} + dscp) AS first"), e("max(gap) AS gap"),
+        e("min(seq) AS first_seq"), e("min_by(dscp, seq) AS first_dscp"), e("max(gap) AS gap"),
         *[e(f"max({c}) AS {c}") for c in flags],
     )
     sided = [
@@ -183,10 +204,11 @@ def segments(rows: DataFrame, key: list[str]) -> DataFrame:
         for fn, names in (("sum", SUMS), ("max", MAXS), ("min", MINS)) for c in names
     ]
     sided.append("max_by(iat_low, CASE WHEN side = @ THEN coalesce(iat_level, -1) END) AS s@_iat_low")
+    sided.append("min_by(first_dscp, CASE WHEN side = @ THEN first_seq END) AS s@_first_dscp")
     return by_side.groupBy(*seg).agg(
         *[e(x) for template in sided for x in _both(template)],
         e("min(first_ts) AS first_ts"), e("max(last_ts) AS last_ts"), e("max(last_seq) AS last_seq"),
-        e("min(first) AS first"), e(f"min(first) div {DSCP_BASE} AS first_seq"),
+        e("min(first_seq) AS first_seq"), e("min_by(first_dscp, first_seq) AS first_dscp"),
         # Only the packet that opens a burst inside a flow has waited through an idle gap.
         e("max(CASE WHEN l_burst <> coalesce(l_flow, -1) THEN gap END) AS idle"),
         *[e(f"max({c}) AS {c}") for c in flags],
@@ -221,16 +243,17 @@ def settle_segments(segs: DataFrame, key: list[str]) -> DataFrame:
         "*",
         *_both("CASE WHEN running@ AND s@_n > 0 THEN s@_first_ts - c_last@.ts END AS edge@"),
         # The first packet of this side in its burst may set the dscp.
-        *_both(f"CASE WHEN NOT running@ AND s@_first % {DSCP_BASE} <> 0 THEN s@_first END AS s@_dscp"),
+        *_both("CASE WHEN NOT running@ AND s@_first_dscp <> 0 THEN s@_first_seq END AS s@_dscp_seq"),
     )
     flags = [c for c in FLAGS if c in segs.columns]
-    same = ["n", "vol", "vol2", "hlen", "psh", "urg", "len_max", "len_state", "last_seq", "first", "dscp"]
+    same = ["n", "vol", "vol2", "hlen", "psh", "urg", "len_max", "len_state", "last_seq", "first_seq",
+            "first_dscp", "dscp_seq"]
     fixed = [f"s@_{c}" for c in same] + [
         "s@_iat_n + CASE WHEN edge@ IS NULL THEN 0 ELSE 1 END AS s@_iat_n",
         "coalesce(s@_iat_sum, 0) + coalesce(edge@, 0) AS s@_iat_sum",
         "greatest(s@_iat_max, edge@) AS s@_iat_max",
         # An edge gap comes before the gaps of its segment: a zero among those makes it void.
-        f"CASE WHEN s@_iat_level IS NULL AND edge@ = 0 THEN s@_first div {DSCP_BASE}"
+        "CASE WHEN s@_iat_level IS NULL AND edge@ = 0 THEN s@_first_seq"
         " ELSE s@_iat_level END AS s@_iat_level",
         "CASE WHEN s@_iat_level IS NULL AND edge@ <> 0 THEN least(s@_iat_low, edge@)"
         " ELSE s@_iat_low END AS s@_iat_low",
@@ -239,7 +262,7 @@ def settle_segments(segs: DataFrame, key: list[str]) -> DataFrame:
         for name, part in exact.square_limbs("edge@").items()
     ]
     return segs.selectExpr(
-        *key, "flow_seq", "burst_seq", "first_seq", "first", "first_ts", "last_ts", "idle", "followed",
+        *key, "flow_seq", "burst_seq", "first_seq", "first_dscp", "first_ts", "last_ts", "idle", "followed",
         *flags, *[x for template in fixed for x in _both(template)],
     )
 
@@ -252,14 +275,15 @@ def flow_rows(segs: DataFrame, key: list[str]) -> DataFrame:
     flags = [c for c in FLAGS if c in segs.columns]
     segs = segs.selectExpr(
         "*",
-        *_both(f"max(shiftright(s@_len_state, {LEN_BITS})) {whole_flow} AS len_top@"),
+        *_both(f"max(s@_len_state div {_SPAN} - 1) {whole_flow} AS len_top@"),
         *_both(f"max(s@_iat_level) {whole_flow} AS iat_top@"),
     )
-    low_len = f"nullif({LEN_NONE} - (s@_len_state & {LEN_NONE}), {LEN_NONE})"
+    low_len = f"nullif({LEN_SPAN - 1} - CAST(s@_len_state % {_SPAN} AS BIGINT), {LEN_SPAN - 1})"
     sides = [f"sum(s@_{c}) AS s@_{c}" for c in ("n", "vol", "hlen", "psh", "urg", "iat_n", "iat_sum")] + [
         f"sum({exact.decimal('s@_vol2', 28)}) AS s@_vol2",
         f"sum({exact.join_limbs('s@_iat_hh', 's@_iat_hl', 's@_iat_ll')}) AS s@_iat2",
-        "max(s@_len_max) AS s@_len_max", "max(s@_iat_max) AS s@_iat_max", "min(s@_dscp) AS s@_dscp",
+        "max(s@_len_max) AS s@_len_max", "max(s@_iat_max) AS s@_iat_max", "min(s@_dscp_seq) AS s@_dscp_seq",
+        "min_by(s@_first_dscp, s@_dscp_seq) AS s@_dscp",
         f"min(CASE WHEN s@_last_seq >= len_top@ THEN {low_len} END) AS s@_len_min",
         "min(CASE WHEN iat_top@ IS NULL OR s@_last_seq >= iat_top@ THEN s@_iat_low END) AS s@_iat_min",
     ]
@@ -267,20 +291,21 @@ def flow_rows(segs: DataFrame, key: list[str]) -> DataFrame:
         *[e(x) for template in sides for x in _both(template)],
         e("max(last_ts) - min(first_ts) AS active"), e("max(idle) AS idle"),
         e("min(first_ts) AS first_ts"), e("max(last_ts) AS last_ts"), e("max(followed) AS followed"),
-        e("max(CASE WHEN first_seq = flow_seq THEN CASE WHEN s0_first = first THEN 0 ELSE 1 END END)"
+        e("max(CASE WHEN first_seq = flow_seq THEN CASE WHEN s0_first_seq = first_seq THEN 0 ELSE 1 END END)"
           " AS first_side"),
-        e(f"min(CASE WHEN first_seq = flow_seq AND first % {DSCP_BASE} <> 0 THEN first END) AS open_dscp"),
+        e("max(CASE WHEN first_seq = flow_seq AND first_dscp <> 0 THEN first_dscp END) AS open_dscp"),
         *[e(f"max({c}) AS {c}") for c in flags],
     ).selectExpr("*", f"max(CASE WHEN active = 0 THEN burst_seq END) {whole_flow} AS active_top")
     totals = [f"sum(s@_{c}) AS s@_{c}" for c in
               ("n", "vol", "hlen", "psh", "urg", "iat_n", "iat_sum", "vol2", "iat2")]
     totals += [f"max(s@_{c}) AS s@_{c}" for c in ("len_max", "iat_max")]
-    totals += [f"min(s@_{c}) AS s@_{c}" for c in ("len_min", "iat_min", "dscp")]
+    totals += [f"min(s@_{c}) AS s@_{c}" for c in ("len_min", "iat_min")]
+    totals.append("min_by(s@_dscp, s@_dscp_seq) AS s@_dscp")
     square = lambda c: f"sum(CAST({exact.decimal(c, 18)} * {exact.decimal(c, 18)} AS DECIMAL(38,0)))"
     return bursts.groupBy(*flow).agg(
         *[e(x) for template in totals for x in _both(template)],
         e("min(first_ts) AS first_ts"), e("max(last_ts) AS last_ts"), e("max(followed) AS followed"),
-        e("max(first_side) AS first_side"), e("min(open_dscp) AS open_dscp"),
+        e("max(first_side) AS first_side"), e("max(open_dscp) AS open_dscp"),
         e("count(1) AS active_n"), e("sum(active) AS active_sum"), e(f"{square('active')} AS active2"),
         e("max(active) AS active_max"),
         e("min(CASE WHEN burst_seq > coalesce(active_top, -1) THEN active END) AS active_min"),
@@ -307,9 +332,11 @@ def flow_columns(flows: DataFrame) -> DataFrame:
     directed = flows.selectExpr(
         *window, "CAST(proto AS BIGINT) AS proto", "flow_seq", "last_ts", "last_ts - first_ts AS duration", "followed",
         *(FLAGS if tcp_close else [f"false AS {c}" for c in FLAGS]),
-        pick("k_ip1", "k_ip2", "srcip"), pick("k_port1", "k_port2", "srcport"),
-        pick("k_ip2", "k_ip1", "dstip"), pick("k_port2", "k_port1", "dstport"),
-        f"coalesce(CASE WHEN first_side = 0 THEN least(open_dscp, s1_dscp) ELSE least(open_dscp, s0_dscp) END % {DSCP_BASE}, 0) AS dscp",
+        *[pick(_part(a), _part(b), name) for a, b, name in (
+            ("k_ip1", "k_ip2", "srcip"), ("k_port1", "k_port2", "srcport"),
+            ("k_ip2", "k_ip1", "dstip"), ("k_port2", "k_port1", "dstport"))],
+        # A flow's first packet comes before any of the other side.
+        "coalesce(open_dscp, CASE WHEN first_side = 0 THEN s1_dscp ELSE s0_dscp END, 0) AS dscp",
         *[pick(f"coalesce(s{int(d == 'b')}_{c}, 0)", f"coalesce(s{int(d == 'f')}_{c}, 0)", name.replace("@", d))
           for c, name in final.items() for d in "fb"],
         "active_n", "active_sum", "active2", "active_max AS max_active", "coalesce(active_min, 0) AS min_active",
@@ -407,8 +434,8 @@ def assign_flows(
         F.last("side", ignorenulls=True).over(along).alias("c_side"),
     ).where(F.col("c_flow").isNotNull())
     first_side = F.coalesce("open_side", "c_side")
-    return rows.join(carry, [*key, "block"], "left").select(
-        *key, "seq", "ts_us", "len", "gap", F.col("side"),
+    return restored_key(rows.join(carry, [*key, "block"], "left")).select(
+        *[k for k in key if k != NULLS], "seq", "ts_us", "len", "gap", F.col("side"),
         F.coalesce("l_flow", "c_flow").alias("flow_seq"),
         F.coalesce("l_burst", "c_burst").alias("burst_seq"),
         F.when(F.col("side") == first_side, "f").otherwise("b").alias("direction"),

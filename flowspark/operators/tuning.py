@@ -13,40 +13,6 @@ from flowspark.session import cut_lineage
 
 # Folds, and the parameter grids that may be searched per algorithm.
 FOLDS = 10
-GRIDS = {
-    "decision_tree": {
-        "impurity": ["gini", "entropy"], "maxDepth": [3, 6, 9, 12, 15, 18, 21, 24, 27, 30],
-        "maxBins": [2, 4, 8, 16, 32], "minInfoGain": [0.0, 0.1, 0.2, 0.3, 0.4, 0.5],
-        "minInstancesPerNode": [1, 2, 5, 10, 20, 40],
-    },
-    "random_forest": {
-        "featureSubsetStrategy": ["all", "onethird", "sqrt", "log2"], "impurity": ["gini", "entropy"],
-        "maxDepth": [3, 6, 9, 12, 15, 18, 21, 24, 27, 30], "maxBins": [2, 4, 8, 16, 32],
-        "minInfoGain": [0.0, 0.1, 0.2, 0.3, 0.4, 0.5], "minInstancesPerNode": [1, 2, 5, 10, 20, 40],
-        "numTrees": [100, 200, 300, 400, 500, 600, 700, 800, 900, 1000], "subsamplingRate": [0.5, 0.75, 1.0],
-    },
-    "gradient_boosted_tree": {
-        "featureSubsetStrategy": ["all", "onethird", "sqrt", "log2"], "impurity": ["gini", "entropy"],
-        "maxDepth": [3, 6, 9, 12, 15, 18, 21, 24, 27, 30], "maxBins": [2, 4, 8, 16, 32],
-        "minInfoGain": [0.0, 0.1, 0.2, 0.3, 0.4, 0.5], "minInstancesPerNode": [1, 2, 5, 10, 20, 40],
-        "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.5, 0.75, 1.0],
-    },
-    "logistic_regression": {
-        "elasticNetParam": [0.0, 0.25, 0.5, 0.75, 1.0], "fitIntercept": [True, False],
-        "maxIter": [5, 10, 20, 50, 100, 200], "regParam": [0.0, 0.01, 0.1, 0.3],
-        "standardization": [True, False], "tol": [0.000001, 0.00001, 0.0001, 0.001],
-    },
-    "naive_bayes": {"smoothing": [0.0, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0]},
-    "neural_network": {
-        "layers": [[40, 21, 2]], "maxIter": [5, 10, 20, 50, 100, 200],
-        "stepSize": [10e-6, 10e-5, 10e-4, 10e-3, 10e-2, 10e-1, 1.0], "tol": [0.000001, 0.00001, 0.0001, 0.001],
-    },
-    "svm": {
-        "fitIntercept": [True, False], "maxIter": [5, 10, 20, 50, 100, 200],
-        "regParam": [0.0, 0.01, 0.1, 0.3], "standardization": [True, False],
-        "tol": [0.000001, 0.00001, 0.0001, 0.001],
-    },
-}
 
 
 def grid(est: Estimator, values: dict[str, list]) -> list[dict]:

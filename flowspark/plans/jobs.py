@@ -105,10 +105,12 @@ def online_model(train: DataFrame, algorithm: str, pca_k: int | None = None, par
 
 
 def _score_and_measure(spark, model, prepared, out: str, timeout, metrics_path, progress_path, once) -> dict:
-    query = sinks.write_predictions_csv(windows.score_stream(model, prepared), out, once=once)
-    sinks.run_bounded(query, timeout)
+    with progress.recorded(spark) as reports:
+        query = sinks.write_predictions_csv(windows.score_stream(model, prepared), out, once=once)
+        sinks.run_bounded(query, timeout)
+        reports.catch_up(query)
     result = metrics.confusion_metrics(readers.read_predictions(spark, out))
-    batches = progress.progress_metrics(spark, query)
+    batches = reports.metrics(spark, query)
     if metrics_path:
         writers.export_metrics(result, metrics_path)
     if progress_path:
@@ -172,3 +174,18 @@ def publish_packet_flows(messages: DataFrame, writer, checkpoint: str, label=0,
     """Packet messages to labelled aggregate-flow messages, one flow table per micro-batch."""
     packets = codec.parse_packet_payload(readers.payload_stream(messages))
     return sinks.publish_flows(packets, writer, checkpoint, label, interval, once, **flow_options)
+
+
+def run_packet_flows(spark: SparkSession, messages: DataFrame, writer, checkpoint: str, label=0,
+                     interval: str = sinks.FLOW_INTERVAL, timeout: float | None = None, progress_path: str | None = None,
+                     once: bool = False, **flow_options) -> DataFrame:
+    """:func:`publish_packet_flows` until it ends or for ``timeout`` seconds; returns the progress of every
+    batch and exports it."""
+    with progress.recorded(spark) as reports:
+        query = publish_packet_flows(messages, writer, checkpoint, label, interval, once, **flow_options)
+        sinks.run_bounded(query, timeout)
+        reports.catch_up(query)
+    batches = reports.metrics(spark, query)
+    if progress_path:
+        writers.export_metrics(batches, progress_path)
+    return batches

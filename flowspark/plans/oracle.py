@@ -228,6 +228,22 @@ def flow_query(select, tcp_close=False, window=False):
     return f"WITH RECURSIVE {PACKETS},\n{flow_ctes(tcp_close, window)}\n{select}"
 
 
+#: Hosts whose ports a capture did not see. Inside, -1 stands for null: SQL joins do not match nulls.
+PORTLESS = ("192.168.0.3", "192.168.0.5")
+_PORTLESS = ", ".join(f"'{ip}'" for ip in PORTLESS)
+PORTLESS_PACKETS = PACKETS.replace("packets AS (", "seen AS (") + f""",
+packets AS (SELECT * REPLACE (
+  CASE WHEN srcip IN ({_PORTLESS}) OR dstip IN ({_PORTLESS}) THEN -1 ELSE srcport END AS srcport,
+  CASE WHEN srcip IN ({_PORTLESS}) OR dstip IN ({_PORTLESS}) THEN -1 ELSE dstport END AS dstport) FROM seen)"""
+
+
+def portless_flow_query(select, tcp_close=False):
+    """As :func:`flow_query` with null ports at some hosts; ``select`` reads ``flows``."""
+    flows = "SELECT * REPLACE (nullif(srcport, -1) AS srcport, nullif(dstport, -1) AS dstport) FROM flows"
+    return (f"WITH RECURSIVE {PORTLESS_PACKETS},\n{flow_ctes(tcp_close)},\nportless AS ({flows})\n"
+            + select.replace("FROM flows", "FROM portless"))
+
+
 LABEL = ("CASE WHEN CAST(string_split(CASE WHEN srcip LIKE '10.0.%' THEN srcip ELSE dstip END, '.')[4] AS INTEGER) % 4 = 0"
          " THEN 1 ELSE 0 END")
 STATS = ", ".join(FEATURES)

@@ -500,6 +500,41 @@ def flw3_split_flows_tcp_in_blocks(spark, sf):
         "srcip", "srcport", "dstip", "dstport", "flow_seq", "total_fpackets", "total_bpackets", "end_reason")
 
 
+def _portless(spark, sf):
+    """Packets, some hosts' without ports."""
+    hidden = F.col("srcip").isin(*O.PORTLESS) | F.col("dstip").isin(*O.PORTLESS)
+    return _packets(spark, sf).withColumns({c: F.when(~hidden, F.col(c)) for c in ("srcport", "dstport")})
+
+
+_PORTLESS_STATS = O.portless_flow_query(f"SELECT {O.STATS} FROM flows")
+_PORTLESS_TCP = O.portless_flow_query(
+    "SELECT srcip, srcport, dstip, dstport, flow_seq, total_fpackets, total_bpackets, end_reason FROM flows WHERE proto = 6",
+    tcp_close=True)
+
+
+@query(_PORTLESS_STATS)
+def flw19_flow_stats_null_ports(spark, sf):
+    return flows.flow_stats(_portless(spark, sf))
+
+
+@query(_PORTLESS_STATS)
+def flw19_flow_stats_null_ports_in_blocks(spark, sf):
+    return flows.flow_stats(_portless(spark, sf), block_rows=SMALL_BLOCKS)
+
+
+@query(_PORTLESS_TCP)
+def flw3_split_flows_tcp_null_ports(spark, sf):
+    return flows.flow_table(_portless(spark, sf), tcp_close=True).where(F.col("proto") == schemas.TCP).select(
+        "srcip", "srcport", "dstip", "dstport", "flow_seq", "total_fpackets", "total_bpackets", "end_reason")
+
+
+@query(_PORTLESS_TCP)
+def flw3_split_flows_tcp_null_ports_in_blocks(spark, sf):
+    found = flows.flow_table(_portless(spark, sf), tcp_close=True, block_rows=SMALL_BLOCKS)
+    return found.where(F.col("proto") == schemas.TCP).select(
+        "srcip", "srcport", "dstip", "dstport", "flow_seq", "total_fpackets", "total_bpackets", "end_reason")
+
+
 @query(O.flow_query("SELECT seq, flow_seq, hit AS valid_hit, closes FROM marked WHERE proto = 6", tcp_close=True))
 def flw4_tcp_state(spark, sf):
     keyed, key = flows.keyed_rows(_packets(spark, sf))
@@ -849,6 +884,15 @@ def str10_progress_metrics(spark, sf):
     return progress.progress_metrics(spark, q)
 
 
+@query(O.flow_query('SELECT count(*) AS "Input rows" FROM flows'))
+def str10_progress_input_rows(spark, sf):
+    files = _flow_files(spark, sf)
+    with progress.recorded(spark) as reports:
+        _, _, q = _collect_stream(spark, readers.stream_flows(spark, files))
+        reports.catch_up(q)
+    return reports.metrics(spark, q).agg(F.sum("Input rows").alias("Input rows"))
+
+
 def _chained(spark, sf, algorithm):
     topic, index = scratch_dir(spark, "topic"), scratch_dir(spark, "index")
     train, messages = _online(spark, sf)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -36,32 +38,33 @@ def progress_row(progress) -> tuple:
     return tuple(values[n] for n in STREAMING_METRICS)
 
 
-def _frame(spark: SparkSession, reports) -> DataFrame:
-    # The last report of a batch stands for it.
-    latest = {}
-    for row in map(progress_row, reports):
-        latest[row[0]] = row
-    return spark.createDataFrame([latest[b] for b in sorted(latest)], metric_schema(STREAMING_METRICS))
+def _frame(spark: SparkSession, rows) -> DataFrame:
+    return spark.createDataFrame(list(rows), metric_schema(STREAMING_METRICS))
 
 
 def progress_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per micro-batch of a query, the last one included."""
-    return _frame(spark, query.recentProgress)
+    """One row per micro-batch that the query itself still remembers: by default the last 100. For all
+    batches, :func:`recorded` from before the start."""
+    latest = {row[0]: row for row in map(progress_row, query.recentProgress)}
+    return _frame(spark, [latest[b] for b in sorted(latest)])
 
 
 class ProgressListener(StreamingQueryListener):
-    """Collects the progress of one query (by id), or of all queries of the session."""
+    """Keeps the progress of one query (by id), or of all queries of the session: every batch, of any
+    number. A restarted query has the same id but another run; batches of different runs are kept
+    apart. The last report of a batch stands for it."""
 
     def __init__(self, query_id: str | None = None):
         self.query_id = query_id
-        self.reports = []
+        self.rows = {}  # (query id, run id, batch) -> values
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
-        if self.query_id in (None, str(event.progress.id)):
-            self.reports.append(event.progress)
+        p = event.progress
+        if self.query_id in (None, str(p.id)):
+            self.rows[str(p.id), str(p.runId), p.batchId] = progress_row(p)
 
     def onQueryIdle(self, event):
         pass
@@ -69,5 +72,28 @@ class ProgressListener(StreamingQueryListener):
     def onQueryTerminated(self, event):
         pass
 
-    def metrics(self, spark: SparkSession) -> DataFrame:
-        return _frame(spark, self.reports)
+    def catch_up(self, query: StreamingQuery, seconds: float = 30) -> None:
+        """Wait for the report of a finished query's last batch: reports come on a thread of their own."""
+        last, end = query.lastProgress, time.monotonic() + seconds
+        if last is None:
+            return
+        last = json.loads(last.json) if hasattr(last, "json") else last
+        key = (str(last["id"]), str(last["runId"]), int(last["batchId"]))
+        while key not in self.rows and time.monotonic() < end:
+            time.sleep(0.05)
+
+    def metrics(self, spark: SparkSession, query: StreamingQuery | None = None) -> DataFrame:
+        """A row per batch; of one query, or of all queries seen."""
+        rows = self.rows.items()
+        return _frame(spark, [v for (q, _, _), v in rows if query is None or q == str(query.id)])
+
+
+@contextmanager
+def recorded(spark: SparkSession):
+    """A listener for the queries started inside."""
+    listener = ProgressListener()
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)

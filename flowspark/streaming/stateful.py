@@ -6,7 +6,7 @@ State per flow key is one open flow: a fixed number of counters, however long th
 from __future__ import annotations
 
 from decimal import Decimal
-from math import isqrt
+from math import sqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +59,8 @@ def _std(flow, series):
     n, total = flow[f"{series}_n"], flow[f"{series}_total"]
     if n < 2:
         return 0
-    return isqrt((flow[f"{series}_squares"] - total * total // n) // (n - 1))
+    # The rule of the batch: the root in floating point, cut to a whole number.
+    return int(sqrt((flow[f"{series}_squares"] - total * total // n) // (n - 1)))
 
 
 def _count_packet(flow: dict, is_tcp: bool, p: dict) -> str:

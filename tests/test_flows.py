@@ -1,5 +1,6 @@
 """Flow rules: hand-made packet lists, and random ones against SQL and the streaming state."""
 
+import math
 import random
 
 import duckdb
@@ -135,8 +136,7 @@ def test_large_gaps_square_exactly(spark):
     n, total = len([g for g in gaps if g > 1_000_000]), sum(g for g in gaps if g > 1_000_000)
     row = one(spark, packets)
     squares = sum(g * g for g in gaps if g > 1_000_000)
-    from math import isqrt
-    assert row["std_idle"] == isqrt((squares - total * total // n) // (n - 1))
+    assert row["std_idle"] == int(math.sqrt((squares - total * total // n) // (n - 1)))
 
 
 def random_packets(seed, n=260):
@@ -187,9 +187,13 @@ def by_state(packets, tcp_close):
     return sorted(str(tuple(r[c] for c in (*FEATURES, "end_reason", "valid"))) for r in out)
 
 
-def by_spark(spark, packets, **options):
+def spark_rows(spark, packets, **options):
     rows = flows.flow_table(frame(spark, packets), **options).select(*FEATURES, "end_reason", "valid").collect()
-    return sorted(str(tuple(r)) for r in rows)
+    return [tuple(r) for r in rows]
+
+
+def by_spark(spark, packets, **options):
+    return sorted(map(str, spark_rows(spark, packets, **options)))
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -214,6 +218,36 @@ def test_random_packets_with_capture_window(spark):
     assert by_spark(spark, packets, window_us=flows.CAPTURE_US, block_rows=11) == by_sql(packets, window=True)
 
 
+def test_null_ports_are_values(spark):
+    """Flows of keys with null parts do not depend on the block size, and no flow is lost."""
+    def ports(p, value):
+        return (*p[:4], value, value, *p[6:]) if p[2] == "10.0.0.3" else p
+
+    packets = random_packets(11)
+    for options in ({}, {"tcp_close": True}):
+        unseen = [ports(p, None) for p in packets]
+        whole = spark_rows(spark, unseen, **options)
+        marked = [tuple(None if i in (1, 3) and x == 9999 else x for i, x in enumerate(row))
+                  for row in spark_rows(spark, [ports(p, 9999) for p in packets], **options)]
+        assert sorted(map(str, whole)) == sorted(map(str, marked))
+        assert sorted(map(str, whole)) == sorted(map(str, spark_rows(spark, unseen, block_rows=5, **options)))
+    seen, other = tcp_packet(0, 0, 2), tcp_packet(1, 1, 2)
+    for options in ({}, {"tcp_close": True}):
+        assert flows.flow_stats(frame(spark, [seen, (*other[:4], None, None, *other[6:])]), **options).count() == 2
+
+
+@pytest.mark.parametrize("offset", [2**46, 2**55, 2**62])
+def test_large_sequence_numbers(spark, offset):
+    packets = random_packets(12)
+    want = by_spark(spark, packets, tcp_close=True)
+    assert by_spark(spark, [(p[0] + offset, *p[1:]) for p in packets], tcp_close=True) == want
+
+
+def test_large_lengths(spark):
+    row = one(spark, [packet(0, 0, size=200_000), packet(1, 5, size=150_000)])
+    assert (row["min_fpktl"], row["max_fpktl"]) == (150_000, 200_000)
+
+
 def test_one_key_holding_most_rows_is_spread(spark):
     hot = [packet(i, 10 * i) for i in range(2000)]
     rows, key = flows.keyed_rows(frame(spark, hot), block_rows=100)

@@ -1,5 +1,6 @@
 """Edge cases of the operators, on small hand-made data."""
 
+import json
 import math
 
 import numpy as np
@@ -200,16 +201,57 @@ def test_restart_continues_from_the_checkpoint(spark, tmp_path):
 
 
 def test_bounded_run_and_listener(spark, tmp_path):
-    listener = progress.ProgressListener()
-    spark.streams.addListener(listener)
-    try:
+    with progress.recorded(spark) as reports:
         rate = spark.readStream.format("rate").option("rowsPerSecond", 5).load().select(F.col("value").cast("string"))
         q = sinks.relay(rate, writers.file_writer(str(tmp_path / "out"), "text"), str(tmp_path / "state"), "1 second")
         sinks.run_bounded(q, 6)
         assert not q.isActive
-    finally:
-        spark.streams.removeListener(listener)
-    assert {"Batch id", "Run continuous"} <= set(progress.progress_metrics(spark, q).columns)
+    assert {"Batch id", "Run continuous"} <= set(reports.metrics(spark, q).columns)
+
+
+def test_progress_of_every_batch(spark, tmp_path):
+    """More batches than a query remembers, and a second query beside it; runs of one query stay apart."""
+    n = 110
+    source = str(tmp_path / "in")
+    spark.range(n).select(F.col("id").cast("string").alias("value")).repartitionByRange(n, "value").write.text(source)
+
+    def copy(name, files):
+        stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", files).text(source)
+        return sinks.relay(stream, writers.file_writer(str(tmp_path / name), "text"), str(tmp_path / f"{name}-state"), once=True)
+
+    with progress.recorded(spark) as reports:
+        one = sinks.run_bounded(copy("a", 1))
+        two = sinks.run_bounded(copy("b", n))
+        for q in (one, two):
+            reports.catch_up(q)
+    rows = reports.metrics(spark, one).where(F.col("Input rows") > 0)
+    assert rows.count() > 100 and rows.agg(F.sum("Input rows")).first()[0] == n
+    assert reports.metrics(spark, two).agg(F.sum("Input rows")).first()[0] == n
+
+
+def test_reports_of_runs_are_kept_apart():
+    class Report:
+        def __init__(self, query, run, rows):
+            self.id, self.runId, self.batchId = query, run, 0
+            self.json = json.dumps({"batchId": 0, "timestamp": "t", "numInputRows": rows})
+
+    class Event:
+        def __init__(self, *args):
+            self.progress = Report(*args)
+
+    listener = progress.ProgressListener()
+    for args in (("q", "r1", 5), ("p", "r1", 7), ("q", "r2", 3), ("q", "r2", 4)):
+        listener.onQueryProgress(Event(*args))
+    assert [v[2] for v in listener.rows.values()] == [5, 7, 4]
+
+
+def test_packet_flow_job_exports_its_progress(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "progress")
+    line = ["10.0.0.1", "10.0.0.2", "6"] + ["1"] * 23
+    spark.createDataFrame([('"' + ",".join(line) + ',"',)], "value string").write.text(source)
+    batches = jobs.run_packet_flows(spark, readers.stream_text(spark, source), writers.file_writer(str(tmp_path / "out"), "text"),
+                                    str(tmp_path / "state"), progress_path=out, once=True)
+    assert batches.agg(F.sum("Input rows")).first()[0] == 1 and spark.read.option("header", True).csv(out).count() >= 1
 
 
 def test_continuous_trigger(spark, tmp_path):
