@@ -18,8 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     which shrinks chains by a share. The number of rounds grows with the logarithm of the size.
     """
     edges = written(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
-    names = written(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-                    .select("id", F.col("id").alias("label")), "labels")
+    names = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("label"))
     for turn in range(ROUNDS):
         if edges.isEmpty():
             break
@@ -28,13 +27,16 @@ def components(links: DataFrame) -> DataFrame:
         own = F.xxhash64(F.lit(turn), "a") if turn % 2 else F.col("a")
         first = both.groupBy("a").agg(F.min(F.struct(rank.alias("rank"), F.col("b").alias("node"))).alias("best"))
         self_ = F.struct(own.alias("rank"), F.col("a").alias("node"))
-        joins = written(first.select(F.col("a").alias("node"), F.least("best", self_)["node"].alias("to")), "joins")
-        names = written(
-            names.join(joins, names["label"] == joins["node"], "left")
-            .select("id", F.coalesce("to", "label").alias("label")), "labels")
+        hop = first.select(F.col("a").alias("node"), F.least("best", self_)["node"].alias("to"))
+        # Follow what was joined one step further: a star around any of its nodes is one node at once.
+        on = hop.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        joins = written(hop.join(on, "to").select("node", F.col("further").alias("to")), "joins")
+        names = names.join(joins, names["label"] == joins["node"], "left").select(
+            "id", F.coalesce("to", "label").alias("label"))
         edges = written(
             edges.join(joins.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
             .join(joins.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
             .where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    names = written(names, "labels")
     least = names.groupBy("label").agg(F.min("id").alias("component"))
     return names.join(least, "label").select("id", "component")

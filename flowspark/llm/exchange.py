@@ -9,16 +9,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowspark.llm import golomb
-from flowspark.llm.common import shuffle_partitions
+from flowspark.llm.common import checked_broadcast, shuffle_partitions, written
 
 #: Bits of a key. Two different keys of n fall together with chance n / 2^48, which later checks undo.
 KEY_BITS = 48
 #: Keys an owner holds at most, on average.
 OWNER_KEYS = 1 << 22
 MOST_OWNERS = 1 << 15
+#: A block closes at so many keys.
+BLOCK_KEYS = 1 << 20
+#: What a block sends to an owner, and keeps: the coded keys, the least id of each, and by key the ids, rows
+#: and places behind it (``runs`` of them).
+CELL = "block long, owner int, n int, k int, code binary, least binary, runs binary, rows binary, places binary"
+_CELL_SCHEMA = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()),
+                          *[(c, pa.binary()) for c in ("code", "least", "runs", "rows", "places")]])
 
 
 def owners_for(spark: SparkSession, keys: int) -> int:
@@ -68,3 +77,40 @@ def answers(sent: DataFrame, owners: int, bits: int = KEY_BITS, least: bool = Fa
 
     columns = ["block", "owner", "n", "k", "code", *["least"] * least]
     return sent.select(*columns).groupBy("owner").applyInArrow(own, "block long, owner int, bits binary")
+
+
+class Block:
+    """Keys of a run of rows, until they are sent: (key, id, row, place) arrays."""
+
+    def __init__(self, owners: int, bits: int):
+        self._owners, self._bits, self._held, self.size, self._sent = owners, bits, [], 0, 0
+        self._task = TaskContext.get().partitionId()
+
+    def add(self, keys: np.ndarray, doc: int, row: int, places: np.ndarray) -> None:
+        self._held.append((keys, np.full(len(keys), doc), np.full(len(keys), row), places))
+        self.size += len(keys)
+
+    def flush(self) -> pa.RecordBatch:
+        keys, ids, rows, places = (np.concatenate(x) for x in zip(*self._held, strict=True))
+        order = np.lexsort((ids, keys))
+        keys, ids, rows, places = keys[order], ids[order], rows[order], places[order]
+        distinct, first, runs = np.unique(keys, return_index=True, return_counts=True)
+        ends, out = np.append(first, len(keys)), []
+        for owner, a, b, k, code in cells(distinct, self._owners, self._bits):
+            here = slice(int(ends[a]), int(ends[b]))
+            out.append({
+                "block": (self._task << 24) + self._sent, "owner": owner, "n": b - a, "k": k, "code": code,
+                "least": ids[first[a:b]].astype(np.int64).tobytes(), "runs": runs[a:b].astype(np.uint32).tobytes(),
+                "rows": np.stack([ids[here], rows[here]]).astype(np.int64).tobytes(),
+                "places": places[here].astype(np.int32).tobytes(),
+            })
+        self._held, self.size = [], 0
+        self._sent += 1
+        return pa.RecordBatch.from_pylist(out, _CELL_SCHEMA)
+
+
+def with_bits(sent: DataFrame, owners: int, bits: int, least: bool) -> DataFrame:
+    """The cells with their owners' answers: small answers go to the cells, others meet them in a shuffle."""
+    answered = written(answers(sent, owners, bits, least), "answers")
+    size = answered.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bits")).alias("bytes")).first()
+    return sent.join(checked_broadcast(answered, size["n"] * 48 + (size["bytes"] or 0), 1), ["block", "owner"])

@@ -10,16 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.llm import exchange, golomb
 from flowspark.llm.common import checked_broadcast, map_rows, text_of, written
 from flowspark.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the limit of 0.8 shares one of 32 bands of 4 registers but for one in twenty million.
 BANDS, ROWS = 32, 4
-#: Rounds of comparing with one member of a bucket, before the rest is compared member by member.
-STARS = 6
-#: Comparisons per row in buckets that are few enough to end with.
-FEW = 4
+#: Rounds of comparing a bucket with one of its members, before the rest is compared member by member.
+STARS = 2
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -132,13 +131,8 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, te
                     {"id": pa.int64(), "key": pa.binary(), "bands": pa.list_(pa.int64())})
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a, b, similarity) of the pairs whose sets of shingles are similar enough, by their whole texts."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    named = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named")
-    # The only texts that move are those of documents in some pair, if their ids are few enough to send.
-    side = checked_broadcast(named, named.count(), 16)
-    texts = written(text_of(docs, id_col, text_col).join(side, "id"), "texts")
     rows = (
         pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -164,12 +158,42 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, i
     return written(rows.mapInArrow(run, "a long, b long, similarity double"), "links")
 
 
-def _placed(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Buckets' rows with the component each id has so far; only buckets with several components."""
-    named = components(links).withColumnRenamed("component", "c")
-    rows = buckets.join(named, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    several = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    return written(rows.join(several.select("bucket"), "bucket"), "open")
+def common_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(id, size, common): how many shingles a text has, and how many of them, at least about and at most
+    by collisions too many, another of the texts has, too. By an exchange of coded keys."""
+    owners = exchange.owners_for(texts.sparkSession, 500 * texts.count())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, block = WordHashes(), exchange.Block(owners, exchange.KEY_BITS)
+        for batch in batches:
+            for i, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                keys = shingles(hashes(text.encode().split()), width)
+                keys = np.unique(keys) >> np.uint64(64 - exchange.KEY_BITS)
+                block.add(keys, i, 0, np.zeros(len(keys), np.int64))
+                if block.size >= exchange.BLOCK_KEYS:
+                    yield block.flush()
+        if block.size:
+            yield block.flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                runs = np.frombuffer(r["runs"], np.uint32)
+                ids = np.frombuffer(r["rows"], np.int64)[:int(runs.sum())]
+                shared = np.repeat(golomb.unpack(r["bits"], r["n"]) | (runs > 1), runs)
+                distinct, at, sizes = np.unique(ids, return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(distinct, pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.array(np.bincount(at, shared, len(distinct)).astype(np.int64))], ["id", "size", "common"])
+
+    cells = written(texts.select("id", "text").mapInArrow(send, exchange.CELL), "shingles")
+    counted = exchange.with_bits(cells, owners, exchange.KEY_BITS, False).mapInArrow(count, "id long, size long, common long")
+    return counted.groupBy("id").agg(F.sum("size").alias("size"), F.sum("common").alias("common"))
+
+
+def _possible(similarity: float) -> str:
+    """Whether two sets can be similar enough, by sizes and common shingles alone (n, s and m, t)."""
+    return f"least(s, t) >= {similarity} * (n + m - least(s, t)) - 1e-6"
 
 
 def near_duplicates(
@@ -183,10 +207,11 @@ def near_duplicates(
     band are candidates; links are those with a Jaccard similarity of the sets of shingles of
     ``similarity`` or more, computed from the whole texts; classes are the components of the links.
 
-    A bucket is not expanded into pairs: all its members are compared with its most central one, in
-    rounds, and what is then in one component needs no comparison. Members still in different
-    components are compared pair by pair once these pairs are few, or after ``STARS`` rounds: no
-    candidate pair between components is left out.
+    A bucket is not expanded into pairs. Shingles that no other candidate has cannot be shared, so texts
+    with too many of them leave at once, and pairs are compared only if what is left of both allows the
+    similarity. All members of a bucket are compared with its most common one, then those outside its
+    component with one more; what is in one component needs no comparison. Members still in different
+    components are compared pair by pair: no candidate pair that can be a link is left out.
 
     Texts of fewer words than ``width`` are one shingle; texts without words (null, empty, blank) are
     copies of each other. Rows without an id are left out; rows repeating an id are copies if their
@@ -199,30 +224,38 @@ def near_duplicates(
     placed = members.where("id = rep").select("id", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = written(placed.join(shared, "bucket"), "buckets")
-    central = written(buckets.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
-    buckets = written(buckets.join(central, "id").select("bucket", "id", "weight"), "weighted")
+    named = written(buckets.select("id").distinct(), "candidates")
+    side = checked_broadcast(named, named.count(), 16)
+    candidates = written(text_of(docs, id_col, text_col).join(side, "id"), "texts")
+    sizes = written(common_shingles(candidates, width).where(F.col("common") >= similarity * F.col("size") - 1e-6)
+                    .select("id", F.col("size").alias("n"), F.col("common").alias("s")), "sizes")
+    buckets = written(buckets.join(sizes, "id").select("bucket", "id", "n", "s"), "buckets")
 
-    empty = docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    links, open_ = empty, buckets.withColumn("c", F.col("id"))
+    links = docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    apart = buckets.withColumn("c", F.col("id"))
     for turn in range(STARS + 1):
-        if open_.isEmpty():
-            break
-        # Members by bucket and component, for the number of pairs between components.
-        sizes = open_.groupBy("bucket", "c").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        total = sizes.groupBy("bucket").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"),
-                                            F.sum("n").alias("n")).agg(F.sum("pairs"), F.sum("n")).first()
-        if turn == STARS or turn and total[0] <= FEW * total[1]:
-            other = open_.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
-            pairs = open_.withColumnRenamed("id", "a").join(other, "bucket").where("c < d").select("a", "b")
-            links = links.unionByName(verified(docs, pairs, width, similarity, id_col, text_col))
-            break
-        # The next member to compare with: the most central one outside the components used before.
-        hubs = open_.groupBy("bucket").agg(F.max(F.struct(
-            F.xxhash64(F.lit(turn), "c") if turn else F.lit(0).cast("long"), "weight", -F.col("id"), "c")).alias("h"))
-        hubs = hubs.select("bucket", (-F.col("h")["col3"]).alias("a"), F.col("h")["c"].alias("d"))
-        pairs = open_.join(hubs, "bucket").where("c != d").select("a", F.col("id").alias("b"))
-        links = links.unionByName(verified(docs, pairs, width, similarity, id_col, text_col))
-        open_ = _placed(buckets, links)
+        if turn < STARS:
+            # The most common member, in the second round of another component.
+            rank = (F.xxhash64(F.lit(turn), "c") if turn else F.lit(0).cast("long")).alias("r")
+            hub = F.struct(rank, (F.col("s") / F.col("n")).alias("share"), (-F.col("id")).alias("minus"), "c", "n", "s")
+            other = apart.groupBy("bucket").agg(F.max(hub).alias("h")).select(
+                "bucket", (-F.col("h.minus")).alias("b"), F.col("h.c").alias("d"), F.col("h.n").alias("m"), F.col("h.s").alias("t"))
+            differ = "c != d"
+        else:
+            other = apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("s").alias("t"))
+            differ = "c < d"
+        pairs = apart.withColumnRenamed("id", "a").join(other, "bucket").where(f"{differ} AND {_possible(similarity)}")
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            continue
+        links = links.unionByName(verified(candidates, pairs, width, similarity))
+        found = components(links)
+        if turn < STARS:
+            rows_of = buckets.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+            several = rows_of.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+            apart = written(rows_of.join(several.select("bucket"), "bucket"), "apart")
+            if apart.isEmpty():
+                break
     classes = components(links)
     return members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"),

@@ -12,18 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm import exchange, golomb
-from flowspark.llm.common import checked_broadcast, text_of, written
+from flowspark.llm.common import text_of, written
 from flowspark.llm.minhash import WordHashes, shingles
 
 #: Words of a window (the length threshold) and of an anchor.
 WINDOW, ANCHOR = 13, 5
-#: A block of the exchange closes at so many keys.
-BLOCK_KEYS = 1 << 20
 #: Windows' keys: two different windows of n fall together with chance n / 2^63.
 WINDOW_BITS = 63
-_CELL = "block long, owner int, n int, k int, code binary, least binary, runs binary, rows binary, places binary"
-_CELL_SCHEMA = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()),
-                          *[(c, pa.binary()) for c in ("code", "least", "runs", "rows", "places")]])
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -37,50 +32,20 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> t
     return grams[at] >> np.uint64(64 - exchange.KEY_BITS), at
 
 
-class _Block:
-    """Keys of a run of rows, until they are sent: (key, id, row, place) arrays."""
-
-    def __init__(self, owners: int, bits: int):
-        self._owners, self._bits, self._held, self.size, self._sent = owners, bits, [], 0, 0
-        self._task = TaskContext.get().partitionId()
-
-    def add(self, keys: np.ndarray, doc: int, row: int, places: np.ndarray) -> None:
-        self._held.append((keys, np.full(len(keys), doc), np.full(len(keys), row), places))
-        self.size += len(keys)
-
-    def flush(self) -> pa.RecordBatch:
-        keys, ids, rows, places = (np.concatenate(x) for x in zip(*self._held, strict=True))
-        order = np.lexsort((ids, keys))
-        keys, ids, rows, places = keys[order], ids[order], rows[order], places[order]
-        distinct, first, runs = np.unique(keys, return_index=True, return_counts=True)
-        ends, out = np.append(first, len(keys)), []
-        for owner, a, b, k, code in exchange.cells(distinct, self._owners, self._bits):
-            here = slice(int(ends[a]), int(ends[b]))
-            out.append({
-                "block": (self._task << 24) + self._sent, "owner": owner, "n": b - a, "k": k, "code": code,
-                "least": ids[first[a:b]].astype(np.int64).tobytes(), "runs": runs[a:b].astype(np.uint32).tobytes(),
-                "rows": np.stack([ids[here], rows[here]]).astype(np.int64).tobytes(),
-                "places": places[here].astype(np.int32).tobytes(),
-            })
-        self._held, self.size = [], 0
-        self._sent += 1
-        return pa.RecordBatch.from_pylist(out, _CELL_SCHEMA)
-
-
 def _anchor_cells(texts: DataFrame, owners: int, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block = WordHashes(), _Block(owners, exchange.KEY_BITS)
+        hashes, block = WordHashes(), exchange.Block(owners, exchange.KEY_BITS)
         for batch in batches:
             for i, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 keys = np.unique(anchors(hashes(text.encode().split()), window, anchor)[0])
                 if len(keys):
                     block.add(keys, i, 0, np.zeros(len(keys), np.int64))
-                if block.size >= BLOCK_KEYS:
+                if block.size >= exchange.BLOCK_KEYS:
                     yield block.flush()
         if block.size:
             yield block.flush()
 
-    return texts.mapInArrow(run, _CELL)
+    return texts.mapInArrow(run, exchange.CELL)
 
 
 def _seeds(cells: DataFrame, owners: int) -> DataFrame:
@@ -106,13 +71,6 @@ def _seeds(cells: DataFrame, owners: int) -> DataFrame:
     return cells.mapInArrow(run, "id long, keys binary")
 
 
-def _with_bits(cells: DataFrame, owners: int, bits: int, least: bool) -> DataFrame:
-    """The cells with their owners' answers: small answers go to the cells, others meet them in a shuffle."""
-    answered = written(exchange.answers(cells, owners, bits, least), "answers")
-    size = answered.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bits")).alias("bytes")).first()
-    return cells.join(checked_broadcast(answered, size["n"] * 48 + (size["bytes"] or 0), 1), ["block", "owner"])
-
-
 def _candidates(texts: DataFrame, seeds: DataFrame, window: int, anchor: int) -> DataFrame:
     """Rows with their candidate windows: (row, id, text, starts); text and starts are null without any, and
     n_words and digest are set then."""
@@ -144,18 +102,18 @@ def _candidates(texts: DataFrame, seeds: DataFrame, window: int, anchor: int) ->
 
 def _window_cells(candidates: DataFrame, owners: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block = WordHashes(), _Block(owners, WINDOW_BITS)
+        hashes, block = WordHashes(), exchange.Block(owners, WINDOW_BITS)
         for batch in batches:
             for row, i, text, starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 starts = np.frombuffer(starts, np.int32)
                 keys = shingles(hashes(text.encode().split()), window)[starts] >> np.uint64(64 - WINDOW_BITS)
                 block.add(keys, i, row, starts)
-                if block.size >= BLOCK_KEYS:
+                if block.size >= exchange.BLOCK_KEYS:
                     yield block.flush()
         if block.size:
             yield block.flush()
 
-    return candidates.select("row", "id", "text", "starts").mapInArrow(run, _CELL)
+    return candidates.select("row", "id", "text", "starts").mapInArrow(run, exchange.CELL)
 
 
 def _covered(cells: DataFrame) -> DataFrame:
@@ -212,11 +170,11 @@ def repeats(
     # Anchors are about a fifth of the words; an owner's share is planned with 400 anchors a document.
     owners = exchange.owners_for(spark, 400 * docs.count())
     cells = written(_anchor_cells(texts.where(F.col("id").isNotNull()), owners, window, anchor), "anchors")
-    seeds = _seeds(_with_bits(cells, owners, exchange.KEY_BITS, False), owners)
+    seeds = _seeds(exchange.with_bits(cells, owners, exchange.KEY_BITS, False), owners)
     found = written(_candidates(texts, seeds, window, anchor), "candidates")
     some = found.where(F.col("starts").isNotNull())
     cells = written(_window_cells(some, owners, window), "windows")
-    covered = _covered(_with_bits(cells, owners, WINDOW_BITS, True)).groupBy("row").agg(
+    covered = _covered(exchange.with_bits(cells, owners, WINDOW_BITS, True)).groupBy("row").agg(
         F.collect_list("starts").alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
