@@ -107,7 +107,7 @@ def frames(core: DataFrame) -> DataFrame:
     """Packets as raw Ethernet frames (seq, ts in seconds, frame), headers only.
 
     Some are spoiled by sequence number: another EtherType, cut short, another IP version, a cut
-    transport header.
+    transport header, no frame at all.
     """
     def octets(expr, size):
         return f"lpad(hex({expr}), {2 * size}, '0')"
@@ -125,7 +125,7 @@ def frames(core: DataFrame) -> DataFrame:
     body = f"CASE proto WHEN 6 THEN concat({', '.join(tcp)}) WHEN 17 THEN concat({', '.join(udp)}) ELSE {zeros(8)} END"
     ether = f"concat({zeros(12)}, CASE seq % 50 WHEN 7 THEN '0806' ELSE '0800' END, {', '.join(ip)}, {body})"
     size = "CASE seq % 50 WHEN 8 THEN 30 WHEN 10 THEN 38 ELSE 100 END"
-    return core.selectExpr("seq", "ts_us / 1000000D AS ts", f"substring(unhex({ether}), 1, {size}) AS frame")
+    return core.selectExpr("seq", "ts_us / 1000000D AS ts", f"CASE WHEN seq % 50 <> 11 THEN substring(unhex({ether}), 1, {size}) END AS frame")
 
 
 def labelled(flows: DataFrame, src: str = "srcip", dst: str = "dstip") -> DataFrame:

@@ -40,8 +40,8 @@ def test_csv_keeps_the_place_of_nulls(spark):
 
 
 def test_frames_too_short_are_dropped_not_errors(spark):
-    df = spark.createDataFrame([(0, 1.0, bytearray(b"")), (1, 1.0, bytearray(12) + b"\x08\x00")], "seq int, ts double, frame binary")
-    assert {r.verdict for r in packets.count_frames(df).collect()} == {"not_ip", "short_frame"}
+    df = spark.createDataFrame([(0, 1.0, bytearray(b"")), (1, 1.0, bytearray(12) + b"\x08\x00"), (2, 1.0, None)], "seq int, ts double, frame binary")
+    assert {r.verdict: r.frames for r in packets.count_frames(df).collect()} == {"not_ip": 1, "short_frame": 2}
     assert packets.decode_frames(df).count() == 0
 
 
