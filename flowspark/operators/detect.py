@@ -181,7 +181,8 @@ def entropy_limits(entropies: DataFrame, num_ranges: int, threshold: float) -> D
     position = F.floor((F.col("entropy") - low) / (high - low) * num_ranges)
     bucket = F.when(high == low, 0).otherwise(F.least(position, F.lit(num_ranges - 1))).cast("int")
     counts = (
-        entropies.join(ranges, "feature").groupBy("feature", "low", "high", bucket.alias("bucket"))
+        # One row per feature.
+        entropies.join(F.broadcast(ranges), "feature").groupBy("feature", "low", "high", bucket.alias("bucket"))
         .agg(F.sum("windows").alias("n"))
     )
     top = counts.groupBy("feature", "low", "high").agg(

@@ -17,17 +17,20 @@ def log2(x: Column) -> Column:
     return F.log2(x)
 
 
-def with_range(df: DataFrame, by: list[str], value: str = "value", small_groups: bool = False) -> DataFrame:
+def with_range(df: DataFrame, by: list[str], value: str = "value", small_groups: bool = False,
+               few_groups: bool = False) -> DataFrame:
     """Add ``low`` and ``high``, the range of the value per group.
 
     Groups of bounded size (row windows) are ranged in place; others (a whole feature) by a
-    partial aggregate joined back, so that no task holds a whole group.
+    partial aggregate joined back, so that no task holds a whole group. With ``few_groups`` the caller
+    vouches that the groups are as few as columns of a table: their ranges are broadcast, and the rows
+    are not shuffled by a handful of hot keys.
     """
     if small_groups:
         group = Window.partitionBy(*by)
         return df.withColumns({"low": F.min(value).over(group), "high": F.max(value).over(group)})
     ranges = df.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return df.join(ranges, by)
+    return df.join(F.broadcast(ranges) if few_groups else ranges, by)
 
 
 def bucket_of(num_ranges: int, value: str = "value") -> Column:
@@ -43,19 +46,21 @@ def entropy_of(n: int, count: str = "n") -> Column:
 
 
 def value_histogram(
-    df: DataFrame, num_ranges: int, by: list[str], value: str = "value", small_groups: bool = False
+    df: DataFrame, num_ranges: int, by: list[str], value: str = "value", small_groups: bool = False,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Counts per bucket floor((x - min) / (max - min) * num_ranges) of each group.
 
     The maximum falls into bucket ``num_ranges``; a constant group has the single bucket 0.
     """
     return (
-        with_range(df.where(F.col(value).isNotNull()), by, value, small_groups)
+        with_range(df.where(F.col(value).isNotNull()), by, value, small_groups, few_groups)
         .groupBy(*by, bucket_of(num_ranges, value).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def even_histogram(df: DataFrame, num_ranges: int, by: list[str], value: str = "value") -> DataFrame:
+def even_histogram(df: DataFrame, num_ranges: int, by: list[str], value: str = "value",
+                   few_groups: bool = False) -> DataFrame:
     """Counts of ``num_ranges`` even buckets over [min, max] with their edges, empty ones included.
 
     The last bucket is closed; a constant group has the single bucket [min, min].
@@ -66,7 +71,7 @@ def even_histogram(df: DataFrame, num_ranges: int, by: list[str], value: str = "
     position = F.floor((x - low) / (high - low) * num_ranges)
     bucket = F.when(high == low, 0).otherwise(F.least(position, F.lit(num_ranges - 1)))
     counts = (
-        present.join(ranges, by).groupBy(*by, bucket.cast("int").alias("bucket"))
+        present.join(F.broadcast(ranges) if few_groups else ranges, by).groupBy(*by, bucket.cast("int").alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     last = F.when(high == low, 0).otherwise(num_ranges - 1)

@@ -102,6 +102,12 @@ def _flow_messages(spark, sf):
 _LABELLED = O.flow_query(f"SELECT {O.STATS}, CAST({O.LABEL} AS BIGINT) AS label FROM flows")
 _UNLABELLED = O.flow_query(f"SELECT {O.STATS}, CAST(NULL AS BIGINT) AS label FROM flows")
 _FLOW_KEYS = O.flow_query("SELECT srcip, srcport, dstip, dstport, proto FROM flows")
+# What the mean/variance detector, fitted on all flows, says of each flow.
+_BANDS = ", ".join(f"avg({c}) - 2.0 * var_samp({c}) AS low_{c}, avg({c}) + 2.0 * var_samp({c}) AS high_{c}" for c in schemas.STATS_FLOW.feature_cols)
+_OUTSIDE = " OR ".join(f"{c} < low_{c} OR {c} > high_{c}" for c in schemas.STATS_FLOW.feature_cols)
+_DETECTED = O.flow_query(
+    f"SELECT srcip, srcport, dstip, dstport, proto, CASE WHEN {_OUTSIDE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction "
+    f"FROM flows, (SELECT {_BANDS} FROM flows)")
 _AGG = f"WITH {O.RECORDS} SELECT {O.AGG_COLUMNS} FROM ({O.agg_flows()})"
 _AGG_LABELLED = f"WITH {O.RECORDS} SELECT {O.AGG_COLUMNS}, CAST(0 AS BIGINT) AS label FROM ({O.agg_flows()})"
 _PREDICTIONS = "p AS (SELECT toxic AS label, CAST(quality AS DOUBLE) AS prediction FROM labels)"
@@ -173,14 +179,14 @@ def _online(spark, sf):
     return _flow_table(spark, sf), readers.stream_text(spark, _flow_messages(spark, sf))
 
 
-@query(_FLOW_KEYS)
+@query(_DETECTED)
 def snk3_publish_predictions_json(spark, sf):
     path = scratch_dir(spark, "topic")
     scored = jobs.scored_messages(*_online(spark, sf), "mean_variance")
     sinks.run_bounded(sinks.publish_predictions_json(scored, scratch_dir(spark, "state"), once=True, path=path))
     layout = "srcip STRING, srcport BIGINT, dstip STRING, dstport BIGINT, proto BIGINT, date STRING, prediction DOUBLE"
     rows_ = spark.read.text(path).select(F.from_json("value", layout).alias("r")).select("r.*")
-    return rows_.where(F.col("prediction").isin(0.0, 1.0) & F.col("date").isNotNull()).drop("date", "prediction")
+    return rows_.where(F.col("date").isNotNull()).drop("date")
 
 
 def _indexed(spark, sf, algorithm):
@@ -190,10 +196,10 @@ def _indexed(spark, sf, algorithm):
     docs = spark.read.schema(
         "srcip STRING, srcport BIGINT, dstip STRING, dstport BIGINT, proto BIGINT, prediction DOUBLE"
     ).option("recursiveFileLookup", True).json(path)
-    return docs.where(F.col("prediction").isin(0.0, 1.0)).drop("prediction")
+    return docs.where(F.col("prediction").isin(0.0, 1.0))
 
 
-@query(_FLOW_KEYS)
+@query(_DETECTED)
 def snk4_index_predictions(spark, sf):
     return _indexed(spark, sf, "mean_variance")
 
@@ -211,7 +217,7 @@ def snk5_relay(spark, sf):
 @query()
 def snk6_save_run_metrics(spark, sf):
     path = scratch_dir(spark, "runs")
-    run = jobs.train_and_evaluate(_flow_table(spark, sf), "decision_tree", sf.rstrip("/").rpartition("/")[2], folds=1)
+    run = jobs.train_and_evaluate(_flow_table(spark, sf), "decision_tree", sf.rstrip("/").rpartition("/")[2])
     writers.save_run_metrics(spark, [run], path)
     return spark.read.parquet(path)
 
@@ -401,7 +407,7 @@ def _long(spark, sf):
 @query(f"""WITH {O.MEASURES}, l AS ({O.long_measures()}), {O.entropy_ctes(1, 10, "feature", "l")}
 SELECT feature, bucket, n FROM ent_bucket""")
 def agg9_value_histogram(spark, sf):
-    return histograms.value_histogram(_long(spark, sf), 10, ["feature"])
+    return histograms.value_histogram(_long(spark, sf), 10, ["feature"], few_groups=True)
 
 
 _EVEN = f"""{O.MEASURES}, l AS ({O.long_measures()}),
@@ -415,12 +421,12 @@ even AS (SELECT feature, bucket, round(low + (bucket * (high - low)) / 12, 6) AS
 
 @query(f"WITH {_EVEN} SELECT * FROM even")
 def agg10_even_histogram(spark, sf):
-    return _rounded(histograms.even_histogram(_long(spark, sf), 12, ["feature"]), ("lower", "upper"))
+    return _rounded(histograms.even_histogram(_long(spark, sf), 12, ["feature"], few_groups=True), ("lower", "upper"))
 
 
 @query(f"WITH {_EVEN} SELECT * FROM even QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, bucket) = 1")
 def top1_most_frequent_bucket(spark, sf):
-    hist = histograms.even_histogram(_long(spark, sf), 12, ["feature"])
+    hist = histograms.even_histogram(_long(spark, sf), 12, ["feature"], few_groups=True)
     return _rounded(histograms.top_bucket(hist, ["feature"]), ("lower", "upper"))
 
 
@@ -696,11 +702,11 @@ def _supervised(name, algorithm, **params):
 
 
 _supervised("ml1_decision_tree", "decision_tree", **models.ONLINE_SETTINGS["decision_tree"])
-_supervised("ml2_random_forest", "random_forest", numTrees=20, maxDepth=10, seed=models.SEED)
-_supervised("ml3_gradient_boosted_tree", "gradient_boosted_tree", maxIter=10, seed=models.SEED)
+_supervised("ml2_random_forest", "random_forest", **models.ONLINE_SETTINGS["random_forest"], seed=models.SEED)
+_supervised("ml3_gradient_boosted_tree", "gradient_boosted_tree", seed=models.SEED)
 _supervised("ml4_logistic_regression", "logistic_regression", **models.ONLINE_SETTINGS["logistic_regression"])
 _supervised("ml5_naive_bayes", "naive_bayes")
-_supervised("ml6_neural_network", "neural_network", maxIter=30)
+_supervised("ml6_neural_network", "neural_network", **models.ONLINE_SETTINGS["neural_network"])
 _supervised("ml7_svm", "svm", **models.ONLINE_SETTINGS["svm"])
 
 _MV_LIMITS = f"""{O.MEASURES}, l AS ({O.long_measures("", "(SELECT * FROM m WHERE label = 0)")}),
@@ -786,14 +792,14 @@ def ml14_legit_attack_split(spark, sf):
 def ml15_cross_validation(spark, sf):
     data = codec.featurize_stats(_flow_table(spark, sf)).select("features", "label").cache()
     est = models.estimator("decision_tree")
-    model = tuning.cross_validate(est, data, tuning.grid(est, {"maxDepth": [3, 6]}), folds=3)
+    model = tuning.cross_validate(est, data, tuning.grid(est, {"maxDepth": [3, 6]}))
     data.unpersist()
     return spark.createDataFrame([(float(m),) for m in model.avgMetrics], "f1 double")
 
 
 def _pair_cv(spark, sf, est, holdout, points):
     data = _measure_vectors(spark, sf)
-    model = tuning.PairCrossValidator(est, points, folds=3, holdout=holdout).fit(data.where("label = 0"), data)
+    model = tuning.PairCrossValidator(est, points, holdout=holdout).fit(data.where("label = 0"), data)
     return spark.createDataFrame([(i, m, i == model.bestIndex) for i, m in enumerate(model.avgMetrics)],
                                  "point int, f1 double, best boolean")
 
@@ -901,12 +907,12 @@ def _chained(spark, sf, algorithm):
         lambda: readers.stream_text(spark, topic), writers.file_writer(index, "text"), scratch_dir(spark, "state"),
         continuous=False, once=True)
     sinks.run_bounded(second)
-    layout = "srcip STRING, srcport BIGINT, dstip STRING, dstport BIGINT, proto BIGINT"
+    layout = "srcip STRING, srcport BIGINT, dstip STRING, dstport BIGINT, proto BIGINT, prediction DOUBLE"
     found = spark.read.option("recursiveFileLookup", True).text(index)
     return found.select(F.from_json("value", layout).alias("r")).select("r.*")
 
 
-@query(_FLOW_KEYS)
+@query(_DETECTED)
 def str11_chained_queries(spark, sf):
     return _chained(spark, sf, "mean_variance")
 
@@ -915,7 +921,7 @@ def str11_chained_queries(spark, sf):
 
 @query()
 def job1_train_and_evaluate(spark, sf):
-    run = jobs.train_and_evaluate(_flow_table(spark, sf), "logistic_regression", sf, folds=2)
+    run = jobs.train_and_evaluate(_flow_table(spark, sf), "logistic_regression", sf)
     return _one_row(spark, **{c: run[c] for c in ("accuracy", "precision", "recall", "f1-score", "auc")})
 
 
@@ -942,12 +948,12 @@ def job4_score_payloads(spark, sf):
 
 @query(_FLOW_KEYS)
 def job5_score_to_index(spark, sf):
-    return _indexed(spark, sf, "decision_tree")
+    return _indexed(spark, sf, "decision_tree").drop("prediction")
 
 
 @query(_FLOW_KEYS)
 def job6_score_low_latency(spark, sf):
-    return _chained(spark, sf, "svm")
+    return _chained(spark, sf, "svm").drop("prediction")
 
 
 @query(_AGG_LABELLED)
