@@ -17,8 +17,8 @@ from flowspark.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the limit of 0.8 shares one of 32 bands of 4 registers but for one in twenty million.
 BANDS, ROWS = 32, 4
-#: Rounds of comparing a bucket with one of its members, before the rest is compared member by member.
-STARS = 2
+#: Rounds of leaving out texts with too few common shingles.
+PRUNES = 2
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -131,31 +131,38 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, te
                     {"id": pa.int64(), "key": pa.binary(), "bands": pa.list_(pa.int64())})
 
 
-def verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose sets of shingles are similar enough, by their whole texts."""
+def compared(texts: DataFrame, pairs: DataFrame, width: int, least: float, with_bits: bool = False) -> DataFrame:
+    """(a, b, similarity) of the pairs with a Jaccard similarity of ``least`` or more, by their whole texts.
+    ``with_bits`` adds ``shared``, a bitmap of the shingles of a, in order, that b has, and their number."""
     rows = (
         pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
+    kind = "a long, b long, similarity double" + ", shared array<long>, n_shared long" * with_bits
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())] + [
+        ("shared", pa.list_(pa.int64())), ("n_shared", pa.int64())] * with_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, mine = WordHashes(), None, None
         for batch in batches:
-            out = ([], [], [])
+            out = []
             for a, b, text_a, text_b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if last != (a, text_a):  # rows of one a mostly follow each other
                     last, mine = (a, text_a), np.unique(shingles(hashes(text_a.encode().split()), width))
                 other = np.unique(shingles(hashes(text_b.encode().split()), width))
-                common = len(np.intersect1d(mine, other, assume_unique=True))
+                has = np.isin(mine, other, assume_unique=True)
+                common = int(has.sum())
                 value = common / max(1, len(mine) + len(other) - common)
-                if value >= similarity:
-                    for column, x in zip(out, (a, b, value), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                                              pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
+                if value >= least:
+                    row = {"a": a, "b": b, "similarity": value}
+                    if with_bits:
+                        packed = np.packbits(np.append(has, np.zeros(-len(has) % 64, bool)))
+                        row |= {"shared": packed.view(np.int64).tolist(), "n_shared": common}
+                    out.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    return written(rows.mapInArrow(run, "a long, b long, similarity double"), "links")
+    return written(rows.mapInArrow(run, kind), "compared")
 
 
 def common_shingles(texts: DataFrame, width: int) -> DataFrame:
@@ -177,23 +184,24 @@ def common_shingles(texts: DataFrame, width: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, shared = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             for r in batch.to_pylist():
                 runs = np.frombuffer(r["runs"], np.uint32)
-                ids = np.frombuffer(r["rows"], np.int64)[:int(runs.sum())]
-                shared = np.repeat(golomb.unpack(r["bits"], r["n"]) | (runs > 1), runs)
-                distinct, at, sizes = np.unique(ids, return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(distinct, pa.int64()), pa.array(sizes, pa.int64()),
-                    pa.array(np.bincount(at, shared, len(distinct)).astype(np.int64))], ["id", "size", "common"])
+                ids.append(np.frombuffer(r["rows"], np.int64)[:int(runs.sum())])
+                shared.append(np.repeat(golomb.unpack(r["bits"], r["n"]) | (runs > 1), runs))
+            distinct, at, sizes = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
+            counts = np.bincount(at, np.concatenate(shared), len(distinct)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), pa.array(sizes, pa.int64()),
+                                              pa.array(counts)], ["id", "size", "common"])
 
     cells = written(texts.select("id", "text").mapInArrow(send, exchange.CELL), "shingles")
     counted = exchange.with_bits(cells, owners, exchange.KEY_BITS, False).mapInArrow(count, "id long, size long, common long")
     return counted.groupBy("id").agg(F.sum("size").alias("size"), F.sum("common").alias("common"))
 
 
-def _possible(similarity: float) -> str:
-    """Whether two sets can be similar enough, by sizes and common shingles alone (n, s and m, t)."""
-    return f"least(s, t) >= {similarity} * (n + m - least(s, t)) - 1e-6"
+def _possible(similarity: float, common: str) -> str:
+    """Whether sets of n and m elements with at most ``common`` common ones can be similar enough."""
+    return f"{common} >= {similarity} * (n + m - {common}) - 1e-6"
 
 
 def near_duplicates(
@@ -209,9 +217,10 @@ def near_duplicates(
 
     A bucket is not expanded into pairs. Shingles that no other candidate has cannot be shared, so texts
     with too many of them leave at once, and pairs are compared only if what is left of both allows the
-    similarity. All members of a bucket are compared with its most common one, then those outside its
-    component with one more; what is in one component needs no comparison. Members still in different
-    components are compared pair by pair: no candidate pair that can be a link is left out.
+    similarity. All members of a bucket are compared with its most central one; what is then in one
+    component needs no comparison. Members in different components are compared pair by pair, if the
+    bitmaps of what each shares with the central one, and what else they can have in common, allow the
+    similarity: no candidate pair that can be a link is left out.
 
     Texts of fewer words than ``width`` are one shingle; texts without words (null, empty, blank) are
     copies of each other. Rows without an id are left out; rows repeating an id are copies if their
@@ -227,37 +236,43 @@ def near_duplicates(
     named = written(buckets.select("id").distinct(), "candidates")
     side = checked_broadcast(named, named.count(), 16)
     candidates = written(text_of(docs, id_col, text_col).join(side, "id"), "texts")
-    sizes = written(common_shingles(candidates, width).where(F.col("common") >= similarity * F.col("size") - 1e-6)
-                    .select("id", F.col("size").alias("n"), F.col("common").alias("s")), "sizes")
-    buckets = written(buckets.join(sizes, "id").select("bucket", "id", "n", "s"), "buckets")
-
-    links = docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    apart = buckets.withColumn("c", F.col("id"))
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            # The most common member, in the second round of another component.
-            rank = (F.xxhash64(F.lit(turn), "c") if turn else F.lit(0).cast("long")).alias("r")
-            hub = F.struct(rank, (F.col("s") / F.col("n")).alias("share"), (-F.col("id")).alias("minus"), "c", "n", "s")
-            other = apart.groupBy("bucket").agg(F.max(hub).alias("h")).select(
-                "bucket", (-F.col("h.minus")).alias("b"), F.col("h.c").alias("d"), F.col("h.n").alias("m"), F.col("h.s").alias("t"))
-            differ = "c != d"
-        else:
-            other = apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("s").alias("t"))
-            differ = "c < d"
-        pairs = apart.withColumnRenamed("id", "a").join(other, "bucket").where(f"{differ} AND {_possible(similarity)}")
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = links.unionByName(verified(candidates, pairs, width, similarity))
-        found = components(links)
-        if turn < STARS:
-            rows_of = buckets.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-            several = rows_of.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-            apart = written(rows_of.join(several.select("bucket"), "bucket"), "apart")
-            if apart.isEmpty():
-                break
-    classes = components(links)
-    return members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(
+    for _ in range(PRUNES):
+        sizes = written(common_shingles(candidates, width).where(F.col("common") >= similarity * F.col("size") - 1e-6)
+                        .select("id", F.col("size").alias("n"), F.col("common").alias("s")), "sizes")
+        # What only leavers had in common with a text is not common any more.
+        candidates = candidates.join(checked_broadcast(sizes.select("id"), sizes.count(), 16), "id", "left_semi")
+    # What lies in the middle of a group shares more bands with the others than they share among themselves.
+    weights = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
+    known = written(sizes.join(weights, "id"), "weights")
+    buckets = written(buckets.select("bucket", "id").join(known, "id"), "buckets")
+
+    central = F.struct("weight", (-F.col("id")).alias("minus"), "n", "s")
+    hubs = written(buckets.groupBy("bucket").agg(F.max(central).alias("h")).select(
+        "bucket", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("m"), F.col("h.s").alias("t")), "hubs")
+    stars = buckets.join(hubs, "bucket").where(f"id != hub AND {_possible(similarity, 'least(s, t)')}")
+    stars = written(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    near = compared(candidates, stars, width, 0.0, with_bits=True)
+    links = near.where(F.col("similarity") >= similarity).select("a", "b")
+    found = components(links)
+
+    placed = buckets.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    several = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    bits = near.select(F.col("a").alias("hub"), F.col("b").alias("id"), "shared", "n_shared")
+    apart = written(
+        placed.join(several.select("bucket"), "bucket").join(hubs.select("bucket", "hub"), "bucket")
+        .where("id != hub").join(bits, ["hub", "id"], "left").select("bucket", "id", "n", "s", "c", "shared", "n_shared"),
+        "apart")
+    other = apart.select("bucket", *[F.col(x).alias(y) for x, y in (
+        ("id", "b"), ("n", "m"), ("s", "t"), ("c", "d"), ("shared", "shared_b"), ("n_shared", "n_shared_b"))])
+    # At most: what both share with the central member, and what they share with any other text besides.
+    inside = "aggregate(zip_with(shared, shared_b, (x, y) -> bit_count(x & y)), 0, (x, y) -> x + y)"
+    most = f"least(s, t, coalesce({inside} + least(s - n_shared, t - n_shared_b), s))"
+    pairs = apart.withColumnRenamed("id", "a").join(other, "bucket").where(f"c < d AND {_possible(similarity, most)}")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    more = compared(candidates, pairs, width, similarity).select("a", "b")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+    return members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"),
         (F.col("id") == F.coalesce("component", "rep")).alias("kept"))
 
