@@ -22,7 +22,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, fixes what later steps refer to
     by position, and survives lost executors. ``drop_scratch`` removes such tables."""
     path = scratch_dir(df.sparkSession, f"llm-{purpose}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -48,25 +48,32 @@ def _anchor_cells(texts: DataFrame, owners: int, window: int, anchor: int) -> Da
     return texts.mapInArrow(run, exchange.CELL)
 
 
+def _by(ids: np.ndarray, values: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A row per id with its values, as bytes."""
+    order = np.argsort(ids, kind="stable")
+    distinct, first = np.unique(ids[order], return_index=True)
+    parts = np.split(values[order], first[1:]) if len(distinct) else []
+    return pa.RecordBatch.from_arrays(
+        [pa.array(distinct, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+
+
 def _seeds(cells: DataFrame, owners: int) -> DataFrame:
     """(id, keys): the anchors a document shares with another, as little-endian 64-bit numbers, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for r in batch.to_pylist():
                 runs = np.frombuffer(r["runs"], np.uint32)
-                ids = np.frombuffer(r["rows"], np.int64)[:int(runs.sum())]
+                of = np.frombuffer(r["rows"], np.int64)[:int(runs.sum())]
                 # Ids are sorted within a key: several documents if the last differs from the least.
-                last = ids[np.cumsum(runs) - 1]
+                last = of[np.cumsum(runs) - 1]
                 shared = golomb.unpack(r["bits"], r["n"]) | (last > np.frombuffer(r["least"], np.int64))
-                keys = golomb.decode(r["code"], r["n"], r["k"], exchange.owner_base(r["owner"], owners))
+                code = golomb.decode(r["code"], r["n"], r["k"], exchange.owner_base(r["owner"], owners))
                 here = np.repeat(shared, runs)
-                ids, keys = ids[here], np.repeat(keys, runs)[here]
-                order = np.argsort(ids, kind="stable")
-                distinct, first = np.unique(ids[order], return_index=True)
-                parts = np.split(keys[order], first[1:]) if len(distinct) else []
-                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()),
-                                                  pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "keys"])
+                ids.append(of[here])
+                keys.append(np.repeat(code, runs)[here])
+            yield _by(np.concatenate(ids), np.concatenate(keys), ["id", "keys"])
 
     return cells.mapInArrow(run, "id long, keys binary")
 
@@ -121,17 +128,15 @@ def _covered(cells: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for r in batch.to_pylist():
                 runs = np.frombuffer(r["runs"], np.uint32)
                 ids, rows = np.frombuffer(r["rows"], np.int64).reshape(2, -1)
                 elsewhere = np.repeat(golomb.unpack(r["bits"], r["n"]), runs)
                 gone = elsewhere | (ids > np.repeat(np.frombuffer(r["least"], np.int64), runs))
-                rows, places = rows[gone], np.frombuffer(r["places"], np.int32)[gone]
-                order = np.argsort(rows, kind="stable")
-                distinct, first = np.unique(rows[order], return_index=True)
-                parts = np.split(places[order], first[1:]) if len(distinct) else []
-                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()),
-                                                  pa.array([p.tobytes() for p in parts], pa.binary())], ["row", "starts"])
+                found.append(rows[gone])
+                places.append(np.frombuffer(r["places"], np.int32)[gone])
+            yield _by(np.concatenate(found), np.concatenate(places), ["row", "starts"])
 
     return cells.mapInArrow(run, "row long, starts binary")
 
