@@ -10,7 +10,7 @@ from flowspark.llm.common import checked_broadcast, shuffle_partitions, text_of,
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 #: Lines whose share of all lines may be found hot; any other line has less than about one in so many.
-HOT_LINES = 4096
+HOT_LINES = 1024
 #: Bits in a word of the keep bitmaps.
 WORD = 32
 
@@ -39,7 +39,7 @@ def line_bitmaps(
     ``least_chars`` code points found in at least ``least_docs`` documents keep their lines in the
     largest id only. Hashes are dealt to even ranges and sorted by hash, document (largest first) and
     position; a pass along each range sees the document that keeps the line first and drops the rest.
-    A pass with a bounded sketch names the hashes that would fill a range; their ranges are split by
+    A pass with bounded sketches names the hashes that would fill a range; their ranges are split by
     document and their totals (a row per named hash) joined afterwards.
 
     Null texts are one empty line. Rows without an id never count and lose nothing. Rows repeating an
@@ -48,10 +48,14 @@ def line_bitmaps(
     spark = docs.sparkSession
     lines = _keyed(text_of(docs, id_col, text_col).where(F.col("id").isNotNull()), least_chars)
     ranges = 16 * shuffle_partitions(spark)
-    found = lines.agg(
-        F.expr(f"approx_top_k(h1, {HOT_LINES}, {16 * HOT_LINES})").alias("top"), F.count(F.lit(1)).alias("n")
-    ).first()
-    hot = [x["item"] for x in found["top"] or [] if x["count"] * ranges > found["n"] and x["count"] >= least_docs]
+    # A sketch per group of tasks; a line with a share of all has that share in some group.
+    group = F.pmod(F.spark_partition_id(), F.lit(shuffle_partitions(spark)))
+    sketches = written(lines.groupBy(group.alias("part")).agg(
+        F.expr(f"approx_top_k(h1, {HOT_LINES}, {16 * HOT_LINES})").alias("top"), F.count(F.lit(1)).alias("n")), "sketches")
+    total = sketches.agg(F.sum("n")).first()[0] or 0
+    frequent = sketches.select(F.explode("top").alias("t")).groupBy("t.item").agg(F.sum("t.count").alias("n")).where(
+        (F.col("n") * ranges > total) & (F.col("n") >= least_docs))
+    hot = [r["item"] for r in frequent.orderBy(F.desc("n")).limit(HOT_LINES).collect()]
     salt = F.when(F.col("h1").isin(hot), F.pmod(F.xxhash64("id"), F.lit(ranges)) + 1).otherwise(0)
     # 31 leading bits of the hash, scaled to the number of ranges: even without a sample.
     at = F.shiftrightunsigned("h1", 33) * ranges
