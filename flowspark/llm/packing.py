@@ -17,12 +17,18 @@ from flowspark.llm.encoders import encoder
 WINDOW = 1024
 #: A shard of the index holds so many documents or tokens, whichever comes first.
 SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 22
-#: Rarest terms of a seed that ask the index, and the usual constants of the score.
-QUERY_TERMS, K1, B = 24, 1.2, 0.75
+#: The usual constants of the score.
+K1, B = 1.2, 0.75
+#: A term in more than this share of a shard's documents has a dense row; seeds scored at a time.
+DENSE, SEEDS = 1 / 8, 32
 
 
 class Shard:
-    """Inverted index over the token ids of a shard's documents: postings by term, with BM25 weights."""
+    """Inverted index over the token ids of a shard's documents: BM25 weights by term and document.
+
+    Postings of rare terms are lists, those of frequent ones dense rows, so that a group of seeds is
+    scored for all of its terms by a matrix product and by adding up lists.
+    """
 
     def __init__(self, tokens: list[np.ndarray]):
         lengths = np.array([len(t) for t in tokens], np.float64)
@@ -31,26 +37,38 @@ class Shard:
         counts = np.concatenate([p[1] for p in pairs]).astype(np.float64)
         docs = np.repeat(np.arange(len(tokens)), [len(p[0]) for p in pairs])
         order = np.argsort(terms, kind="stable")
-        self._terms, self._at = np.unique(terms[order], return_index=True)
-        self._at = np.append(self._at, len(order))
-        self._docs = docs[order]
-        df = np.diff(self._at)
-        idf = np.log1p((len(tokens) - df + 0.5) / (df + 0.5))
+        _, first, df = np.unique(terms[order], return_index=True, return_counts=True)
+        self._n, self._docs = len(tokens), docs[order]
+        idf = np.log1p((self._n - df + 0.5) / (df + 0.5))
         counts, norm = counts[order], K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
         self._weight = np.repeat(idf, df) * counts * (K1 + 1) / (counts + norm[self._docs])
-        self._n, self._df = len(tokens), df
-        self._own = [p[0] for p in pairs]
-
-    def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document for the rarest shared terms of ``doc``."""
-        at = np.searchsorted(self._terms, self._own[doc])
-        shared = at[self._df[at] > 1]
-        if len(shared) > QUERY_TERMS:
-            shared = shared[np.argpartition(self._df[shared], QUERY_TERMS)[:QUERY_TERMS]]
-        out = np.zeros(self._n)
-        for t in shared:
-            a, b = self._at[t], self._at[t + 1]
-            out[self._docs[a:b]] += self._weight[a:b]
+
+        dense = df > max(1, self._n * DENSE)
+        place = np.cumsum(dense) - 1
+        self._dense = np.zeros((int(dense.sum()), self._n))
+        of = np.repeat(np.arange(len(df)), df)
+        here = dense[of]
+        self._dense[place[of[here]], self._docs[here]] = self._weight[here]
+        # Each document's terms: rows of the dense part, or starts and lengths of lists that others are in, too.
+        term = np.empty(len(order), np.int64)
+        term[order] = of
+        self._rows, self._lists = [], []
+        for own in np.split(term, np.cumsum([len(p[0]) for p in pairs])[:-1]):
+            self._rows.append(place[own[dense[own]]])
+            rare = own[~dense[own] & (df[own] > 1)]
+            self._lists.append((first[rare], df[rare]))
+
+    def scores(self, seeds) -> np.ndarray:
+        """BM25 of every document for all terms of each seed: seeds x documents."""
+        asked = np.zeros((len(seeds), len(self._dense)))
+        for i, doc in enumerate(seeds):
+            asked[i, self._rows[doc]] = 1.0
+        out = asked @ self._dense
+        for i, doc in enumerate(seeds):
+            first, size = self._lists[doc]
+            if len(first):
+                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                out[i] += np.bincount(self._docs[at], self._weight[at], self._n)
         return out
 
 
@@ -59,8 +77,8 @@ def fill(tokens: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int,
 
     A document's full windows come first, each a sequence of its own. What is left of it is then the
     seed of a sequence or a neighbour in one: the first unused rest is the seed, and unused rests
-    follow by falling score (then in order) until the window is full; the last one is cut to fit and
-    its remainder stays for later.
+    follow by falling BM25 for all terms of the seed's text (then in order) until the window is full;
+    the last one is cut to fit and its remainder stays for later.
     """
     sequence = 0
     start = np.zeros(len(tokens), np.int64)
@@ -70,7 +88,7 @@ def fill(tokens: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int,
             start[doc] += window
             sequence += 1
     left = np.array([len(t) for t in tokens]) - start
-    shard, unused = Shard(tokens), left > 0
+    shard, unused, known = Shard(tokens), left > 0, {}
     for seed in range(len(tokens)):
         while unused[seed]:
             used, nearest, at = 0, None, 0
@@ -85,20 +103,16 @@ def fill(tokens: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int,
                 if used == window:
                     break
                 if nearest is None:
-                    scores = shard.scores(seed)
-                    scores[~unused] = -1.0
-                    want = min(len(tokens), 16)
-                    best = np.argpartition(-scores, want - 1)[:want]
-                    nearest = best[np.argsort(-scores[best], kind="stable")]
+                    if seed not in known:
+                        group = [seed, *(seed + 1 + np.flatnonzero(unused[seed + 1:])[:SEEDS - 1]).tolist()]
+                        known = dict(zip(group, shard.scores(group), strict=True))
+                    nearest = np.flatnonzero(unused)
+                    nearest = nearest[np.argsort(-known[seed][nearest], kind="stable")]
                 while at < len(nearest) and not unused[nearest[at]]:
                     at += 1
-                if at < len(nearest):
-                    doc = int(nearest[at])
-                elif unused.any():
-                    scores[~unused] = -1.0
-                    doc = int(np.argmax(scores))
-                else:
+                if at == len(nearest):
                     break
+                doc = int(nearest[at])
             sequence += 1
 
 

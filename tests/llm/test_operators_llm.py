@@ -351,6 +351,32 @@ def test_neighbours_share_terms():
     assert sum(len(set(s)) == 1 for s in by.values()) >= 3
 
 
+def brute_bm25(tokens, seed):
+    counts, out = [Counter(t.tolist()) for t in tokens], []
+    mean = sum(map(len, tokens)) / len(tokens)
+    df = Counter(term for c in counts for term in c)
+    for c, t in zip(counts, tokens):
+        out.append(sum(np.log1p((len(tokens) - df[x] + 0.5) / (df[x] + 0.5)) * c[x] * 2.2 / (
+            c[x] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for x in counts[seed] if x in c))
+    return np.array(out)
+
+
+def test_scores_are_bm25_of_all_terms_of_the_seed():
+    # Each seed shares 30 rare terms with a decoy, and 200 commoner ones with its topic.
+    rng = np.random.default_rng(9)
+    tokens = [np.concatenate([rng.permutation(200)[:180] + 1000 * (i % 3), np.arange(30) + 10_000 + 100 * (i // 2)]).astype("<u4")
+              for i in range(30)]
+    shard = packing.Shard(tokens)
+    followers = defaultdict(list)
+    for sequence, doc, *_ in packing.fill(tokens, 800):
+        followers[sequence].append(doc)
+    want = brute_bm25(tokens, 0)
+    want[0] = -1
+    assert np.allclose(want[followers[0][1:4]], np.sort(want)[::-1][:3])
+    for seed in (0, 7, 29):
+        assert np.allclose(np.ravel(shard.scores([seed])), brute_bm25(tokens, seed))
+
+
 # Empty tables --------------------------------------------------------------------------------------------
 
 def test_empty_tables(spark, empty):
