@@ -97,7 +97,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, bands): a key of the words in order, and the keys of the bands (none without words)."""
+    """(id, key, bands): a key of the words in order, and the keys of the bands (none without words), of the
+    shingles weighted by how often they occur, and of their plain set."""
 
     def start():
         hashes = WordHashes()
@@ -110,12 +111,20 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, te
                 distinct, weight = np.unique(shingles(hashes(words), width), return_counts=True)
                 parts.append(distinct)
                 counts.append(weight)
+            found = banded(parts, counts)
+            # Sets are banded by the same keys: where nothing repeats, they are those of the weighted set.
+            again = [i for i, c in enumerate(counts) if c.max(initial=1) > 1]
+            for i, plain in zip(again, banded([parts[i] for i in again], [np.ones_like(counts[i]) for i in again]), strict=True):
+                found[i] = list(dict.fromkeys([*found[i], *plain]))
+            return ids, keys, found
+
+        def banded(parts, counts):
             sizes = [len(p) for p in parts]
             signature = signatures(
                 np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0)]).astype(float),
                 np.repeat(np.arange(len(parts)), sizes), len(parts), bands * rows)
             found = band_keys(signature, bands, rows).view(np.int64)
-            return ids, keys, [list(f) if s else [] for f, s in zip(found, sizes, strict=True)]
+            return [list(f) if s else [] for f, s in zip(found, sizes, strict=True)]
 
         def small(ids, texts, most=2048):
             out = ([], [], [])
@@ -211,8 +220,9 @@ def near_duplicates(
     """doc_id, class_id and kept of every row; a class is named by its least id, the document that stays.
 
     Texts of equal words are one class from the start. Of each such group one text is sketched: its
-    shingles of ``width`` words, weighted by how often they occur, by ProbMinHash. Documents sharing a
-    band are candidates; links are those with a Jaccard similarity of the sets of shingles of
+    shingles of ``width`` words by ProbMinHash, weighted by how often they occur, and once more with equal
+    weights, where registers agree with chance equal to the Jaccard similarity of the sets. Documents
+    sharing a band are candidates; links are those with a Jaccard similarity of the sets of shingles of
     ``similarity`` or more, computed from the whole texts; classes are the components of the links.
 
     A bucket is not expanded into pairs. Shingles that no other candidate has cannot be shared, so texts

@@ -126,6 +126,17 @@ def test_near_copies_of_a_template_are_one_class(spark):
     assert got == want and len(set(want.values())) < 40
 
 
+def test_near_copies_with_a_line_repeated_many_times(spark):
+    rows = []
+    for i in range(12):
+        page = cases.prose(600 + i, 300)
+        line = " ".join(page.split()[-20:])
+        rows += [(2 * i, page), (2 * i + 1, page + f"\n{line}" * (50 + 15 * i))]
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(cases.frame(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) == 12
+
+
 def test_registers_agree_with_probability_jaccard():
     rng = np.random.default_rng(3)
     elements = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
