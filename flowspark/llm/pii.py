@@ -69,14 +69,12 @@ def entity_key(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def contexts(text: str, spans, width: int = CONTEXT) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) for the ``width`` terms on either side of each base span."""
-    terms = _outside(text, spans)
-    starts, out = [m.start() for m in terms], []
+def contexts(text: str, spans, terms, width: int = CONTEXT) -> set[tuple[int, str]]:
+    """(entity, term) for the ``width`` terms on either side of each base span."""
+    starts, out = [m.start() for m in terms], set()
     for start, end, kind in spans:
-        at = bisect_left(starts, start)
-        for m in terms[max(0, at - width):at + width]:
-            out.append((entity_key(kind, text[start:end]), m[0].lower(), m.start(), m.end()))
+        at, entity = bisect_left(starts, start), entity_key(kind, text[start:end])
+        out.update((entity, m[0].lower()) for m in terms[max(0, at - width):at + width])
     return out
 
 
@@ -96,7 +94,8 @@ def _outside(text: str, spans):
 
 
 def found(docs: DataFrame, width: int = CONTEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans and contexts, a row per document, with a row number that is unique in the result."""
+    """Base spans, a row per document, with a row number that is unique in the result. Where there are any,
+    also their entities, contexts and all places of each term outside of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -104,22 +103,30 @@ def found(docs: DataFrame, width: int = CONTEXT, id_col: str = "doc_id", text_co
             out = []
             for i, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 spans = base_spans(text)
+                terms = _outside(text, spans) if spans else []
+                places: dict = {}
+                for m in terms:
+                    places.setdefault(m[0].lower(), []).append({"start": m.start(), "end": m.end()})
                 out.append({
                     "row": row, "doc_id": i, "spans": [{"start": s, "end": e, "kind": k} for s, e, k in spans],
-                    "contexts": [dict(zip(("entity", "term", "start", "end"), c, strict=True))
-                                 for c in contexts(text, spans, width)] if spans else [],
+                    "entities": sorted({entity_key(k, text[s:e]) for s, e, k in spans}),
+                    "contexts": [{"entity": e, "term": t} for e, t in sorted(contexts(text, spans, terms, width))],
+                    "terms": [{"term": t, "at": at} for t, at in places.items()],
                 })
                 row += 1
             yield pa.RecordBatch.from_pylist(out, schema)
 
+    place = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))),
-        ("contexts", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()),
-                                         ("end", pa.int64())])))])
+        ("entities", pa.list_(pa.int64())),
+        ("contexts", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string())]))),
+        ("terms", pa.list_(pa.struct([("term", pa.string()), ("at", place)])))])
     return text_of(docs, id_col, text_col).mapInArrow(run, (
-        "row long, doc_id long, spans array<struct<start: long, end: long, kind: string>>, "
-        "contexts array<struct<entity: long, term: string, start: long, end: long>>"))
+        "row long, doc_id long, spans array<struct<start: long, end: long, kind: string>>, entities array<long>, "
+        "contexts array<struct<entity: long, term: string>>, "
+        "terms array<struct<term: string, at: array<struct<start: long, end: long>>>>"))
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text", held: int = HELD_TERMS) -> DataFrame:
@@ -145,24 +152,36 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", held: int = HE
     return texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(
-    places: DataFrame, frequencies: DataFrame, n_docs: int, generalise: float = GENERALISE, remove: float = REMOVE,
-    support: int = SUPPORT,
+def held_pairs(
+    places: DataFrame, frequencies: DataFrame, n_docs: int, generalise: float = GENERALISE, support: int = SUPPORT,
 ) -> DataFrame:
+    """(row, entity, term, at, n_term, n_entity): each document's pairs that may disclose, with all places of
+    the term. Such a term stands in the context of the entity in ``support`` documents or more."""
+    near = places.select(F.explode("contexts").alias("c")).groupBy("c.entity", "c.term").agg(F.count(F.lit(1)).alias("n"))
+    entities = places.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # n_both is at most n_entity, so that a term in more documents than this cannot reach the threshold.
+    most = F.col("n_entity") * F.pow(float(n_docs) / F.col("n_entity"), F.lit(1 - generalise)) * (1 + 1e-9)
+    pairs = written(
+        near.where(F.col("n") >= support).drop("n").join(entities.where(F.col("n_entity") < n_docs), "entity")
+        .join(frequencies.select("term", F.col("n").alias("n_term")), "term").where(F.col("n_term") <= most), "pairs")
+    n = pairs.count()
+    terms = places.where("size(spans) > 0").select("row", "entities", F.explode("terms").alias("t")).select("row", "entities", "t.*")
+    terms = terms.join(checked_broadcast(pairs.select("term").distinct(), n, 32), "term", "left_semi")
+    each = terms.select("row", F.explode("entities").alias("entity"), "term", "at")
+    return written(each.join(checked_broadcast(pairs, n, 64), ["entity", "term"]), "held")
+
+
+def disclosing_terms(held: DataFrame, n_docs: int, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, disclosure, action) of the terms that tell too much.
 
     disclosure = PMI(term; entity) / IC(entity), where PMI = ln(n_both * N / (n_term * n_entity)) and
-    IC = ln(N / n_entity), over documents; 1 means that the term occurs with the entity only.
+    IC = ln(N / n_entity), over whole documents; 1 means that the term occurs with the entity only.
     """
-    spots = places.select("row", F.explode("contexts").alias("c")).select("row", "c.entity", "c.term").distinct()
-    both = spots.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    holders = places.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
-    entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
     content = F.log(F.lit(float(n_docs)) / F.col("n_entity"))
     pmi = F.log(F.col("n_both") * float(n_docs) / (F.col("n_term") * F.col("n_entity")))
     return (
-        both.join(entities, "entity").join(frequencies.select("term", F.col("n").alias("n_term")), "term")
-        .where(content > 0).withColumn("disclosure", pmi / content).where(F.col("disclosure") >= generalise)
+        held.groupBy("entity", "term", "n_term", "n_entity").agg(F.count(F.lit(1)).alias("n_both"))
+        .withColumn("disclosure", pmi / content).where(F.col("disclosure") >= generalise)
         .select("entity", "term", "disclosure",
                 F.when(F.col("disclosure") >= remove, "term_removed").otherwise("term_generalised").alias("action"))
     )
@@ -176,19 +195,21 @@ def personal_data(
     by start, then kind; code points, end exclusive.
 
     Base spans are those of the four patterns. Around each, up to ``width`` terms on either side are
-    its context; corpus counts of terms, entities and both together give how strongly a term reveals
-    the entity, and the contexts' terms beyond the thresholds are added as spans. An entity or pair in
-    fewer than ``support`` documents has no estimate and adds nothing.
+    its context, and terms in the context of an entity in ``support`` documents or more are candidates.
+    Counts of the documents with the term, the entity and both give how strongly a term reveals the entity;
+    every place of a term beyond the thresholds, near or far, is a span in each document that holds the
+    entity. A term that never stands near the entity is no candidate.
 
     Null texts are empty, empty texts have no spans; a null id stays null; repeated rows each count as
     a document; other columns are ignored. Only counts, keys and spans are shuffled, never texts.
     """
     places = written(found(docs, width, id_col, text_col), "places")
-    risky = written(disclosing_terms(places, document_frequencies(docs, text_col), places.count(), generalise,
-                                     remove, support), "disclosing")
-    spots = places.select("row", F.explode("contexts").alias("c")).select("row", "c.*")
+    n_docs = places.count()
+    held = held_pairs(places, document_frequencies(docs, text_col), n_docs, generalise, support)
+    risky = written(disclosing_terms(held, n_docs, generalise, remove), "disclosing")
     side = checked_broadcast(risky.select("entity", "term", "action"), risky.count(), 64)
-    added = spots.join(side, ["entity", "term"]).groupBy("row", "start", "end").agg(
+    spots = held.join(side, ["entity", "term"]).select("row", "action", F.explode("at").alias("p"))
+    added = spots.groupBy("row", F.col("p.start").alias("start"), F.col("p.end").alias("end")).agg(
         F.max("action").alias("kind")  # removal outweighs generalisation
     ).groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("more"))
     rank = F.array([F.lit(k) for k in KINDS])
@@ -196,7 +217,7 @@ def personal_data(
     keyed = F.transform(every, lambda s: F.struct(
         s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     listed = F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return places.join(added, "row", "left").select("doc_id", listed.alias("spans"))
+    return places.select("row", "doc_id", "spans").join(added, "row", "left").select("doc_id", listed.alias("spans"))
 
 
 def _is(kind: str):

@@ -272,6 +272,22 @@ def test_terms_that_go_with_an_entity_only_are_added(spark):
     assert "Quimby" not in clean[100] and "<email>" in clean[100] and clean[0] == rows[0][1]
 
 
+def test_every_place_of_a_disclosing_term_is_marked(spark):
+    rows = [(i, cases.prose(200 + i, 30)) for i in range(60)]
+    rows += [(100 + i, f"Quimby writes. {cases.prose(300 + i, 40)} Quimby, quimby@example.org {cases.prose(400 + i, 40)} quimby") for i in range(4)]
+    # Near the address in two documents, far from it in two.
+    rows += [(200 + i, f"{cases.prose(500 + i, 3)} Wendell wendell@example.org {cases.prose(600 + i, 30)}") for i in range(2)]
+    rows += [(210 + i, f"Wendell {cases.prose(700 + i, 40)} wendell@example.org") for i in range(2)]
+    frame = cases.frame(spark, rows)
+    out = {r.doc_id: r.spans for r in pii.personal_data(frame).collect()}
+    for i, text in rows[60:]:
+        name = "quimby" if i < 200 else "wendell"
+        want = [m.span() for m in re.finditer(rf"(?i)\b{name}\b(?!@)", text)]
+        assert [(s.start, s.end) for s in out[i] if s.kind == "term_removed" and text[s.start:s.end].lower() == name] == want
+    clean = {r.doc_id: r.text for r in pii.sanitised(frame, pii.personal_data(frame)).collect()}
+    assert not any(re.search("(?i)quimby|wendell", clean[i]) for i, _ in rows[60:])
+
+
 def test_spans_of_awkward_texts(docs):
     out = pii.span_report(docs)
     assert out.count() == docs.count() and out.where("spans != ''").count() == 0
