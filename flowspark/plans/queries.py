@@ -818,8 +818,7 @@ def ml17_pair_cross_validation_entropy(spark, sf):
 
 @query()
 def ml20_algorithm_sweep(spark, sf):
-    light = {"random_forest": {"numTrees": 5}, "gradient_boosted_tree": {"maxIter": 3}, "neural_network": {"maxIter": 10}}
-    return jobs.sweep(_flow_table(spark, sf), folds=1, params=light).select("algorithm", "accuracy", "f1-score")
+    return jobs.sweep(_flow_table(spark, sf), params=models.ONLINE_SETTINGS).select("algorithm", "accuracy", "f1-score")
 
 
 # Streaming
