@@ -885,8 +885,11 @@ def str7_idle_expiry(spark, sf):
 
 @query()
 def str10_progress_metrics(spark, sf):
-    _, _, q = _collect_stream(spark, readers.stream_flows(spark, _flow_files(spark, sf)))
-    return progress.progress_metrics(spark, q)
+    files = _flow_files(spark, sf)
+    with progress.recorded(spark) as reports:
+        _, _, q = _collect_stream(spark, readers.stream_flows(spark, files))
+        reports.catch_up(q)
+    return reports.metrics(spark, q)
 
 
 @query(O.flow_query('SELECT count(*) AS "Input rows" FROM flows'))

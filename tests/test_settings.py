@@ -2,6 +2,7 @@
 
 from flowspark.operators import models, tuning
 from flowspark.plans import jobs, queries
+from flowspark.streaming import progress
 
 
 def test_the_sweep_has_full_settings_and_all_folds(monkeypatch):
@@ -22,3 +23,9 @@ def test_the_sweep_has_full_settings_and_all_folds(monkeypatch):
     except (AttributeError, KeyError):  # no metrics to report
         pass
     assert seen == [(a, models.ONLINE_SETTINGS.get(a), tuning.FOLDS) for a in models.SUPERVISED]
+
+
+def test_progress_is_of_every_batch(spark, sf, monkeypatch):
+    # A query itself keeps its last 100 batches only.
+    monkeypatch.setattr(progress, "progress_metrics", lambda *a: None)
+    assert queries.str10_progress_metrics(spark, sf).count() > 0
