@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowspark.llm import exact, lines, minhash, mixing, packing, pii, quality, repeats, tokens, toxicity
+from flowspark.llm import (exact, lines, minhash, mixing, packing, patterns, pii, quality, repeats, tokens, toxicity, tries,
+                           whitening)
 from flowspark.llm.common import table
 
 QUERIES: dict = {}
@@ -97,3 +98,48 @@ def op9_exact_dedup(spark, sf):
 @query()
 def op10_token_counts(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op11_pattern_packing(spark, sf):
+    return patterns.pattern_pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op12_whitening(spark, sf):
+    return whitening.whitening(table(spark, sf, "embeddings"))
+
+
+#: CRC-32 of a decimal number: per digit an exclusive or, then eight shifts with the usual polynomial.
+_CRC32 = """xor(list_reduce(flatten(list_transform(string_split({n}, ''), c -> [ascii(c) + 1, 0, 0, 0, 0, 0, 0, 0, 0])),
+    (a, x) -> CASE WHEN x > 0 THEN xor(a, (x - 1)::BIGINT) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295), 4294967295)"""
+
+
+# Totals in another way than by contraction: each node counts along the path of its smallest member.
+@query(rf"""
+WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 5 AS base, {_CRC32.format(n="c::VARCHAR")} % 9 AS h, count(*) AS size FROM turns GROUP BY c),
+sizes AS (SELECT v.*, least(v.h, coalesce(b.size, 0)) AS taken FROM convs v LEFT JOIN convs b ON b.c = v.base),
+rebuilt AS (
+    SELECT v.c, t.pos + 1 AS depth, t.role, t.text FROM sizes v JOIN turns t ON t.c = v.base AND t.pos < v.h
+    UNION ALL SELECT v.c, t.pos - v.h + v.taken + 1, t.role, t.text FROM sizes v JOIN turns t ON t.c = v.c AND t.pos >= v.h
+    UNION ALL SELECT c, 0, '', '' FROM sizes),
+keyed AS (SELECT c, depth, strlen(text) AS bytes, md5(string_agg(md5(length(role) || ':' || role || text), '')
+        OVER (PARTITION BY c ORDER BY depth)) AS k, max(depth) OVER (PARTITION BY c) AS longest FROM rebuilt),
+keys AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY depth) AS parent FROM keyed),
+nodes AS (SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs, min(parent) AS parent, min(bytes) AS bytes,
+    string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = longest) AS ends FROM keys GROUP BY depth, k),
+kids AS (SELECT parent AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+full_nodes AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM nodes n LEFT JOIN kids ON kids.k = n.k),
+own AS (SELECT y.c, y.depth, y.k, coalesce((n.n_convs - 1) * n.bytes, 0) AS saved, coalesce((n.n_children = 0)::INT, 0) AS leaf
+    FROM keys y LEFT JOIN full_nodes n ON n.conv_id = y.c AND n.depth = y.depth),
+below AS (SELECT k, sum(saved) OVER down AS saved, sum(leaf) OVER down AS leaves FROM own
+    WINDOW down AS (PARTITION BY c ORDER BY depth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+totals AS (SELECT k, sum(saved)::BIGINT AS saved_tokens, sum(leaves)::BIGINT AS n_leaves FROM below GROUP BY k)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens,
+    sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_nodes n JOIN totals t ON t.k = n.k LEFT JOIN full_nodes p ON p.k = n.parent
+""")
+def op13_prefix_trie(spark, sf):
+    return tries.prefix_trie(table(spark, sf, "conversations"))
