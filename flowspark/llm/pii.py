@@ -17,9 +17,12 @@ from flowspark.llm.common import checked_broadcast, text_of, written
 
 #: In the order in which spans of one start are listed. The last two are added by the method.
 KINDS = ("email", "ip", "card", "phone", "term_removed", "term_generalised")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: Written so that a scan takes time in proportion to the text: a run of digits is tried from its start only
+#: and never given back, and an address is found from its @.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 _DIGIT = re.compile("[0-9]")
@@ -41,14 +44,35 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        # What stands before a @ cannot be part of a later address's name.
+        free = domain.end() if domain else at + 1
+        if domain:
+            out.append((start, free))
+        at = text.find("@", free)
+    return out
+
+
+def _is_byte(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns, by start, then kind; a match that fails is dropped."""
     spans = []
     if "@" in text:
-        spans += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+        spans += [(start, end, "email") for start, end in emails(text)]
     if _DIGIT.search(text):
         spans += [(m.start(), m.end(), "ip") for m in IP.finditer(text)
-                  if all(int(part) <= 255 for part in m[0].split("."))]
+                  if all(_is_byte(part) for part in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
