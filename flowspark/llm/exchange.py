@@ -80,10 +80,12 @@ def answers(sent: DataFrame, owners: int, bits: int = KEY_BITS, least: bool = Fa
 
 
 class Block:
-    """Keys of a run of rows, until they are sent: (key, id, row, place) arrays."""
+    """Keys of a run of rows, until they are sent: (key, id, row, place) arrays. Without ``places``, only the
+    ids behind each key are kept."""
 
-    def __init__(self, owners: int, bits: int):
+    def __init__(self, owners: int, bits: int, places: bool = True):
         self._owners, self._bits, self._held, self.size, self._sent = owners, bits, [], 0, 0
+        self._places = places
         self._task = TaskContext.get().partitionId()
 
     def add(self, keys: np.ndarray, doc: int, row: int, places: np.ndarray) -> None:
@@ -92,6 +94,7 @@ class Block:
 
     def flush(self) -> pa.RecordBatch:
         keys, ids, rows, places = (np.concatenate(x) for x in zip(*self._held, strict=True))
+        self._held, self.size = [], 0
         order = np.lexsort((ids, keys))
         keys, ids, rows, places = keys[order], ids[order], rows[order], places[order]
         distinct, first, runs = np.unique(keys, return_index=True, return_counts=True)
@@ -101,10 +104,9 @@ class Block:
             out.append({
                 "block": (self._task << 24) + self._sent, "owner": owner, "n": b - a, "k": k, "code": code,
                 "least": ids[first[a:b]].astype(np.int64).tobytes(), "runs": runs[a:b].astype(np.uint32).tobytes(),
-                "rows": np.stack([ids[here], rows[here]]).astype(np.int64).tobytes(),
-                "places": places[here].astype(np.int32).tobytes(),
+                "rows": (np.stack([ids[here], rows[here]]) if self._places else ids[here]).astype(np.int64).tobytes(),
+                "places": places[here].astype(np.int32).tobytes() if self._places else None,
             })
-        self._held, self.size = [], 0
         self._sent += 1
         return pa.RecordBatch.from_pylist(out, _CELL_SCHEMA)
 

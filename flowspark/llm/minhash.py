@@ -19,6 +19,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Rounds of leaving out texts with too few common shingles.
 PRUNES = 2
+#: A block of the exchange closes at so many keys: some 32 bytes each while it is sorted.
+BLOCK_KEYS = 1 << 18
+#: Texts that are sketched together have so many characters, or are one text.
+SKETCHED_CHARS = 1 << 22
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -33,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 18):
         from xxhash import xxh3_64_intdigest
 
         self._known, self._most, self._hash = {}, most, xxh3_64_intdigest
@@ -126,11 +130,14 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, te
             found = band_keys(signature, bands, rows).view(np.int64)
             return [list(f) if s else [] for f, s in zip(found, sizes, strict=True)]
 
-        def small(ids, texts, most=2048):
-            out = ([], [], [])
-            for i in range(0, len(ids), most):
-                for column, more in zip(out, step(ids[i:i + most], texts[i:i + most]), strict=True):
-                    column.extend(more)
+        def small(ids, texts):
+            out, first, held = ([], [], []), 0, 0
+            for i, text in enumerate(texts):
+                held += len(text)
+                if held >= SKETCHED_CHARS or i + 1 == len(texts):
+                    for column, more in zip(out, step(ids[first:i + 1], texts[first:i + 1]), strict=True):
+                        column.extend(more)
+                    first, held = i + 1, 0
             return out
 
         return small
@@ -180,13 +187,13 @@ def common_shingles(texts: DataFrame, width: int) -> DataFrame:
     owners = exchange.owners_for(texts.sparkSession, 500 * texts.count())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block = WordHashes(), exchange.Block(owners, exchange.KEY_BITS)
+        hashes, block = WordHashes(), exchange.Block(owners, exchange.KEY_BITS, places=False)
         for batch in batches:
             for i, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 keys = shingles(hashes(text.encode().split()), width)
                 keys = np.unique(keys) >> np.uint64(64 - exchange.KEY_BITS)
                 block.add(keys, i, 0, np.zeros(len(keys), np.int64))
-                if block.size >= exchange.BLOCK_KEYS:
+                if block.size >= BLOCK_KEYS:
                     yield block.flush()
         if block.size:
             yield block.flush()
@@ -196,7 +203,7 @@ def common_shingles(texts: DataFrame, width: int) -> DataFrame:
             ids, shared = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             for r in batch.to_pylist():
                 runs = np.frombuffer(r["runs"], np.uint32)
-                ids.append(np.frombuffer(r["rows"], np.int64)[:int(runs.sum())])
+                ids.append(np.frombuffer(r["rows"], np.int64))
                 shared.append(np.repeat(golomb.unpack(r["bits"], r["n"]) | (runs > 1), runs))
             distinct, at, sizes = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
             counts = np.bincount(at, np.concatenate(shared), len(distinct)).astype(np.int64)
@@ -204,7 +211,9 @@ def common_shingles(texts: DataFrame, width: int) -> DataFrame:
                                               pa.array(counts)], ["id", "size", "common"])
 
     cells = written(texts.select("id", "text").mapInArrow(send, exchange.CELL), "shingles")
-    counted = exchange.with_bits(cells, owners, exchange.KEY_BITS, False).mapInArrow(count, "id long, size long, common long")
+    # Python gets what it reads, no more.
+    counted = exchange.with_bits(cells, owners, exchange.KEY_BITS, False).select("n", "runs", "rows", "bits").mapInArrow(
+        count, "id long, size long, common long")
     return counted.groupBy("id").agg(F.sum("size").alias("size"), F.sum("common").alias("common"))
 
 
