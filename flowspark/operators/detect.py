@@ -90,6 +90,32 @@ class MeanVarianceClassifier(
         return self._copyValues(model)
 
 
+    def leave_out_limits(self, dataset: DataFrame, fold: str, folds: int, param_maps: list[dict]) -> list[list[tuple]]:
+        """[fold][parameter point] -> (lower, upper) as fitted on all rows but the fold's.
+
+        One scan takes count, mean and squared deviations of each fold; those of the others are merged for each fold, not
+        subtracted from the whole, so nothing cancels. Points differ in what they do with the same moments.
+        """
+        summary = Summarizer.metrics("count", "mean", "variance").summary(F.col(self.getFeaturesCol()))
+        parts = {r["fold"]: (r["s"]["count"], r["s"]["mean"].toArray(), r["s"]["variance"].toArray() * (r["s"]["count"] - 1))
+                 for r in dataset.groupBy(F.col(fold).alias("fold")).agg(summary.alias("s")).collect()}
+        out = []
+        for left_out in range(folds):
+            n, mean, squares = 0, 0.0, 0.0
+            for other in sorted(parts):
+                if other != left_out:
+                    m, at, off = parts[other]
+                    step = at - mean
+                    squares = squares + off + step * step * n * m / (n + m)
+                    mean, n = mean + step * m / (n + m), n + m
+            if n == 0:
+                raise ValueError(f"fold {left_out} leaves no rows to train on")
+            variance = np.maximum(squares, 0) / (n - 1) if n > 1 else np.zeros_like(mean)
+            widths = [variance * self.copy(params).getThreshold() for params in param_maps]
+            out.append([((mean - w).tolist(), (mean + w).tolist()) for w in widths])
+        return out
+
+
 class MeanVarianceModel(
     Model, _Limits, _Threshold, HasFeaturesCol, HasLabelCol, HasPredictionCol,
     DefaultParamsReadable, DefaultParamsWritable,

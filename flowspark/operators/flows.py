@@ -28,6 +28,7 @@ KEY = ["k_ip1", "k_port1", "k_ip2", "k_port2", "proto"]
 #: Inside, null key parts are '' or -1 and this column has a bit for each of the four, so that joins,
 #: windows and folds all compare them alike.
 NULLS = "k_null"
+HELD = -1  # block of what was held from earlier rows
 CARRIED = -1  # carry group of the segments that touch a block edge
 SIDES = (0, 1)
 
@@ -88,18 +89,32 @@ def keyed_rows(packets: DataFrame, block_rows: int = BLOCK_ROWS, window_us: int
     return rows, key
 
 
-def newest_before(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Add ``prev_ts``: the newest packet time of the key over all earlier rows."""
+def key_blocks(
+    rows: DataFrame, key: list[str], block_rows: int = BLOCK_ROWS, held: DataFrame | None = None,
+) -> DataFrame:
+    """(key, block, carry_ts, n_before, n_key) from one aggregate: the newest time and the number of rows of the
+    key before the block, and its rows in all. Only blocks with something before them, and all blocks of keys with more
+    than ``block_rows`` rows: few rows, as most keys live in one block. ``held`` has the time (``last_ts``) of keys whose
+    flow began before these rows."""
     along = Window.partitionBy(*key).orderBy("block").rowsBetween(*BEFORE)
-    carry = (
-        rows.groupBy(*key, "block").agg(F.max("ts_us").alias("top"))
-        .withColumn("carry_ts", F.max("top").over(along))
-        .where(F.col("carry_ts").isNotNull())
-        .drop("top")
+    counted = rows.groupBy(*key, "block").agg(F.max("ts_us").alias("top"), F.count(F.lit(1)).alias("n"))
+    if held is not None:
+        counted = counted.unionByName(held.select(
+            *key, F.lit(HELD).cast("bigint").alias("block"), F.col("last_ts").alias("top"), F.lit(0).cast("bigint").alias("n")))
+    return (
+        counted.select(*key, "block", F.max("top").over(along).alias("carry_ts"),
+                F.coalesce(F.sum("n").over(along), F.lit(0)).alias("n_before"),
+                F.sum("n").over(Window.partitionBy(*key)).alias("n_key"))
+        .where(F.col("carry_ts").isNotNull() | (F.col("n_key") > block_rows))
     )
+
+
+def newest_before(rows: DataFrame, key: list[str], blocks: DataFrame | None = None) -> DataFrame:
+    """Add ``prev_ts``: the newest packet time of the key over all earlier rows."""
+    blocks = key_blocks(rows, key) if blocks is None else blocks
     inside = Window.partitionBy(*key, "block").orderBy("seq").rowsBetween(*BEFORE)
     return (
-        rows.join(carry, [*key, "block"], "left")
+        rows.join(blocks.select(*key, "block", "carry_ts"), [*key, "block"], "left")
         .withColumn("prev_ts", F.greatest(F.max("ts_us").over(inside), F.col("carry_ts")))
         .drop("carry_ts")
     )
@@ -113,12 +128,14 @@ def drop_late(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("prev_ts").isNull() | (F.col("ts_us") >= F.col("prev_ts")))
 
 
-def mark_gaps(rows: DataFrame, key: list[str], timeout_us: int, idle_us: int) -> DataFrame:
+def mark_gaps(
+    rows: DataFrame, key: list[str], timeout_us: int, idle_us: int, blocks: DataFrame | None = None,
+) -> DataFrame:
     """Late rows dropped; gap to the last kept packet; where flows and bursts start."""
     gap = F.col("ts_us") - F.col("prev_ts")
     starts = F.col("prev_ts").isNull() | (gap > timeout_us)
     return (
-        drop_late(newest_before(rows, key))
+        drop_late(newest_before(rows, key, blocks))
         .withColumns({"flow_start": starts, "gap": F.when(~starts, gap)})
         .withColumn("burst_start", F.col("flow_start") | (F.col("gap") > idle_us))
         .drop("prev_ts")
@@ -150,6 +167,12 @@ SUMS = ["n", "vol", "vol2", "hlen", "psh", "urg", "iat_n", "iat_sum", "iat_hh",
 MAXS = ["len_max", "len_state", "iat_max", "iat_level", "last_ts", "last_seq"]
 MINS = ["first_ts", "first_seq"]
 FLAGS = ["valid_hit", "closes"]
+# What a row that stands for past bursts knows of them: counts, sums, squares and extremes of active and idle times. The
+# lowest active time restarts after a zero, whose burst is p_active_top.
+PAST_TYPES = {f"p_{c}": "DECIMAL(38,0)" if c.endswith("2") else "BIGINT" for c in (
+    "active_n", "active_sum", "active2", "active_max", "active_top", "active_low", "idle_n", "idle_sum", "idle2",
+    "idle_max", "idle_min")}
+PAST = list(PAST_TYPES)
 # Minima restart after a zero. Their state is the position (seq) of the latest zero and the lowest
 # value since. For lengths both are one decimal, (position + 1) * LEN_SPAN + what the length lacks to
 # LEN_SPAN - 1: the greatest state has the latest zero and, among equals, the lowest length. It holds
@@ -198,6 +221,7 @@ def segments(rows: DataFrame, key: list[str]) -> DataFrame:
         e("max(ts_us) AS last_ts"), e("max(seq) AS last_seq"), e("min(ts_us) AS first_ts"),
         e("min(seq) AS first_seq"), e("min_by(dscp, seq) AS first_dscp"), e("max(gap) AS gap"),
         *[e(f"max({c}) AS {c}") for c in flags],
+        *[e("max_by(mode, seq) AS mode"), e("max(seq) AS mode_seq")] * ("mode" in rows.columns),
     )
     sided = [
         f"{fn}(CASE WHEN side = @ THEN {c} END) AS s@_{c}"
@@ -212,6 +236,7 @@ def segments(rows: DataFrame, key: list[str]) -> DataFrame:
         # Only the packet that opens a burst inside a flow has waited through an idle gap.
         e("max(CASE WHEN l_burst <> coalesce(l_flow, -1) THEN gap END) AS idle"),
         *[e(f"max({c}) AS {c}") for c in flags],
+        *[e("max_by(mode, mode_seq) AS mode")] * ("mode" in rows.columns),
     )
 
 
@@ -246,7 +271,7 @@ def settle_segments(segs: DataFrame, key: list[str]) -> DataFrame:
         *_both("CASE WHEN NOT running@ AND s@_first_dscp <> 0 THEN s@_first_seq END AS s@_dscp_seq"),
     )
     flags = [c for c in FLAGS if c in segs.columns]
-    same = ["n", "vol", "vol2", "hlen", "psh", "urg", "len_max", "len_state", "last_seq", "first_seq",
+    same = ["n", "vol", "vol2", "hlen", "psh", "urg", "len_max", "len_state", "last_seq", "last_ts", "first_seq",
             "first_dscp", "dscp_seq"]
     fixed = [f"s@_{c}" for c in same] + [
         "s@_iat_n + CASE WHEN edge@ IS NULL THEN 0 ELSE 1 END AS s@_iat_n",
@@ -263,12 +288,13 @@ def settle_segments(segs: DataFrame, key: list[str]) -> DataFrame:
     ]
     return segs.selectExpr(
         *key, "flow_seq", "burst_seq", "first_seq", "first_dscp", "first_ts", "last_ts", "idle", "followed",
-        *flags, *[x for template in fixed for x in _both(template)],
+        *flags, *["mode"] * ("mode" in segs.columns), *[x for template in fixed for x in _both(template)],
     )
 
 
 def flow_rows(segs: DataFrame, key: list[str]) -> DataFrame:
-    """Merge settled segments into one row per flow, still with sides instead of directions."""
+    """Merge settled segments into one row per flow, still with sides instead of directions. Rows may stand for
+    the past bursts of a flow (``p_*`` columns, see ``resume``)."""
     e = F.expr
     flow = [*key, "flow_seq"]
     whole_flow = _window(flow)
@@ -295,22 +321,31 @@ def flow_rows(segs: DataFrame, key: list[str]) -> DataFrame:
           " AS first_side"),
         e("max(CASE WHEN first_seq = flow_seq AND first_dscp <> 0 THEN first_dscp END) AS open_dscp"),
         *[e(f"max({c}) AS {c}") for c in flags],
-    ).selectExpr("*", f"max(CASE WHEN active = 0 THEN burst_seq END) {whole_flow} AS active_top")
+        *[e(f"max({c}) AS {c}") for c in PAST if c in segs.columns],
+    )
+    if PAST[0] in segs.columns:
+        bursts = bursts.selectExpr(*[c for c in bursts.columns if c not in ("active", "idle")],
+                                   *[f"CASE WHEN p_active_n IS NULL THEN {c} END AS {c}" for c in ("active", "idle")])
+    else:
+        bursts = bursts.selectExpr("*", *[f"CAST(NULL AS {PAST_TYPES[c]}) AS {c}" for c in PAST])
+    bursts = bursts.selectExpr("*", f"max(CASE WHEN active = 0 THEN burst_seq ELSE p_active_top END) {whole_flow} AS active_top")
     totals = [f"sum(s@_{c}) AS s@_{c}" for c in
               ("n", "vol", "hlen", "psh", "urg", "iat_n", "iat_sum", "vol2", "iat2")]
     totals += [f"max(s@_{c}) AS s@_{c}" for c in ("len_max", "iat_max")]
     totals += [f"min(s@_{c}) AS s@_{c}" for c in ("len_min", "iat_min")]
     totals.append("min_by(s@_dscp, s@_dscp_seq) AS s@_dscp")
-    square = lambda c: f"sum(CAST({exact.decimal(c, 18)} * {exact.decimal(c, 18)} AS DECIMAL(38,0)))"
+    square = lambda c, past: f"sum(coalesce({past}, CAST({exact.decimal(c, 18)} * {exact.decimal(c, 18)} AS DECIMAL(38,0))))"
     return bursts.groupBy(*flow).agg(
         *[e(x) for template in totals for x in _both(template)],
         e("min(first_ts) AS first_ts"), e("max(last_ts) AS last_ts"), e("max(followed) AS followed"),
         e("max(first_side) AS first_side"), e("max(open_dscp) AS open_dscp"),
-        e("count(1) AS active_n"), e("sum(active) AS active_sum"), e(f"{square('active')} AS active2"),
-        e("max(active) AS active_max"),
-        e("min(CASE WHEN burst_seq > coalesce(active_top, -1) THEN active END) AS active_min"),
-        e("count(idle) AS idle_n"), e("sum(idle) AS idle_sum"), e(f"{square('idle')} AS idle2"),
-        e("max(idle) AS idle_max"), e("min(idle) AS idle_min"),
+        e("sum(coalesce(p_active_n, 1)) AS active_n"), e("sum(coalesce(p_active_sum, active)) AS active_sum"),
+        e(f"{square('active', 'p_active2')} AS active2"), e("max(coalesce(p_active_max, active)) AS active_max"),
+        e("min(CASE WHEN p_active_n IS NULL THEN CASE WHEN burst_seq > coalesce(active_top, -1) THEN active END"
+          " WHEN active_top <=> p_active_top THEN p_active_low END) AS active_min"),
+        e("sum(coalesce(p_idle_n, CASE WHEN idle IS NULL THEN 0 ELSE 1 END)) AS idle_n"), e("sum(coalesce(p_idle_sum, idle)) AS idle_sum"),
+        e(f"{square('idle', 'p_idle2')} AS idle2"), e("max(coalesce(p_idle_max, idle)) AS idle_max"),
+        e("min(coalesce(p_idle_min, idle)) AS idle_min"),
         *[e(f"max({c}) AS {c}") for c in flags],
     )
 
@@ -368,15 +403,20 @@ def flow_columns(flows: DataFrame) -> DataFrame:
 
 
 def mark_tcp_rows(
-    rows: DataFrame, key: list[str], timeout_us: int = FLOW_TIMEOUT_US, idle_us: int = IDLE_US
+    rows: DataFrame, key: list[str], timeout_us: int = FLOW_TIMEOUT_US, idle_us: int = IDLE_US,
+    block_rows: int = BLOCK_ROWS, held: DataFrame | None = None,
 ) -> DataFrame:
-    """As :func:`mark_gaps`, with TCP flows also ending at connection close."""
+    """As :func:`mark_gaps`, with TCP flows also ending at connection close. With ``held`` (key, last_ts, mode), flows
+    go on from there, and rows have the mode of their connection after them."""
     from flowspark.operators.tcp import track_connections
 
-    tcp = track_connections(rows.where(F.col("proto") == TCP), key, timeout_us, idle_us)
-    other = mark_gaps(rows.where(F.col("proto") != TCP), key, timeout_us, idle_us)
-    never = F.lit(False)
-    return tcp.unionByName(other.withColumns({"valid_hit": never, "closes": never}))
+    is_tcp, never = F.col("proto") == TCP, F.lit(False)
+    talk, other = rows.where(is_tcp), rows.where(~is_tcp)
+    of = (None, None) if held is None else (held.where(is_tcp), held.where(~is_tcp))
+    tcp = track_connections(talk, key_blocks(talk, key, block_rows, of[0]), key, timeout_us, idle_us, block_rows, of[0])
+    marks = {"valid_hit": never, "closes": never} | ({} if held is None else {"mode": F.lit(0).cast("bigint")})
+    other = mark_gaps(other, key, timeout_us, idle_us, None if held is None else key_blocks(other, key, block_rows, of[1]))
+    return tcp.unionByName(other.withColumns(marks))
 
 
 def flow_table(
@@ -389,7 +429,7 @@ def flow_table(
     every capture buffer.
     """
     rows, key = keyed_rows(packets, block_rows, window_us)
-    marked = (mark_tcp_rows if tcp_close else mark_gaps)(rows, key, timeout_us, idle_us)
+    marked = mark_tcp_rows(rows, key, timeout_us, idle_us, block_rows) if tcp_close else mark_gaps(rows, key, timeout_us, idle_us)
     segs = settle_segments(segments(mark_runs(marked, key), key), key)
     return flow_columns(flow_rows(segs, key))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowspark.functions.octets import dotted_quad, field, word
@@ -13,6 +13,7 @@ from flowspark.schemas import CORE_PACKET, TCP, UDP
 ETHERNET = 14
 IPV4 = "0800"
 SHORTEST_FRAME = 34
+VERDICTS = ("ok", "not_ip", "short_frame", "not_ipv4", "short_tcp", "short_udp", "other_protocol")
 SHORTEST = {TCP: 20, UDP: 8}
 HEAD_BYTES = ETHERNET + 60 + 20  # longest IP header and the fixed TCP header
 
@@ -77,10 +78,22 @@ def ip_header(df: DataFrame, frame: str = "frame", keep=("seq",)) -> DataFrame:
         *keep, *[fields[c].alias(c) for c in ("srcip", "dstip", "len", "dscp", "iphlen")])
 
 
-def decode_frames(df: DataFrame, frame: str = "frame", ts: str = "ts", keep=("seq",)) -> DataFrame:
-    """Packet rows of the frames that carry TCP or UDP over IPv4; ``ts`` in seconds."""
+def observed(inspected: DataFrame, counts: Observation | str) -> DataFrame:
+    """Count frames by verdict in passing: the counts are in the observation after an action, or, under a name, in the
+    progress of every micro-batch (``observedMetrics``)."""
+    return inspected.observe(counts, *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
+
+
+def decode_frames(
+    df: DataFrame, frame: str = "frame", ts: str = "ts", keep=("seq",), counts: Observation | str | None = None,
+) -> DataFrame:
+    """Packet rows of the frames that carry TCP or UDP over IPv4; ``ts`` in seconds. ``counts`` observes what is
+    dropped and why, without a second scan."""
     at = F.col("_iphlen") + ETHERNET
-    ok = _once(inspect_frames(df, frame).where(F.col("verdict") == "ok"), {
+    inspected = inspect_frames(df, frame)
+    if counts is not None:
+        inspected = observed(inspected, counts)
+    ok = _once(inspected.where(F.col("verdict") == "ok"), {
         # Both ports; then the UDP length, or the TCP header length and flags.
         "_ports": word("_head", at, 4),
         "_detail": word("_head", F.when(F.col("_proto") == TCP, at + 12).otherwise(at + 4), 2),

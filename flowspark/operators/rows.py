@@ -6,38 +6,68 @@ them, or an index column that already numbers them without holes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from flowspark.session import cut_lineage
+from pyspark.sql import types as T
 
 INDEX = "row_index"
 BLOCK_ROWS = 1 << 13
+#: Rows of a sample for each range that is cut.
+SAMPLED = 64
 
 
-def number_rows(df: DataFrame, order: list[str], index: str = INDEX) -> DataFrame:
-    """Number the rows 0, 1, 2, ... along the order columns, without sorting in one task.
+def splitters(df: DataFrame, keys: list[Column], ranges: int) -> list[tuple]:
+    """Keys that cut ``df`` into about ``ranges`` even ranges, in rising order.
 
-    Rows are range-partitioned and numbered inside each partition; the partition sizes (one row
-    per partition) give the offsets. The ranges come from a sample, so the partitioned rows are
-    materialised once: sizes and rows must come from the same ranges.
+    They are quantiles of a sample that a hash of the key draws, about ``SAMPLED`` rows for each range, so
+    the driver holds a bounded number of keys and a repeated call finds the same ones.
+    """
+    keyed = df.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("k")).withColumn("h", F.xxhash64("k"))
+    total = keyed.count()
+    share = max(1, total // (SAMPLED * ranges))
+    sample = sorted((r["k"] for r in keyed.where(F.pmod("h", F.lit(share)) == 0).select("k").collect()), key=_nulls_first)
+    distinct = list(dict.fromkeys(sample[len(sample) * i // ranges] for i in range(1, ranges))) if sample else []
+    return [tuple(k) for k in distinct]
+
+
+def _nulls_first(key):
+    # Spark's order: nulls first, NaN above all numbers.
+    return [(0, 0, 0) if v is None else (2, 0, 0) if v != v else (1, v, 0) for v in key]
+
+
+def _range_of(keys: list[str], cuts: list[tuple], schema: T.StructType) -> Column:
+    """How many splitters are at most a row's key, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    kinds = [schema[k].dataType if k in schema.names else T.LongType() for k in keys]
+    fixed = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, cut, kinds, strict=True)]) for cut in cuts])
+    key = F.struct(*[F.col(k).alias(k) for k in keys])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= len(cuts)) & (F.get(fixed, at + step - 1) <= key), at + step).otherwise(at))
+
+
+def number_rows(df: DataFrame, order: list[str], index: str = INDEX, ranges: int | None = None) -> DataFrame:
+    """Number the rows 0, 1, 2, ... along the order columns, without sorting in one task and without a copy.
+
+    Splitters found once cut the order into ranges; a first pass counts the rows of each range, a second numbers them inside
+    their range and adds the counts of those before. Both passes derive the range from the row and the fixed splitters
+    alone, so they agree whenever and wherever a task runs. A hash of the whole row breaks ties, so that many rows
+    of one order are cut, too; only rows that are equal in every column stay in one range.
     """
-    # The low 33 bits of the generated id count the rows of a partition.
-    in_partition = (1 << 33) - 1
-    placed = cut_lineage(
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-    ).withColumns({
-        "_part": F.shiftright("_id", 33), "_nth": F.col("_id").bitwiseAND(F.lit(in_partition)),
-    })
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    # One row per partition, so this side is as small as the task list itself.
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in df.columns])
+    cuts = splitters(df, [*[F.col(c) for c in order], tie], ranges)
+    placed = df.withColumn("_tie", tie).withColumn("_range", _range_of([*order, "_tie"], cuts, df.schema))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    own = Window.partitionBy("_range").orderBy(*order, "_tie")
+    # One row per range on the broadcast side.
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(index, F.col("_offset") + F.col("_nth"))
-        .drop("_id", "_part", "_nth", "_offset")
+        placed.withColumn("_nth", F.row_number().over(own)).join(F.broadcast(offsets), "_range")
+        .withColumn(index, F.col("_offset") + F.col("_nth") - 1)
+        .drop("_tie", "_range", "_nth", "_offset")
     )
 
 

@@ -156,17 +156,22 @@ def score_to_index(train: DataFrame, messages: DataFrame, algorithm: str, writer
 def score_low_latency(
     train: DataFrame, messages: DataFrame, algorithm: str, checkpoint: str, topic_format: str, topic_options: dict,
     topic_stream, writer, relay_checkpoint: str, params: dict | None = None, continuous: bool = True,
-    once: bool = False,
+    once: bool = False, interval: str | None = None,
 ):
-    """Score messages into a topic, and relay the topic into an index; returns both queries.
+    """Score messages into a topic, and relay the topic into an index; returns both queries, which run side by side.
 
-    ``topic_stream`` is a function giving the topic as a stream of ``value`` strings.
+    ``topic_stream`` is a function giving the topic as a stream of ``value`` strings. With ``once`` the first query
+    ends with its input; ``sinks.run_together`` waits for it and lets the second one catch up. ``interval`` is
+    the trigger of the second.
     """
     scored = scored_messages(train, messages, algorithm, params)
-    first = sinks.publish_predictions_json(scored, checkpoint, topic_format, continuous, once, **topic_options)
-    if once:
-        first.awaitTermination()
-    return first, sinks.relay(topic_stream(), writer, relay_checkpoint, once=once)
+    second = sinks.relay(topic_stream(), writer, relay_checkpoint, interval)
+    try:
+        first = sinks.publish_predictions_json(scored, checkpoint, topic_format, continuous, once, **topic_options)
+    except Exception:
+        second.stop()
+        raise
+    return first, second
 
 
 def publish_packet_flows(messages: DataFrame, writer, checkpoint: str, label=0, interval: str = sinks.FLOW_INTERVAL,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowspark import schemas
@@ -16,12 +16,14 @@ from flowspark.plans import jobs
 from flowspark.plans import oracle as O
 from flowspark.session import scratch_dir
 from flowspark.sources import fixtures, readers, writers
-from flowspark.streaming import progress, sinks, stateful, windows
+from flowspark.streaming import batches, progress, sinks, stateful, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLOW_FEATURES = O.FEATURES
 SMALL_BLOCKS = 512  # forces every key through many blocks
+PIECE_ROWS = 16  # cuts most keys of the small tables into several pieces
+BENCH_BLOCKS = 4096
 
 
 def query(sql: str | None = None):
@@ -328,6 +330,16 @@ def flt2_count_frames(spark, sf):
     return packets.count_frames(fixtures.frames(_packets(spark, sf)))
 
 
+@query(f"""WITH {O.PACKETS}, v AS (SELECT {_FRAME_VERDICT} AS verdict, srcip FROM packets WHERE seq >= 0)
+SELECT verdict, CASE WHEN verdict = 'ok' THEN count(*) END AS kept, count(*) AS frames FROM v GROUP BY verdict""")
+def flt2_counts_while_decoding(spark, sf):
+    """Frames by verdict as observed by the very pass that keeps the decoded ones."""
+    seen = Observation("frames")
+    kept = packets.decode_frames(fixtures.frames(_packets(spark, sf)), counts=seen).agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    found = [(v, kept if v == "ok" else None, n) for v, n in seen.get.items() if n]
+    return spark.createDataFrame(found, "verdict string, kept bigint, frames bigint")
+
+
 @query(f"WITH {_PREDICTIONS}, {_CONFUSION} SELECT * FROM c")
 def flt3_confusion_counts(spark, sf):
     return metrics.confusion_counts(fixtures.label_predictions(spark, sf))
@@ -602,6 +614,21 @@ def flw19_flow_stats_tcp_close(spark, sf):
     return flows.flow_stats(_packets(spark, sf), tcp_close=True)
 
 
+@query(O.flow_query(f"SELECT {O.STATS} FROM flows"))
+def flw19_flow_stats_blocks_4096(spark, sf):
+    return flows.flow_stats(_packets(spark, sf), block_rows=BENCH_BLOCKS)
+
+
+@query(O.flow_query(f"SELECT {O.STATS} FROM flows", tcp_close=True))
+def flw19_flow_stats_tcp_close_blocks_4096(spark, sf):
+    return flows.flow_stats(_packets(spark, sf), tcp_close=True, block_rows=BENCH_BLOCKS)
+
+
+@query(O.flow_query(f"SELECT {O.STATS} FROM flows", tcp_close=True))
+def flw19_flow_stats_tcp_close_in_blocks(spark, sf):
+    return flows.flow_stats(_packets(spark, sf), tcp_close=True, block_rows=PIECE_ROWS)
+
+
 @query(O.flow_query(f"SELECT {O.STATS} FROM flows WHERE end_reason = 'open' AND valid", tcp_close=True))
 def flw20_emit_open(spark, sf):
     return flows.flow_stats(_packets(spark, sf), tcp_close=True, policy="open", valid_only=True)
@@ -797,17 +824,48 @@ def ml15_cross_validation(spark, sf):
     return spark.createDataFrame([(float(m),) for m in model.avgMetrics], "f1 double")
 
 
+CV_FOLDS = 10
+#: Folds by whole numbers, so that any SQL engine draws the same.
+_FOLD_SQL = "((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey) % 10)"
+
+
+def _fold():
+    return F.expr(_FOLD_SQL).cast("int")
+
+
 def _pair_cv(spark, sf, est, holdout, points):
-    data = _measure_vectors(spark, sf)
-    model = tuning.PairCrossValidator(est, points, holdout=holdout).fit(data.where("label = 0"), data)
+    data = _measure_vectors(spark, sf).withColumn("fold", _fold())
+    model = tuning.PairCrossValidator(est, points, holdout=holdout, folds=CV_FOLDS, fold_col="fold").fit(data.where("label = 0"), data)
     return spark.createDataFrame([(i, m, i == model.bestIndex) for i, m in enumerate(model.avgMetrics)],
                                  "point int, f1 double, best boolean")
 
 
-@query()
+def _pair_cv_sql(points, holdout):
+    names = O.MEASURE_NAMES
+    moments = ", ".join(f"avg(a.{c}) AS mean_{c}, var_samp(a.{c}) AS var_{c}" for c in names)
+    wide = " OR ".join(f"d.{c} < mean_{c} - t * var_{c} OR d.{c} > mean_{c} + t * var_{c}" for c in names)
+    values = ", ".join(f"({i}, {t}::DOUBLE)" for i, t in enumerate(points))
+    return f"""WITH {O.MEASURES}, d AS (SELECT *, {_FOLD_SQL} AS fold FROM m), folds AS (SELECT range AS f FROM range({CV_FOLDS})),
+fits AS (SELECT f, {moments} FROM folds JOIN d a ON a.fold <> f AND a.label = 0 GROUP BY f), points(point, t) AS (VALUES {values}),
+judged AS (SELECT point, f, label, CASE WHEN {wide} THEN 1 ELSE 0 END AS said FROM fits, points, d WHERE {"TRUE" if holdout == "full" else "d.fold = f"}),
+c AS (SELECT point, f, label, count(*) AS real, count(*) FILTER (WHERE said = label) AS hits FROM judged GROUP BY ALL),
+s AS (SELECT point, f, said AS label, count(*) AS n FROM judged GROUP BY ALL),
+each AS (SELECT c.point, c.f, real, 2.0 * hits / (real + coalesce(n, 0)) AS f1 FROM c LEFT JOIN s USING (point, f, label)),
+per_fold AS (SELECT point, f, sum(f1 * real) / sum(real) AS f1 FROM each GROUP BY ALL),
+means AS (SELECT point, sum(f1) / {CV_FOLDS} AS f1 FROM per_fold GROUP BY point)
+SELECT point::INTEGER AS point, round(f1, 9) AS f1, point = first_value(point) OVER (ORDER BY f1 DESC, point) AS best FROM means"""
+
+
+@query(_pair_cv_sql([1.0, 2.0], "full"))
 def ml16_pair_cross_validation(spark, sf):
     est = detect.MeanVarianceClassifier()
-    return _pair_cv(spark, sf, est, "full", tuning.grid(est, {"threshold": [1.0, 2.0]}))
+    return _rounded(_pair_cv(spark, sf, est, "full", tuning.grid(est, {"threshold": [1.0, 2.0]})), ("f1",), 9)
+
+
+@query(_pair_cv_sql([0.01, 0.02, 0.1], "fold"))
+def ml16_pair_cross_validation_own_fold(spark, sf):
+    est = detect.MeanVarianceClassifier()
+    return _rounded(_pair_cv(spark, sf, est, "fold", tuning.grid(est, {"threshold": [0.01, 0.02, 0.1]})), ("f1",), 9)
 
 
 @query()
@@ -861,9 +919,10 @@ def str4_windowed_flows_stream(spark, sf):
 
 
 def _tracked_stream(spark, sf):
-    out, state, _ = _collect_stream(
-        spark, stateful.track_flows(fixtures.packets_from_events(_event_stream(spark, sf))))
-    return spark.read.parquet(out), stateful.open_flows(spark, state)
+    with stateful.rocksdb(spark):
+        out, state, _ = _collect_stream(
+            spark, stateful.track_flows(fixtures.packets_from_events(_event_stream(spark, sf))))
+        return spark.read.parquet(out), stateful.open_flows(spark, state)
 
 
 @query(O.flow_query(f"SELECT {O.STATS}, valid FROM flows", tcp_close=True))
@@ -872,6 +931,20 @@ def str5_stateful_flows(spark, sf):
     return finished.unionByName(still_open).select(*FLOW_FEATURES, "valid")
 
 
+REPLAYED_BATCHES = 20
+
+
+@query(O.flow_query(f"SELECT {O.STATS}, valid FROM flows", tcp_close=True))
+def str5_flows_over_micro_batches(spark, sf):
+    """The packets replayed in order as 20 micro-batches; small blocks, so that keys are cut inside of them as well."""
+    packets = _packets(spark, sf)
+    files = batches.ordered_files(packets, REPLAYED_BATCHES)
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    found = batches.FlowStream(spark, scratch_dir(spark, "flows"), block_rows=SMALL_BLOCKS)
+    sinks.run_bounded(found.start(stream, availableNow=True))
+    return found.finished().unionByName(found.still_open()).select(*FLOW_FEATURES, "valid")
+
+
 _WATERMARK = "(SELECT (max(ts_us) // 1000 - 600000) FROM packets WHERE proto IN (6, 17))"
 
 
@@ -904,11 +977,12 @@ def str10_progress_input_rows(spark, sf):
 def _chained(spark, sf, algorithm):
     topic, index = scratch_dir(spark, "topic"), scratch_dir(spark, "index")
     train, messages = _online(spark, sf)
-    _, second = jobs.score_low_latency(
+    spark.createDataFrame([], "value string").write.text(topic)  # a topic that exists and is empty
+    first, second = jobs.score_low_latency(
         train, messages, algorithm, scratch_dir(spark, "state"), "text", {"path": topic},
         lambda: readers.stream_text(spark, topic), writers.file_writer(index, "text"), scratch_dir(spark, "state"),
         continuous=False, once=True)
-    sinks.run_bounded(second)
+    sinks.run_together(first, second)
     layout = "srcip STRING, srcport BIGINT, dstip STRING, dstport BIGINT, proto BIGINT, prediction DOUBLE"
     found = spark.read.option("recursiveFileLookup", True).text(index)
     return found.select(F.from_json("value", layout).alias("r")).select("r.*")

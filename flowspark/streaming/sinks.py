@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -78,3 +80,31 @@ def run_bounded(query: StreamingQuery, timeout: float | None = None) -> Streamin
     if query.isActive:
         query.stop()
     return query
+
+
+def run_together(source: StreamingQuery, *followers: StreamingQuery, timeout: float | None = None, drain: bool = True,
+                 poll: float = 0.2) -> None:
+    """Let queries run side by side until the first one ends, at most ``timeout`` seconds, then stop the others.
+
+    With ``drain`` the followers first handle, one after the other, what has reached them until then. An error of any query
+    stops all of them and is raised.
+    """
+    queries = (source, *followers)
+    ends = None if timeout is None else time.monotonic() + timeout
+    try:
+        while source.isActive and (ends is None or time.monotonic() < ends):
+            source.awaitTermination(poll)  # raises an error of its own
+            for query in followers:
+                if not query.isActive:
+                    query.awaitTermination()
+                    raise RuntimeError(f"query {query.name or query.id} ended before the one that it follows")
+        if source.isActive:
+            source.stop()
+        source.awaitTermination()
+        for query in followers:
+            if drain:
+                query.processAllAvailable()
+    finally:
+        for query in queries:
+            if query.isActive:
+                query.stop()

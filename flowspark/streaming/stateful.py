@@ -5,6 +5,7 @@ State per flow key is one open flow: a fixed number of counters, however long th
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from decimal import Decimal
 from math import sqrt
 
@@ -16,8 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from flowspark import schemas
 from flowspark.operators import tcp
-from flowspark.operators.flows import FLOW_TIMEOUT_US, IDLE_US, KEY, PSH, URG, flow_key
-from flowspark.schemas import TCP, UDP
+from flowspark.operators.flows import FLOW_TIMEOUT_US, IDLE_US, KEY, NULLS, PSH, URG, keyed_rows
+from flowspark.schemas import TCP
 
 FEATURES = [c for c in schemas.STATS_FLOW_COLUMNS if c != schemas.LABEL]
 # Value series of a flow, each kept as count, total, squares, low and high.
@@ -27,6 +28,7 @@ SCALARS = (
     "flow_seq", "first_side", "first_ts", "last_ts", "burst_ts", "f_last", "b_last", "mode", "valid", "dscp",
     "f_psh", "b_psh", "f_urg", "b_urg", "f_hlen", "b_hlen",
 )
+UNKNOWN = -1  # length of headers that are not known
 UNSEEN = -1  # no packet of a direction yet in this burst
 
 COUNTERS = [*SCALARS, *[f"{s}_{p}" for s in SERIES for p in PARTS]]
@@ -38,6 +40,7 @@ OUTPUT = T.StructType(
     + [T.StructField("flow_seq", T.LongType()), T.StructField("last_ts", T.LongType()),
        T.StructField("end_reason", T.StringType()), T.StructField("valid", T.BooleanType())]
 )
+STATE_KEY = [*KEY, NULLS]
 PACKET_FIELDS = ["seq", "ts_us", "side", "len", "hlen", "dscp", "symbol"]
 
 
@@ -66,7 +69,7 @@ def _std(flow, series):
 def _count_packet(flow: dict, is_tcp: bool, p: dict) -> str:
     d = "f" if p["side"] == flow["first_side"] else "b"
     _observe(flow, f"{d}_len", p["len"])
-    flow[f"{d}_hlen"] += p["hlen"]
+    flow[f"{d}_hlen"] += max(p["hlen"], 0)
     if is_tcp:
         flow[f"{d}_psh"] += p["symbol"] & PSH == PSH
         flow[f"{d}_urg"] += p["symbol"] & URG == URG
@@ -106,7 +109,7 @@ def add_packet(flow: dict, is_tcp: bool, p: dict, timeout_us: int, idle_us: int)
     if not is_tcp:
         flow["valid"] = int(flow["b_len_n"] > 0)
         return tcp.JOINS
-    if flow["mode"] in tcp.TALKING and p["len"] > p["hlen"]:
+    if flow["mode"] in tcp.TALKING and p["hlen"] != UNKNOWN and p["len"] > p["hlen"]:
         flow["valid"] = 1
     flow["mode"] = tcp.NEXT[flow["mode"]][p["symbol"]]
     return tcp.CLOSES if flow["mode"] in tcp.SHUT else tcp.JOINS
@@ -116,7 +119,9 @@ def flow_record(key: tuple, flow: dict, end_reason: str) -> dict:
     """The output row of a flow; its last burst counts as active time."""
     flow = dict(flow)
     _observe(flow, "active", flow["last_ts"] - flow["burst_ts"])
-    ip1, port1, ip2, port2, proto = key
+    ip1, port1, ip2, port2, proto = key[:5]
+    if len(key) > 5:  # stand-ins of nulls, and which parts were null
+        ip1, port1, ip2, port2 = (None if key[5] >> i & 1 else x for i, x in enumerate((ip1, port1, ip2, port2)))
     ends = (ip1, port1, ip2, port2) if flow["first_side"] == 0 else (ip2, port2, ip1, port1)
     row = dict(zip(("srcip", "srcport", "dstip", "dstport"), ends), proto=proto)
     bursts = flow["active_n"]
@@ -199,21 +204,27 @@ class FlowTracker(StatefulProcessor):
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Arbitrary state needs the RocksDB store; set for the queries started from here on."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Arbitrary state needs the RocksDB store. A query keeps the store it was started with, so start it inside; the
+    session's own setting comes back afterwards."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
 
 def stream_rows(packets: DataFrame) -> DataFrame:
-    """Core packets of a stream as the tracker reads them."""
-    rows = flow_key(packets.where(F.col("proto").isin(TCP, UDP)))
-    return rows.selectExpr(
-        *KEY, "seq", "ts_us", "CASE WHEN srcip = k_ip1 THEN 0L ELSE 1L END AS side", "CAST(len AS BIGINT) AS len",
-        "CAST(iphlen + prhlen AS BIGINT) AS hlen", "CAST(dscp AS BIGINT) AS dscp", "coalesce(flags, 0) AS flags",
-        "timestamp_micros(ts_us) AS event_time",
-    ).withColumn("symbol", tcp.symbol()).drop("flags")
+    """Core packets of a stream as the tracker reads them: the key and side of the batch, nulls as there."""
+    rows, _ = keyed_rows(packets)
+    return rows.select(
+        *STATE_KEY, "seq", "ts_us", F.col("side").cast("bigint").alias("side"), "len", F.coalesce("hlen", F.lit(UNKNOWN).cast("bigint")).alias("hlen"),
+        "dscp", tcp.symbol().alias("symbol"), F.timestamp_micros("ts_us").alias("event_time"))
 
 
 def track_flows(
@@ -221,10 +232,11 @@ def track_flows(
     delay: str = "10 minutes",
 ) -> DataFrame:
     """Finished flows of a packet stream; ``delay`` bounds how far packets of the whole stream may
-    lag, late packets of a flow are ignored by the flow itself."""
-    use_rocksdb(packets.sparkSession)
+    lag, late packets of a flow are ignored by the flow itself. Start it inside ``rocksdb(spark)``.
+
+    A task holds the rows that one key has in a micro-batch; ``batches.FlowStream`` splits them."""
     rows = stream_rows(packets).withWatermark("event_time", delay)
-    return rows.groupBy(*KEY).transformWithStateInPandas(
+    return rows.groupBy(*STATE_KEY).transformWithStateInPandas(
         statefulProcessor=FlowTracker(timeout_us, idle_us, tcp_close), outputStructType=OUTPUT,
         outputMode="Append", timeMode="EventTime",
     )
@@ -236,8 +248,8 @@ def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
 
     def finish(batches):
         for pdf in batches:
-            rows = [flow_record(tuple(r[:5]), unpack(r[5:]), "open") for r in pdf.itertuples(index=False, name=None)]
+            rows = [flow_record(tuple(r[:6]), unpack(r[6:]), "open") for r in pdf.itertuples(index=False, name=None)]
             yield pd.DataFrame([[r[f.name] for f in OUTPUT] for r in rows], columns=OUTPUT.names)
 
-    flat = state.select(*[f"key.{k}" for k in KEY], *[f"value.{c}" for c in COUNTERS])
+    flat = state.select(*[f"key.{k}" for k in STATE_KEY], *[f"value.{c}" for c in COUNTERS])
     return flat.mapInPandas(finish, OUTPUT)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from flowspark import schemas
 from flowspark.operators import flows, tcp
 from flowspark.plans import oracle
-from flowspark.streaming import stateful
+from flowspark.session import scratch_dir
+from flowspark.streaming import batches, stateful
 
 FEATURES = oracle.FEATURES
 CORE = "seq bigint, ts_us bigint, srcip string, dstip string, srcport bigint, dstport bigint, proto int, len bigint, iphlen int, prhlen bigint, dscp bigint, ttl bigint, flags int"
@@ -256,6 +257,133 @@ def test_one_key_holding_most_rows_is_spread(spark):
     assert (row["total_fpackets"], row["mean_fiat"], row["max_fiat"]) == (2000, 10, 10)
 
 
+def cut(spark, packets, block_rows):
+    rows, key = flows.keyed_rows(frame(spark, packets), block_rows)
+    rows = rows.withColumns({"symbol": tcp.symbol(), "has_data": F.col("len") > F.col("hlen")})
+    return tcp.pieces(rows, flows.key_blocks(rows, key, block_rows), key, block_rows), key
+
+
+def test_pieces_follow_a_keys_own_count(spark):
+    lasting = [tcp_packet(1000 * i, i, 16) for i in range(60)]
+    hot = [packet(7 * i + 1, i, proto=6, flags=16, prhlen=20, client=("10.0.0.8", 1)) for i in range(2000)]
+    cutted, key = cut(spark, lasting + hot, 100)
+    by = {r["k_ip1"]: r for r in cutted.groupBy("k_ip1").agg(
+        F.count_distinct("piece").alias("pieces"), F.count_distinct("block").alias("blocks"), F.max("several").alias("several")).collect()}
+    # The lasting key has a row in each of 60 blocks, and one piece; the hot one has pieces of 100 to 200 rows.
+    assert (by["10.0.0.1"]["pieces"], by["10.0.0.1"]["blocks"], by["10.0.0.1"]["several"]) == (1, 60, False)
+    sizes = [r["count"] for r in cutted.where("several").groupBy("piece").count().collect()]
+    assert by["10.0.0.2"]["several"] and sum(sizes) == 2000 and max(sizes) <= 200 and len(sizes) >= 10
+    states = tcp.start_states(cutted, key, flows.FLOW_TIMEOUT_US).collect()
+    assert {r.k_ip2 for r in states} == {"10.0.0.8"} and len(states) == len(sizes)
+
+
+@pytest.mark.parametrize("closing", [16, 4])
+def test_a_clock_far_ahead_does_not_stop_the_cutting(spark, closing):
+    """One packet from the far future, which either stays the newest of its flow or closes it."""
+    talk = []
+    for i in range(60):
+        talk += [(10 * i, 2, True), (10 * i + 1, 18, False), (10 * i + 2, 16, True), (10 * i + 3, 24, True), (10 * i + 4, 17, True),
+                 (10 * i + 5, 16, False), (10 * i + 6, 17, False), (10 * i + 7, 16, True)]
+    packets = [tcp_packet(i, 1_000 * ts, flags, forward) for i, (ts, flags, forward) in enumerate(talk)]
+    ahead = packet(len(packets), 10**12, proto=6, flags=closing, prhlen=20)
+    more = [(p[0] + len(packets) + 1, p[1] + 700_000, *p[2:]) for p in packets]
+    packets = [*packets, ahead, *more]
+    assert by_spark(spark, packets, tcp_close=True, block_rows=20) == by_sql(packets, tcp_close=True)
+    cutted, key = cut(spark, packets, 20)
+    later = tcp.start_states(cutted, key, flows.FLOW_TIMEOUT_US).where(F.col("piece") > 30).count()
+    assert later > 10
+
+
+def follow(packets, mode, last, timeout):
+    for ts, symbol in packets:
+        mode, last, _ = tcp.step(mode, last, ts, symbol, timeout)
+    return mode, last
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_summaries_answer_for_every_state_handed_over(seed):
+    rng = random.Random(seed)
+    for _ in range(150):
+        clock, packets = 0, []
+        for _ in range(rng.randint(1, 25)):
+            clock += rng.choice([0, 0, 1, 5, 50, 600, 601, 700])
+            ts = clock + rng.choice([0, 0, 0, 0, -3, -60, -700, rng.choice([0, 2000])])
+            packets.append((ts, 64 * rng.randrange(2) + rng.choice([2, 18, 16, 16, 16, 24, 17, 4, 0])))
+        newest = rng.choice([-10, 0, 40, 800, 3000, 10**9])
+        piece = tcp.Piece(newest, 600)
+        for p in packets:
+            piece.add(*p)
+        summary = tuple(piece.summary())
+        for _ in range(40):
+            mode = rng.randrange(tcp.MODES)
+            last = min(newest, rng.choice([t for t, _ in packets] + [rng.randint(-800, 3000)]) + rng.choice([0, 1, -1, -600, -601]))
+            want, got = follow(packets, mode, last, 600), tcp.after_piece(mode, last, summary, 600)
+            assert got == want or got[0] == want[0] == tcp.NO_FLOW
+
+
+def test_summaries_stay_small_under_a_clock_far_ahead():
+    rng = random.Random(1)
+    piece = tcp.Piece(10**12, 600)
+    for i in range(20_000):
+        piece.add(i, 64 * rng.randrange(2) + rng.choice([16, 24, 16, 24, 17, 2, 18]))
+    assert len(piece._runs) < 200 and len(piece._states) <= 2 * tcp.MODES
+
+
 def test_schema_sizes():
     assert len(schemas.PACKET_COLUMNS) == 26 and len(schemas.AGG_FLOW.feature_cols) == 24
     assert len(schemas.STATS_FLOW.names) == 46 and len(schemas.STATS_FLOW.feature_cols) == 40
+
+
+def streamed(spark, packets, size, block_rows=flows.BLOCK_ROWS, again=False):
+    """Flows of a stream of micro-batches of ``size`` packets."""
+    found = batches.FlowStream(spark, scratch_dir(spark, "flows"), delay_us=10**15, block_rows=block_rows)
+    for i in range(0, len(packets), size):
+        found(frame(spark, packets[i:i + size]), i // size)
+        if again:  # as after a failure
+            found(frame(spark, packets[i:i + size]), i // size)
+    names = [*FEATURES, "end_reason", "valid"]
+    return sorted(str(tuple(r)) for df in (found.finished(), found.still_open()) for r in df.select(*names).collect())
+
+
+@pytest.mark.parametrize("seed, size, block_rows", [(0, 90, 1 << 20), (1, 130, 7)])
+def test_micro_batches_give_the_flows_of_the_batch(spark, seed, size, block_rows):
+    packets = random_packets(seed)
+    assert streamed(spark, packets, size, block_rows, again=seed == 0) == by_sql(packets, tcp_close=True)
+
+
+def test_nulls_are_the_same_in_micro_batches(spark):
+    def hidden(p):
+        source = None if p[2] == "10.0.0.1" and p[0] % 2 else p[2]
+        return (*p[:2], source, p[3], *((None, None) if p[2] == "10.0.0.3" else p[4:6]), *p[6:8],
+                None if p[0] % 7 == 0 else p[8], p[9], None if p[0] % 3 else p[10], *p[11:])
+
+    packets = [hidden(p) for p in random_packets(21, 120)]
+    assert streamed(spark, packets, 60) == by_spark(spark, packets, tcp_close=True)
+    # The tracker reads them alike.
+    rows = stateful.stream_rows(frame(spark, packets)).orderBy("seq").collect()
+    open_now, out = {}, []
+    for r in rows:
+        key, p = tuple(r[:6]), {c: r[c] for c in stateful.PACKET_FIELDS}
+        flow = open_now.get(key)
+        event = tcp.JOINS if flow is None else stateful.add_packet(flow, key[4] == 6, p, flows.FLOW_TIMEOUT_US, flows.IDLE_US)
+        if flow is None or event == tcp.STARTS:
+            out += [stateful.flow_record(key, flow, "timeout")] if flow else []
+            open_now[key] = stateful.open_flow(key[4] == 6, p)
+        elif event == tcp.CLOSES:
+            out.append(stateful.flow_record(key, open_now.pop(key), "tcp_closed"))
+    out += [stateful.flow_record(k, f, "open") for k, f in open_now.items()]
+    got = sorted(str(tuple(r[c] for c in (*FEATURES, "end_reason", "valid"))) for r in out)
+    assert got == by_spark(spark, packets, tcp_close=True)
+
+
+def test_idle_flows_leave_with_the_watermark(spark):
+    found = batches.FlowStream(spark, scratch_dir(spark, "flows"), delay_us=1_000_000)
+    found(frame(spark, [packet(0, 0), packet(1, 5, client=("10.0.0.7", 1))]), 0)
+    found(frame(spark, [packet(2, 700_000_000)]), 1)
+    assert [(r.srcip, r.end_reason) for r in found.finished().orderBy("flow_seq").collect()] == [
+        ("10.0.0.1", "timeout"), ("10.0.0.7", "timeout")]
+    assert [r.flow_seq for r in found.still_open().collect()] == [2]
+    # A packet older than the watermark is dropped, an empty micro-batch changes nothing.
+    found(frame(spark, [packet(3, 10, client=("10.0.0.9", 1))]), 2)
+    found(frame(spark, []), 3)
+    assert found.still_open().count() == 1 and found.finished().count() == 2

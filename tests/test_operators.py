@@ -2,11 +2,14 @@
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from flowspark import schemas, session
@@ -94,6 +97,29 @@ def test_rows_are_numbered_along_the_order(spark):
     assert [r.row_index for r in got] == list(range(1000))
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 13])
+def test_numbers_follow_spark_order_with_ties_and_nulls(spark, ranges):
+    values = [None, float("nan"), 3.0, -1.0, 3.0, None, 2.5]
+    rows_in = [(values[i % 7], f"s{i % 3}" if i % 5 else None, i) for i in range(400)] + [(3.0, "s0", 7)] * 30
+    df = spark.createDataFrame(rows_in, "a double, b string, i int").repartition(6)
+    got = rows.number_rows(df, ["a", "b"], ranges=ranges).orderBy("row_index").collect()
+    assert [r.row_index for r in got] == list(range(430))
+    want = df.orderBy("a", "b").collect()
+    assert [(str(r.a), r.b) for r in got] == [(str(r.a), r.b) for r in want]
+    again = rows.number_rows(df.repartition(3), ["a", "b"], ranges=ranges).orderBy("row_index").collect()
+    assert [(str(r.a), r.b, r.i) for r in again] == [(str(r.a), r.b, r.i) for r in got]
+
+
+def test_ties_of_the_order_are_cut(spark):
+    df = spark.range(4000).select(F.lit(1).alias("k"), "id")
+    cuts = rows.splitters(df, [F.col("k"), F.xxhash64("k", "id")], 8)
+    assert len(cuts) == 7
+    got = rows.number_rows(df, ["k"], ranges=8)
+    assert sorted(r.row_index for r in got.select("row_index").collect()) == list(range(4000))
+    # No stored copy: nothing but the input is read.
+    assert "checkpoint" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_sliding_rows_cross_blocks_and_short_inputs_have_none(spark):
     df = spark.range(50).select(F.col("id").alias("row_index"), F.col("id").alias("x"))
     got = rows.sliding_rows(df, 4, ["x"], block_rows=5).orderBy("window_start").collect()
@@ -165,6 +191,36 @@ def test_pair_cross_validation(spark):
         cv.fit(legit)
 
 
+@pytest.mark.parametrize("holdout", ["fold", "full"])
+@pytest.mark.parametrize("metric", tuning.COUNTED_METRICS)
+def test_folds_from_summaries_equal_refitting(spark, holdout, metric):
+    rng = np.random.default_rng(4)
+    legit = vectors(spark, (rng.normal(size=(80, 3)) * [1, 1e-3, 50] + [0, 1e6, 3]).tolist())
+    mixed = vectors(spark, (rng.normal(size=(90, 3)) * [2, 2e-3, 90] + [0, 1e6, 3]).tolist(), [i % 3 // 2 for i in range(90)])
+    est = detect.MeanVarianceClassifier()
+    evaluator = MulticlassClassificationEvaluator(metricName=metric)
+    cv = tuning.PairCrossValidator(est, tuning.grid(est, {"threshold": [0.5, 1.0, 3.0]}), evaluator, folds=4, holdout=holdout)
+    a, b = cv._numbered(legit), cv._numbered(mixed)
+    assert a.select("_fold").distinct().count() == 4
+    for got, want in zip(cv._from_summaries(a, b), cv._one_by_one(a, b), strict=True):
+        assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_pair_cross_validation_copies_saves_and_joins_pipelines(spark, tmp_path):
+    legit = vectors(spark, [[float(i % 5)] for i in range(60)])
+    mixed = vectors(spark, [[float(i % 5 + 50 * (i % 2))] for i in range(60)], [i % 2 for i in range(60)])
+    est = detect.MeanVarianceClassifier()
+    cv = tuning.PairCrossValidator(est, tuning.grid(est, {"threshold": [0.0, 2.0]}), folds=3, holdout="full", validation=mixed)
+    model = Pipeline(stages=[cv]).fit(legit).stages[0]
+    assert model.avgMetrics == cv.copy().fit(legit).avgMetrics
+    model.save(str(tmp_path / "model"))
+    again = tuning.PairCrossValidatorModel.load(str(tmp_path / "model"))
+    assert (again.avgMetrics, again.bestIndex, again.uid) == (model.avgMetrics, model.bestIndex, model.uid)
+    for other in (again, model.copy()):
+        assert other.transform(mixed).where("prediction <> label").count() == 0
+        assert other.bestModel.limits == model.bestModel.limits
+
+
 def test_splits(spark):
     df = spark.range(2000)
     a, b = models.hash_split(df, ["id"])
@@ -279,3 +335,59 @@ def test_run_metrics_append(spark, tmp_path):
 def test_shared_dir_is_the_configured_one(spark):
     assert session.shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
     assert schemas.LABEL == "label"
+
+
+def test_frames_are_counted_in_passing(spark, tmp_path):
+    data = [(1, 0.0, b"\x00" * 60), (2, 0.0, b"\x01"), (3, 0.0, None)]
+    df = spark.createDataFrame(data, "seq long, ts double, frame binary")
+    seen = Observation("seen")
+    assert packets.decode_frames(df, counts=seen).count() == 0
+    assert {v: n for v, n in seen.get.items() if n} == {"not_ip": 2, "short_frame": 1}
+    df.write.parquet(str(tmp_path / "in"))
+    stream = packets.decode_frames(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), counts="frames")
+    q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(p.observedMetrics["frames"]["not_ip"] for p in q.recentProgress if "frames" in p.observedMetrics) == 2
+
+
+def test_a_relay_runs_beside_the_query_it_follows(spark, tmp_path):
+    source, topic = str(tmp_path / "in"), str(tmp_path / "topic")
+    spark.range(12).select(F.col("id").cast("string").alias("value")).repartitionByRange(6, "value").write.text(source)
+    spark.createDataFrame([], "value string").write.text(topic)
+    seen = []
+    slow = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(source)
+
+    def publish(batch, number):
+        batch.write.mode("append").text(topic)
+        time.sleep(1)
+
+    first = sinks.for_each_batch(slow, publish, str(tmp_path / "s1"), once=True)
+    second = sinks.relay(readers.stream_text(spark, topic), lambda b, n: seen.append((first.isActive, b.count())), str(tmp_path / "s2"))
+    sinks.run_together(first, second)
+    assert any(active and n for active, n in seen) and sum(n for _, n in seen) == 12
+    assert not first.isActive and not second.isActive
+
+
+def test_an_error_of_either_query_stops_both(spark, tmp_path):
+    def broken(batch, number):
+        raise ValueError("no index")
+
+    rate = spark.readStream.format("rate").load().selectExpr("CAST(value AS STRING) AS value")
+    first = sinks.relay(rate, lambda b, n: None, str(tmp_path / "s1"), "1 second")
+    second = sinks.relay(rate, broken, str(tmp_path / "s2"))
+    with pytest.raises(Exception, match="no index"):
+        sinks.run_together(first, second, timeout=60)
+    assert not first.isActive and not second.isActive
+
+
+def test_continuous_trigger_publishes(spark, tmp_path):
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 20).option("numPartitions", 1).load().selectExpr("CAST(value AS STRING) AS value")
+    q = rate.writeStream.format("memory").queryName("continuous_rows").trigger(continuous=sinks.CONTINUOUS_INTERVAL).start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if spark.table("continuous_rows").count():
+                break
+        assert spark.table("continuous_rows").count() > 0
+    finally:
+        q.stop()
