@@ -49,6 +49,23 @@ def checked_broadcast(df: DataFrame, rows: int, row_bytes: int, most_bytes: int
     return F.broadcast(df) if rows * row_bytes <= most_bytes else df
 
 
+#: A key with more than this share of the rows is hot; there are fewer such keys than this.
+HOT_SHARE = 1024
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size_col: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has each key once and the number of its rows in ``size_col``
+    (``total`` in all). Groups with more than a 1024th of the rows, fewer than 1024, are broadcast, so their
+    rows stay where they are; no other key brings more than that share to a task."""
+    bound = max(total // HOT_SHARE, HOT_SHARE)
+    is_hot = F.col(size_col) > bound
+    hot = F.broadcast(groups.where(is_hot).withColumn("_hot", F.lit(True)))
+    met = rows.join(hot, on, "left")
+    names = [c for c in groups.columns if c not in on]
+    here = met.where("_hot").drop("_hot")
+    return here.unionByName(met.where("_hot IS NULL").drop("_hot", *names).join(groups.where(~is_hot), on))
+
+
 def map_rows(df: DataFrame, start: Callable, schema: str, columns: dict[str, pa.DataType]) -> DataFrame:
     """``mapInArrow`` for functions over Python values: ``start()`` runs once per partition and
     returns a function from the batch's columns (lists) to the columns of the result."""

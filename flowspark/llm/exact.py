@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm import exchange, golomb
-from flowspark.llm.common import SPACE, checked_broadcast, text_of, written
+from flowspark.llm.common import SPACE, checked_broadcast, join_hot, text_of, written
 
 BLOCK_ROWS = 1 << 18
 _CELL = ("block long, owner int, n int, k int, code binary, ids binary, digests binary, runs binary")
@@ -23,14 +23,15 @@ def normalised(text):
 
 def _publish(docs: DataFrame, owners: int, block_rows: int) -> DataFrame:
     """One row per block and owner: the coded keys, and in their order the ids and digests of the
-    rows behind each key (``runs`` of them)."""
+    rows behind each key (``runs`` of them). A digest is followed by a byte that says whether there is an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, blocks, held = TaskContext.get().partitionId(), 0, []
 
         def flush():
             ids = np.concatenate([h[0] for h in held])
-            digests = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(-1, 32)
+            digests = np.concatenate([np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(-1, 32),
+                                      np.concatenate([h[2] for h in held])[:, None]], axis=1)
             keys = digests[:, :6].astype(np.uint64) @ (np.uint64(1) << np.arange(40, -1, -8, dtype=np.uint64))
             order = np.argsort(keys, kind="stable")
             distinct, first, runs = np.unique(keys[order], return_index=True, return_counts=True)
@@ -47,7 +48,9 @@ def _publish(docs: DataFrame, owners: int, block_rows: int) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), b"".join(batch.column(1).to_pylist())))
+                ids = batch.column(0)
+                held.append((ids.fill_null(0).to_numpy(), b"".join(batch.column(1).to_pylist()),
+                             ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)))
             if sum(len(h[0]) for h in held) >= block_rows:
                 yield flush()
                 held.clear()
@@ -70,8 +73,8 @@ def _marked(cells: DataFrame) -> DataFrame:
                 suspect = golomb.unpack(row["bits"], row["n"]) | (runs > 1)
                 digests = row["digests"]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.frombuffer(row["ids"], np.int64)),
-                    pa.array([digests[i:i + 32] for i in range(0, len(digests), 32)], pa.binary()),
+                    pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(digests, np.uint8)[32::33] == 0),
+                    pa.array([digests[i:i + 32] for i in range(0, len(digests), 33)], pa.binary()),
                     pa.array(np.repeat(suspect, runs)),
                 ], ["id", "digest", "suspect"])
 
@@ -91,12 +94,13 @@ def exact_duplicates(
     by their own bytes and combined before the shuffle, so a hot text moves once per task. Suspect ids
     are broadcast if their counted size is small, else joined by a shuffle.
 
-    A null text is empty; empty texts are equal. Rows without an id cannot be named and are left out.
+    A null text is empty; empty texts are equal. Rows without an id count in their group and are returned; keep_id is
+    the least id there is (null if none), and whether they are kept is unknown (null).
     Rows repeating an id count as rows of their own; both stay if theirs is the least id. Other columns
     are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = text_of(docs, id_col, text_col).where(F.col("id").isNotNull()).select(
+    texts = text_of(docs, id_col, text_col).select(
         F.col("id").cast("long").alias("id"), normalised(F.col("text")).alias("norm"))
     digest = F.unhex(F.sha2("norm", 256))
     owners = exchange.owners_for(spark, docs.count())
@@ -105,15 +109,17 @@ def exact_duplicates(
     marked = written(_marked(cells.join(bits, ["block", "owner"]).select("n", "ids", "digests", "runs", "bits")),
                      "marked")
     suspects = marked.where("suspect").select("id")
-    side = checked_broadcast(suspects, suspects.count(), 16)
-    groups = (
-        texts.join(side, "id", "left_semi").groupBy(digest.alias("digest"), "norm")
+    size = marked.where("suspect").count()
+    side = checked_broadcast(suspects.where("id IS NOT NULL"), size, 16)
+    # Rows without an id are few or all alike; those that are no suspects are alone in their group.
+    named = texts.where("id IS NOT NULL").join(side, "id", "left_semi").unionByName(texts.where("id IS NULL"))
+    groups = written(
+        named.groupBy(digest.alias("digest"), "norm")
         .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("digest", "keep_id", "group_size")
-    )
+        .select("digest", "keep_id", "group_size"), "groups")
     alone = marked.where(~F.col("suspect")).select(
         "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    members = marked.where("suspect").select("id", "digest").join(groups, "digest").select(
+    members = join_hot(marked.where("suspect").select("id", "digest"), groups, ["digest"], "group_size", size).select(
         "id", "digest", "keep_id", "group_size")
     return alone.unionByName(members).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"),

@@ -75,15 +75,33 @@ def test_golomb_round_trip():
 
 
 def test_exact_copies(docs):
-    groups = defaultdict(list)
-    named = [(i, cases.normal(t)) for i, t in cases.texts() if i is not None]
-    for i, text in named:
+    groups, least = defaultdict(list), {}
+    rows = [(i, cases.normal(t)) for i, t in cases.texts()]
+    for i, text in rows:
         groups[text].append(i)
-    want = Counter((i, min(groups[t]), len(groups[t]), i == min(groups[t]), cases.sha(t)) for i, t in named)
+    for text, ids in groups.items():
+        least[text] = min((i for i in ids if i is not None), default=None)
+    want = Counter((i, least[t], len(groups[t]), None if i is None else i == least[t], cases.sha(t)) for i, t in rows)
     got = Counter(tuple(r) for r in exact.exact_duplicates(docs, block_rows=4).collect())
     assert got == want
 
 
+def test_exact_copies_without_ids(spark):
+    rows = [(None, "alone"), (None, "a  pair"), (None, "a pair"), (3, "with\none"), (None, "with one"), (0, "zero"), (None, None), (0, "zero")]
+    got = Counter(tuple(r)[:4] for r in exact.exact_duplicates(cases.frame(spark, rows).repartition(3), block_rows=2).collect())
+    assert got == Counter([(None, None, 1, None)] * 2 + [(None, None, 2, None)] * 2 + [
+        (3, 3, 2, True), (None, 3, 2, None), (0, 0, 2, True), (0, 0, 2, True)])
+
+
+def test_exact_copies_of_hot_groups(spark, monkeypatch):
+    from flowspark.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    rows = [(i, "the same" if i % 2 else f"pair {i // 4}") for i in range(60)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_duplicates(cases.frame(spark, rows)).collect()}
+    assert all(got[i] == ((1, 30) if i % 2 else (i - i % 4, 2)) for i in range(60))
+
+
 def brute_classes(rows):
     sets, parent = {}, {}
     for i, text in rows:
