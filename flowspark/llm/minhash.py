@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm import exchange, golomb
-from flowspark.llm.common import checked_broadcast, map_rows, text_of, written
+from flowspark.llm.common import checked_broadcast, join_hot, map_rows, text_of, written
 from flowspark.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -22,7 +22,7 @@ PRUNES = 2
 #: A block of the exchange closes at so many keys: some 32 bytes each while it is sorted.
 BLOCK_KEYS = 1 << 18
 #: Texts that are sketched together have so many characters, or are one text.
-SKETCHED_CHARS = 1 << 22
+SKETCHED_CHARS = 1 << 20
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -101,13 +101,13 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, bands): a key of the words in order, and the keys of the bands (none without words), of the
-    shingles weighted by how often they occur, and of their plain set."""
+    """(id, tag, key, bands): a hash of the text, a key of the words in order, and the keys of the bands (none without words), of
+    the shingles weighted by how often they occur, and of their plain set."""
 
     def start():
         hashes = WordHashes()
 
-        def step(ids, texts):
+        def step(ids, tags, texts):
             keys, parts, counts = [], [], []
             for text in texts:
                 words = text.encode().split()
@@ -120,7 +120,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, te
             again = [i for i, c in enumerate(counts) if c.max(initial=1) > 1]
             for i, plain in zip(again, banded([parts[i] for i in again], [np.ones_like(counts[i]) for i in again]), strict=True):
                 found[i] = list(dict.fromkeys([*found[i], *plain]))
-            return ids, keys, found
+            return ids, tags, keys, found
 
         def banded(parts, counts):
             sizes = [len(p) for p in parts]
@@ -130,21 +130,21 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, te
             found = band_keys(signature, bands, rows).view(np.int64)
             return [list(f) if s else [] for f, s in zip(found, sizes, strict=True)]
 
-        def small(ids, texts):
-            out, first, held = ([], [], []), 0, 0
+        def small(ids, tags, texts):
+            out, first, held = ([], [], [], []), 0, 0
             for i, text in enumerate(texts):
                 held += len(text)
                 if held >= SKETCHED_CHARS or i + 1 == len(texts):
-                    for column, more in zip(out, step(ids[first:i + 1], texts[first:i + 1]), strict=True):
+                    for column, more in zip(out, step(*(x[first:i + 1] for x in (ids, tags, texts))), strict=True):
                         column.extend(more)
                     first, held = i + 1, 0
             return out
 
         return small
 
-    return map_rows(text_of(docs, id_col, text_col).where(F.col("id").isNotNull()), start,
-                    "id long, key binary, bands array<long>",
-                    {"id": pa.int64(), "key": pa.binary(), "bands": pa.list_(pa.int64())})
+    rows_in = text_of(docs, id_col, text_col).where(F.col("id").isNotNull()).select("id", F.xxhash64("text").alias("tag"), "text")
+    return map_rows(rows_in, start, "id long, tag long, key binary, bands array<long>",
+                    {"id": pa.int64(), "tag": pa.int64(), "key": pa.binary(), "bands": pa.list_(pa.int64())})
 
 
 def compared(texts: DataFrame, pairs: DataFrame, width: int, least: float, with_bits: bool = False) -> DataFrame:
@@ -222,10 +222,7 @@ def _possible(similarity: float, common: str) -> str:
     return f"{common} >= {similarity} * (n + m - {common}) - 1e-6"
 
 
-def near_duplicates(
-    docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS, bands: int = BANDS, rows: int = ROWS,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, class_id and kept of every row; a class is named by its least id, the document that stays.
 
     Texts of equal words are one class from the start. Of each such group one text is sketched: its
@@ -242,19 +239,33 @@ def near_duplicates(
     similarity: no candidate pair that can be a link is left out.
 
     Texts of fewer words than ``width`` are one shingle; texts without words (null, empty, blank) are
-    copies of each other. Rows without an id are left out; rows repeating an id are copies if their
-    words are equal. Other columns are ignored.
+    copies of each other. Rows without an id are left out. Rows that share an id are judged by their own texts; of
+    those with the id that stays, equal texts all stay. Other columns are ignored. ``settings`` as of ``classes``.
     """
-    sketch = written(sketches(docs, width, bands, rows, id_col, text_col), "sketches")
-    groups = sketch.groupBy("key").agg(F.min("id").alias("rep"))
-    members = written(sketch.join(groups, "key").select(
-        "id", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    placed = members.where("id = rep").select("id", F.explode("bands").alias("bucket"))
+    return classes(docs, **settings).select(F.col("id").alias("doc_id"), "class_id", "kept")
+
+
+def classes(
+    docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS, bands: int = BANDS, rows: int = ROWS,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(id, tag, class_id, kept) as ``near_duplicates`` says, with a hash of the text, which tells rows of one id apart."""
+    sketch = written(sketches(docs, width, bands, rows, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # A group of equal words is named by a stored row of its least id.
+    groups = written(sketch.groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).select(
+        "key", F.col("first.row").alias("node"), F.col("first.id").alias("rep"), "n"), "groups")
+    heads = written(sketch.join(groups.select(F.col("node").alias("row"), "rep"), "row").select(
+        F.col("row").alias("id"), "rep", "tag", "bands"), "heads")
+    placed = heads.select("id", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = written(placed.join(shared, "bucket"), "buckets")
-    named = written(buckets.select("id").distinct(), "candidates")
-    side = checked_broadcast(named, named.count(), 16)
-    candidates = written(text_of(docs, id_col, text_col).join(side, "id"), "texts")
+    named = written(heads.select("id", "rep", "tag").join(buckets.select("id").distinct(), "id"), "candidates")
+    n_named = named.count()
+    side = checked_broadcast(named.withColumnRenamed("id", "node"), n_named, 32)
+    texts = text_of(docs, id_col, text_col).select(F.col("id").alias("rep"), F.xxhash64("text").alias("tag"), "text")
+    candidates = written(texts.join(side, ["rep", "tag"]).select(F.col("node").alias("id"), "text"), "texts")
+    if candidates.count() > n_named:  # rows that are repeated
+        candidates = written(candidates.dropDuplicates(["id"]), "texts")
     for _ in range(PRUNES):
         sizes = written(common_shingles(candidates, width).where(F.col("common") >= similarity * F.col("size") - 1e-6)
                         .select("id", F.col("size").alias("n"), F.col("common").alias("s")), "sizes")
@@ -291,13 +302,19 @@ def near_duplicates(
     more = compared(candidates, pairs, width, similarity).select("a", "b")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    return members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"),
-        (F.col("id") == F.coalesce("component", "rep")).alias("kept"))
+    # A class is named, and its document chosen, by the least id of its groups.
+    joined = groups.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = joined.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))
+    named = written(joined.join(least, "component").select(
+        "key", "n", F.col("least.rep").alias("class_id"), (F.col("least.node") == F.col("node")).alias("leads")), "classes")
+    return join_hot(sketch.select("id", "tag", "key"), named, ["key"], "n", sketch.count()).select(
+        "id", "tag", "class_id", (F.col("leads") & (F.col("id") == F.col("class_id"))).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` without the near duplicates that go; rows without an id stay."""
-    gone = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("not kept")
-                   .select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(checked_broadcast(gone, gone.count(), 16), docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` without the near duplicates that go; rows without an id stay. A row goes by its id and text, so
+    another text under the same id is judged on its own."""
+    gone = written(classes(docs, id_col=id_col, text_col=text_col, **settings).where("not kept")
+                   .select(F.col("id").alias("_gone"), F.col("tag").alias("_tag")).distinct(), "gone")
+    same = (docs[id_col] == F.col("_gone")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_tag"))
+    return docs.join(checked_broadcast(gone, gone.count(), 24), same, "left_anti")

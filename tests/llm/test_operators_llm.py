@@ -132,6 +132,17 @@ def test_near_copies(docs):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_texts_that_share_an_id_are_judged_on_their_own(spark):
+    x, near = cases.prose(70, 120), cases.prose(70, 120).rsplit(" ", 1)[0] + " other"
+    rows = [(1, x), (2, x), (2, cases.prose(71, 90)), (3, cases.prose(72, 80)), (3, cases.prose(73, 80)), (3, near), (4, x), (4, x), (0, None)]
+    frame = cases.frame(spark, rows).repartition(4)
+    got = Counter(tuple(r) for r in minhash.near_duplicates(frame).collect())
+    assert got == Counter([(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (3, 3, True), (3, 1, False), (4, 1, False), (4, 1, False),
+                           (0, 0, True)])
+    kept = Counter((r.doc_id, r.text) for r in minhash.one_of_each(frame).collect())
+    assert kept == Counter(rows[i] for i in (0, 2, 3, 4, 8))
+
+
 def test_near_copies_of_a_template_are_one_class(spark):
     base, rng, rows = cases.prose(50, 200).split(), random.Random(2), []
     for i in range(40):
