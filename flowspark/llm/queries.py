@@ -111,8 +111,8 @@ def op12_whitening(spark, sf):
 
 
 #: CRC-32 of a decimal number: per digit an exclusive or, then eight shifts with the usual polynomial.
-_CRC32 = """xor(list_reduce(flatten(list_transform(string_split({n}, ''), c -> [ascii(c) + 1, 0, 0, 0, 0, 0, 0, 0, 0])),
-    (a, x) -> CASE WHEN x > 0 THEN xor(a, (x - 1)::BIGINT) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295), 4294967295)"""
+_CRC32 = """xor(list_reduce(flatten(list_transform(string_split({n}, ''), lambda c: [ascii(c) + 1, 0, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: CASE WHEN x > 0 THEN xor(a, (x - 1)::BIGINT) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295), 4294967295)"""
 
 
 # Totals in another way than by contraction: each node counts along the path of its smallest member.
