@@ -165,7 +165,8 @@ class PairCrossValidator(Estimator):
                     and self.evaluator.getMetricName() in COUNTED_METRICS and not self.evaluator.isSet("weightCol"))
         metrics = self._from_summaries(a, b) if additive else self._one_by_one(a, b)
         averages = [sum(m) / self.folds for m in metrics]
-        best = (max if self.evaluator.isLargerBetter() else min)(range(len(averages)), key=averages.__getitem__)
+        # The first of equal points; differences of rounding are none.
+        best = (max if self.evaluator.isLargerBetter() else min)(range(len(averages)), key=lambda i: round(averages[i], 12))
         return PairCrossValidatorModel(self.estimator.fit(training, self.param_maps[best]), averages, best)
 
     def _one_by_one(self, a: DataFrame, b: DataFrame) -> list[list[float]]:

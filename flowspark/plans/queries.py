@@ -853,7 +853,7 @@ s AS (SELECT point, f, said AS label, count(*) AS n FROM judged GROUP BY ALL),
 each AS (SELECT c.point, c.f, real, 2.0 * hits / (real + coalesce(n, 0)) AS f1 FROM c LEFT JOIN s USING (point, f, label)),
 per_fold AS (SELECT point, f, sum(f1 * real) / sum(real) AS f1 FROM each GROUP BY ALL),
 means AS (SELECT point, sum(f1) / {CV_FOLDS} AS f1 FROM per_fold GROUP BY point)
-SELECT point::INTEGER AS point, round(f1, 9) AS f1, point = first_value(point) OVER (ORDER BY f1 DESC, point) AS best FROM means"""
+SELECT point::INTEGER AS point, round(f1, 9) AS f1, point = first_value(point) OVER (ORDER BY round(f1, 12) DESC, point) AS best FROM means"""
 
 
 @query(_pair_cv_sql([1.0, 2.0], "full"))
