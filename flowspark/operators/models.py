@@ -13,7 +13,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.operators.detect import EntropyClassifier, MeanVarianceClassifier
@@ -133,15 +133,30 @@ def random_split(df: DataFrame, share: float = TRAIN_SHARE, seed: int | None = S
     return df.randomSplit([share, 1.0 - share], seed)
 
 
-def hash_split(df: DataFrame, key: list[str], share: float = TRAIN_SHARE, seed: int = SEED):
-    """The same split by a hash of the key: independent of partitioning and repeatable."""
-    part = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(10_000))
-    cut = int(share * 10_000)
+PARTS = 10_000
+
+
+def portable_part(key: list[str], parts: int = PARTS, seed: int = SEED) -> Column:
+    """A number below ``parts`` from the MD5 of the key's text, which any SQL engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % parts).cast("int")
+
+
+def hash_split(df: DataFrame, key: list[str], share: float = TRAIN_SHARE, seed: int = SEED, part: Column | None = None):
+    """The same split by a hash of the key: independent of partitioning and repeatable. ``part`` is another
+    number below 10,000, such as ``portable_part``."""
+    part = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(PARTS)) if part is None else part
+    cut = int(share * PARTS)
     return df.where(part < cut), df.where(part >= cut)
 
 
-def legit_attack_split(legit: DataFrame, mixed: DataFrame, share: float = TRAIN_SHARE, seed: int | None = None):
-    """Training share of one frame and the remaining share of the other."""
+def legit_attack_split(legit: DataFrame, mixed: DataFrame, share: float = TRAIN_SHARE, seed: int | None = None,
+                       key: list[str] | None = None):
+    """Training share of one frame and the remaining share of the other; with a ``key`` by its ``portable_part``, so that the
+    split is repeatable."""
+    if key:
+        part = portable_part(key, seed=SEED if seed is None else seed)
+        return hash_split(legit, key, share, part=part)[0], hash_split(mixed, key, share, part=part)[1]
     return random_split(legit, share, seed)[0], random_split(mixed, share, seed)[1]
 
 

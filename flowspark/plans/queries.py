@@ -808,6 +808,19 @@ def ml13_hash_split(spark, sf):
     return train.select("l_orderkey").union(test.select("l_orderkey")).agg(F.count("*").alias("n"))
 
 
+_KEY_SQL = ", ".join(fixtures.MEASURE_ORDER)
+_PART_SQL = f"(('0x' || substr(md5(concat_ws('|', '{models.SEED}', {_KEY_SQL})), 1, 8))::BIGINT % {models.PARTS})"
+_CUT = int(models.TRAIN_SHARE * models.PARTS)
+
+
+@query(f"SELECT {_KEY_SQL}, {_PART_SQL} < {_CUT} AS train FROM lineitem")
+def ml13_portable_split(spark, sf):
+    """Which rows go where, by a hash that SQL repeats."""
+    key = fixtures.MEASURE_ORDER
+    train, test = models.hash_split(fixtures.measures(spark, sf), key, part=models.portable_part(key))
+    return train.select(*key, F.lit(True).alias("train")).unionByName(test.select(*key, F.lit(False).alias("train")))
+
+
 @query()
 def ml14_legit_attack_split(spark, sf):
     data = fixtures.measures(spark, sf)
@@ -815,6 +828,15 @@ def ml14_legit_attack_split(spark, sf):
     return train.agg(F.count("*").alias("rows")).union(test.agg(F.count("*").alias("rows")))
 
 
+@query(f"""WITH {O.MEASURES} SELECT {_KEY_SQL}, true AS train FROM m WHERE label = 0 AND {_PART_SQL} < {_CUT}
+UNION ALL SELECT {_KEY_SQL}, false FROM m WHERE {_PART_SQL} >= {_CUT}""")
+def ml14_portable_legit_attack_split(spark, sf):
+    key = fixtures.MEASURE_ORDER
+    data = fixtures.measures(spark, sf)
+    train, test = models.legit_attack_split(data.where("label = 0"), data, key=key)
+    return train.select(*key, F.lit(True).alias("train")).unionByName(test.select(*key, F.lit(False).alias("train")))
+
+
 @query()
 def ml15_cross_validation(spark, sf):
     data = codec.featurize_stats(_flow_table(spark, sf)).select("features", "label").cache()
