@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round every node joins the first of itself and its neighbours, and the graph shrinks to the
     nodes that were joined: by least id, which ends stars at once, and in every other round by a hash,
-    which shrinks chains by a share. The number of rounds grows with the logarithm of the size.
+    which shrinks chains by a share. The number of rounds grows with the logarithm of the size; should links be left after all rounds,
+    that is an error.
     """
     edges = written(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
     names = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("label"))
@@ -37,6 +38,9 @@ def components(links: DataFrame) -> DataFrame:
             edges.join(joins.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
             .join(joins.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
             .where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    else:
+        if not edges.isEmpty():
+            raise RuntimeError(f"links are left after {ROUNDS} rounds")
     names = written(names, "labels")
     least = names.groupBy("label").agg(F.min("id").alias("component"))
     return names.join(least, "label").select("id", "component")
