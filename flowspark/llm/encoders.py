@@ -162,6 +162,23 @@ class _WordPieces:
         return struct.pack(f"<{len(found)}I", *found)
 
 
+#: Characters of which words are held at a time.
+SLICE = 1 << 20
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def _slices(text: str):
+    """A text in parts that end behind white space, of ``SLICE`` characters and what is left of a word."""
+    at = 0
+    while len(text) - at > SLICE:
+        blank = _BLANK.search(text, at + SLICE)
+        if not blank:
+            break
+        yield text[at:blank.end()]
+        at = blank.end()
+    yield text[at:]
+
+
 class WordEncoder:
     """A tokenizer whose ids follow from each run of text between blanks, line ends and tabs alone: ids of
     words are remembered, up to a bound, and the library sees each new word once.
@@ -203,9 +220,28 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch(texts, add_special_tokens=False)]
 
     def data(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
+        """The ids of each text as little-endian 32-bit numbers. Words are held of about ``SLICE`` characters at a time, of
+        one text or of several."""
         if not self.by_words:
             return self._encoded(texts)
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for part in _slices(text):
+                held.append((i, part))
+                size += len(part)
+                if size >= SLICE:
+                    self._add(held, out)
+                    held, size = [], 0
+        self._add(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def _add(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        for (i, _), data in zip(held, self._some([part for _, part in held]), strict=True):
+            out[i].append(data)
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         split = [text.encode().split() for text in texts]
         if len(self._known) > self._most:
             # What was not asked for since the last time is forgotten.

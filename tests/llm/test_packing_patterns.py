@@ -38,6 +38,19 @@ def test_word_encoder_equals_the_library(library):
         assert enc.data(texts[:3]) == [plain(library, t) for t in texts[:3]]
 
 
+def test_long_texts_are_encoded_in_slices(library, monkeypatch):
+    from flowspark.llm import encoders
+
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcé'.1") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (0, 1, 300, 5, 900)]
+    texts += ["x" * 400, "x" * 400 + " y"]
+    want = [plain(library, t) for t in texts]
+    for most in (1, 64, 500, 1 << 20):
+        monkeypatch.setattr(encoders, "SLICE", most)
+        assert [t for t in map("".join, map(encoders._slices, texts))] == texts
+        assert word_encoder(BPE).data(texts) == want
+
+
 def test_patterns_fill_exactly():
     ways = patterns.patterns(16, 3)
     assert (ways.sum(axis=1) == 16).all() and len({tuple(w) for w in ways}) == len(ways)
