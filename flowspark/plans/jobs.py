@@ -160,7 +160,7 @@ def score_low_latency(
 ):
     """Score messages into a topic, and relay the topic into an index; returns both queries, which run side by side.
 
-    ``topic_stream`` is a function giving the topic as a stream of ``value`` strings. With ``once`` the first query
+    ``topic_stream`` is a function giving the topic, which has to exist, as a stream of ``value`` strings. With ``once`` the first query
     ends with its input; ``sinks.run_together`` waits for it and lets the second one catch up. ``interval`` is
     the trigger of the second.
     """
