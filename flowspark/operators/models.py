@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark import SparkContext
 from pyspark.ml import Model, Pipeline, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
@@ -42,14 +43,35 @@ TITLES = {
     "entropy": "Entropy",
 }
 
+class _NoSummary:
+    """Models without a training summary. A summary holds on to the session of its training rows, and every task of the
+    model's predictions would carry both; a session that has met an ``Observation`` cannot be sent at all."""
+
+    def _create_model(self, java_model):
+        java_model.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+        return super()._create_model(java_model)
+
+
+class PlainLogisticRegression(_NoSummary, LogisticRegression):
+    pass
+
+
+class PlainLinearSVC(_NoSummary, LinearSVC):
+    pass
+
+
+class PlainRandomForestClassifier(_NoSummary, RandomForestClassifier):
+    pass
+
+
 _ESTIMATORS = {
     "decision_tree": DecisionTreeClassifier,
-    "random_forest": RandomForestClassifier,
+    "random_forest": PlainRandomForestClassifier,
     "gradient_boosted_tree": GBTClassifier,
-    "logistic_regression": LogisticRegression,
+    "logistic_regression": PlainLogisticRegression,
     "naive_bayes": NaiveBayes,
     "neural_network": MultilayerPerceptronClassifier,
-    "svm": LinearSVC,
+    "svm": PlainLinearSVC,
     "mean_variance": MeanVarianceClassifier,
     "entropy": EntropyClassifier,
 }

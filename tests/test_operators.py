@@ -391,3 +391,16 @@ def test_continuous_trigger_publishes(spark, tmp_path):
         assert spark.table("continuous_rows").count() > 0
     finally:
         q.stop()
+
+
+@pytest.mark.parametrize("algorithm", ["logistic_regression", "svm", "random_forest"])
+def test_models_score_in_a_session_that_has_observed(spark, algorithm):
+    rows_ = [(Vectors.dense([float(i % 7)]), float(i % 7 > 3)) for i in range(70)]
+    data = spark.createDataFrame(rows_, ["features", "label"])
+    seen = Observation("rows")
+    data.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 70
+    model = models.train(algorithm, data)
+    assert model.transform(data).where("prediction = label").count() == 70
+    chosen = tuning.cross_validate(models.estimator(algorithm), data, folds=2)
+    assert chosen.transform(data).where("prediction = label").count() == 70
