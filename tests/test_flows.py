@@ -387,3 +387,16 @@ def test_idle_flows_leave_with_the_watermark(spark):
     found(frame(spark, [packet(3, 10, client=("10.0.0.9", 1))]), 2)
     found(frame(spark, []), 3)
     assert found.still_open().count() == 1 and found.finished().count() == 2
+
+
+@pytest.mark.parametrize("options", [{}, {"tcp_close": True}, {"window_us": flows.CAPTURE_US}])
+def test_tasks_get_no_more_rows_when_tables_grow(spark, monkeypatch, options):
+    draw = random.Random(7)
+    core = frame(spark, [packet(
+        i, i * 300_000, draw.random() < 0.5, draw.choice((6, 17)), draw.randrange(40, 900), flags=draw.choice((2, 16, 17, 18)),
+        client=(f"10.0.0.{draw.randrange(9)}", 5000)) for i in range(300)])
+    found = lambda: flows.flow_table(core, block_rows=64, **options)
+    whole = sorted(map(str, found().collect()))
+    monkeypatch.setattr(flows, "TASK_ROWS", 20)
+    assert found().rdd.getNumPartitions() == 15
+    assert sorted(map(str, found().collect())) == whole
