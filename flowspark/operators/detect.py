@@ -17,6 +17,10 @@ from flowspark.operators import histograms, rows
 from flowspark.operators.histograms import EPSILON_DIGITS
 
 
+#: Rows of windows or blocks in a task, which sorts a cell for each of their features.
+TASK_ROWS = 1 << 18
+
+
 def outside(features: list[Column], lower: list[float], upper: list[float]) -> Column:
     """1.0 where any feature lies strictly outside its limits, else 0.0."""
     hit = F.lit(False)
@@ -192,6 +196,7 @@ def sliding_entropy(
         return pd.concat(parts)
 
     # A block has at most block_rows + n rows, and equal entropies leave it already counted.
+    blocks = rows.spread(blocks, "block", TASK_ROWS, index)
     counted = blocks.select("block", F.col(index).alias("i"), "x").groupBy("block").applyInPandas(
         per_block, "feature int, entropy double, windows bigint")
     return counted.groupBy("feature", "entropy").agg(F.sum("windows").alias("windows"))
@@ -231,7 +236,7 @@ def tumbling_entropy(
     kept = df.select(*dict.fromkeys([*(order or [index]), *columns]))
     windows = rows.tumbling_rows(kept, n, order, index)
     cells = (
-        windows.repartition("window_id")
+        rows.spread(windows.repartition("window_id"), "window_id", TASK_ROWS, index)
         .select("window_id", index, *([label] if label else []),
                 F.posexplode(vector_to_array(features)).alias("feature", "value"))
     )

@@ -10,20 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowspark.session import dealt, parts_for
+
 INDEX = "row_index"
 BLOCK_ROWS = 1 << 13
 #: Rows of a sample for each range that is cut.
 SAMPLED = 64
+#: Metadata of an index column: how many rows were numbered.
+ROWS = "numbered_rows"
+#: Rows of a range that a task sorts.
+RANGE_ROWS = 1 << 19
 
 
-def splitters(df: DataFrame, keys: list[Column], ranges: int) -> list[tuple]:
+def splitters(df: DataFrame, keys: list[Column], ranges: int, total: int | None = None) -> list[tuple]:
     """Keys that cut ``df`` into about ``ranges`` even ranges, in rising order.
 
     They are quantiles of a sample that a hash of the key draws, about ``SAMPLED`` rows for each range, so
     the driver holds a bounded number of keys and a repeated call finds the same ones.
     """
     keyed = df.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("k")).withColumn("h", F.xxhash64("k"))
-    total = keyed.count()
+    total = keyed.count() if total is None else total
     share = max(1, total // (SAMPLED * ranges))
     sample = sorted((r["k"] for r in keyed.where(F.pmod("h", F.lit(share)) == 0).select("k").collect()), key=_nulls_first)
     distinct = list(dict.fromkeys(sample[len(sample) * i // ranges] for i in range(1, ranges))) if sample else []
@@ -43,8 +49,10 @@ def _range_of(keys: list[str], cuts: list[tuple], schema: T.StructType) -> Colum
     fixed = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, cut, kinds, strict=True)]) for cut in cuts])
     key = F.struct(*[F.col(k).alias(k) for k in keys])
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        (at + step <= len(cuts)) & (F.get(fixed, at + step - 1) <= key), at + step).otherwise(at))
+    place = lambda own: F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= len(cuts)) & (F.get(fixed, at + step - 1) <= own), at + step).otherwise(at))
+    # The key of a row, with its hash, is built once and not again in every step.
+    return F.get(F.transform(F.array(key), place), F.lit(0))
 
 
 def number_rows(df: DataFrame, order: list[str], index: str = INDEX, ranges: int | None = None) -> DataFrame:
@@ -55,9 +63,11 @@ def number_rows(df: DataFrame, order: list[str], index: str = INDEX, ranges: int
     alone, so they agree whenever and wherever a task runs. A hash of the whole row breaks ties, so that many rows
     of one order are cut, too; only rows that are equal in every column stay in one range.
     """
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count()
+    parts = None if ranges else parts_for(df, total, RANGE_ROWS)
+    ranges = ranges or parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in df.columns])
-    cuts = splitters(df, [*[F.col(c) for c in order], tie], ranges)
+    cuts = splitters(df, [*[F.col(c) for c in order], tie], ranges, total)
     placed = df.withColumn("_tie", tie).withColumn("_range", _range_of([*order, "_tie"], cuts, df.schema))
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,12 +75,19 @@ def number_rows(df: DataFrame, order: list[str], index: str = INDEX, ranges: int
     own = Window.partitionBy("_range").orderBy(*order, "_tie")
     # One row per range on the broadcast side.
     return (
-        placed.withColumn("_nth", F.row_number().over(own)).join(F.broadcast(offsets), "_range")
-        .withColumn(index, F.col("_offset") + F.col("_nth") - 1)
+        dealt(placed, parts, "_range").withColumn("_nth", F.row_number().over(own)).join(F.broadcast(offsets), "_range")
+        .withColumn(index, (F.col("_offset") + F.col("_nth") - 1).alias(index, metadata={ROWS: total}))
         .drop("_tie", "_range", "_nth", "_offset")
     )
 
 
+def spread(df: DataFrame, by: str, task_rows: int, index: str = INDEX) -> DataFrame:
+    """Numbered rows dealt by a column, so that a task gets about ``task_rows`` of them however many there are. How many
+    there are is known of an index by :func:`number_rows`; others are left as they are."""
+    total = df.schema[index].metadata.get(ROWS)
+    return df if total is None else dealt(df, parts_for(df, total, task_rows), by)
+
+
 def numbered(df: DataFrame, order: list[str] | None, index: str = INDEX) -> DataFrame:
     return number_rows(df, order, index) if order else df
 

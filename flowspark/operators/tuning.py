@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +19,8 @@ from flowspark.operators.models import SEED
 
 # Folds, and the parameter grids that may be searched per algorithm.
 FOLDS = 10
+# Models fitted at the same time: their small jobs leave most of a cluster idle.
+SIDE_BY_SIDE = 5
 
 
 def grid(est: Estimator, values: dict[str, list]) -> list[dict]:
@@ -36,6 +41,12 @@ def cross_validate(est, df: DataFrame, param_maps=None, folds: int = FOLDS, seed
     ).fit(df)
 
 
+def side_by_side(spark: SparkSession, action, items, workers: int | None = None) -> list:
+    """The results of an action on each item, several at a time, in order."""
+    with ThreadPoolExecutor(max_workers=max(1, min(workers or SIDE_BY_SIDE, len(items)))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(action), items))
+
+
 def hash_folds(df: DataFrame, folds: int, seed: int = SEED) -> Column:
     """A fold for each row from a hash of all its columns: the same in every pass, without a stored copy. Equal rows
     share a fold."""
@@ -129,7 +140,7 @@ class PairCrossValidator(Estimator):
 
     Folds come from a hash of the row, or from ``fold_col``, whole numbers from 0 to ``folds`` - 1. Detectors that fit by additive
     summaries (``leave_out_limits``) and metrics that follow from counts take one scan of either dataset for
-    all folds and parameter points; others are fitted and scored one after the other.
+    all folds and parameter points; others are fitted and scored each on its own, a few at a time.
 
     As a stage of a pipeline, which fits on one dataset, give the other by ``validation``.
     """
@@ -171,13 +182,16 @@ class PairCrossValidator(Estimator):
 
     def _one_by_one(self, a: DataFrame, b: DataFrame) -> list[list[float]]:
         """Metrics by parameter point and fold, each model fitted and scored on its own."""
-        metrics = [[] for _ in self.param_maps]
-        for fold in range(self.folds):
+
+        def judge(point: tuple[int, int]) -> float:
+            i, fold = point
             train = a.where(F.col("_fold") != fold).drop("_fold")
             check = (b if self.holdout == "full" else b.where(F.col("_fold") == fold)).drop("_fold")
-            for i, params in enumerate(self.param_maps):
-                metrics[i].append(self.evaluator.evaluate(self.estimator.fit(train, params).transform(check)))
-        return metrics
+            return self.evaluator.evaluate(self.estimator.fit(train, self.param_maps[i]).transform(check))
+
+        points = [(i, fold) for i in range(len(self.param_maps)) for fold in range(self.folds)]
+        found = side_by_side(a.sparkSession, judge, points)
+        return [found[i * self.folds:(i + 1) * self.folds] for i in range(len(self.param_maps))]
 
     def _from_summaries(self, a: DataFrame, b: DataFrame) -> list[list[float]]:
         """The same metrics from one aggregate over either dataset."""

@@ -404,3 +404,19 @@ def test_models_score_in_a_session_that_has_observed(spark, algorithm):
     assert model.transform(data).where("prediction = label").count() == 70
     chosen = tuning.cross_validate(models.estimator(algorithm), data, folds=2)
     assert chosen.transform(data).where("prediction = label").count() == 70
+
+
+def test_more_rows_are_numbered_and_windowed_in_more_tasks(spark, monkeypatch):
+    values = [(i * 7919 % 3001, float(i % 11), float(i % 5)) for i in range(3000)]
+    df = codec.featurize(spark.createDataFrame(values, "at long, a double, b double"), ["a", "b"])
+    def run():
+        model = detect.EntropyClassifier(2, 5, 20, 0.1, ["at"]).fit(df)
+        return model.limits, sorted(map(str, model.transform(df).collect()))
+    whole = run()
+    monkeypatch.setattr(rows, "RANGE_ROWS", 100)
+    monkeypatch.setattr(detect, "TASK_ROWS", 100)
+    placed = rows.number_rows(df, ["at"])
+    assert placed.rdd.getNumPartitions() == 30
+    assert [r["at"] for r in placed.orderBy("row_index").collect()] == sorted(v[0] for v in values)
+    assert rows.spread(placed, "at", 100).rdd.getNumPartitions() == 30
+    assert run() == whole
