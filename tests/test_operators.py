@@ -2,6 +2,7 @@
 
 import json
 import math
+import threading
 import time
 
 import numpy as np
@@ -420,3 +421,15 @@ def test_more_rows_are_numbered_and_windowed_in_more_tasks(spark, monkeypatch):
     assert [r["at"] for r in placed.orderBy("row_index").collect()] == sorted(v[0] for v in values)
     assert rows.spread(placed, "at", 100).rdd.getNumPartitions() == 30
     assert run() == whole
+
+
+def test_algorithms_of_a_sweep_run_side_by_side(spark, monkeypatch):
+    met = threading.Barrier(2, timeout=20)
+
+    def run(data, algorithm, dataset="", params=None, **options):
+        met.wait()
+        return dict.fromkeys(metrics.RUN_METRICS) | {"algorithm": algorithm}
+
+    monkeypatch.setattr(jobs, "train_and_evaluate", run)
+    table = spark.createDataFrame([(Vectors.dense([1.0]), 1.0)], ["features", "label"])
+    assert [r["algorithm"] for r in jobs.sweep(table, ["svm", "decision_tree"]).collect()] == ["svm", "decision_tree"]
