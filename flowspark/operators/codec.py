@@ -25,7 +25,8 @@ def parse_fields(df: DataFrame, schema: T.StructType, value: str = "value", keep
         text = F.get("_fields", F.lit(i))
         if isinstance(f.dataType, T.StringType):
             return text.alias(f.name)
-        number = F.trim(text)
+        # An empty field is null at once: a cast of it to double would throw and catch an exception in every row.
+        number = F.nullif(F.trim(text), F.lit(""))
         if isinstance(f.dataType, T.DoubleType):
             return number.try_cast("double").alias(f.name)
         whole = F.coalesce(
