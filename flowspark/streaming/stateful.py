@@ -5,12 +5,14 @@ State per flow key is one open flow: a fixed number of counters, however long th
 
 from __future__ import annotations
 
+from array import array
 from contextlib import contextmanager
 from decimal import Decimal
 from math import sqrt
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -42,6 +44,7 @@ OUTPUT = T.StructType(
 )
 STATE_KEY = [*KEY, NULLS]
 PACKET_FIELDS = ["seq", "ts_us", "side", "len", "hlen", "dscp", "symbol"]
+ORDERED_ROWS = 4096  # packets that are Python objects at a time
 
 
 def _observe(flow: dict, series: str, value: int) -> None:
@@ -148,9 +151,23 @@ def unpack(values) -> dict:
     return {c: int(v) for c, v in zip(COUNTERS, values)}
 
 
+def in_order(rows):
+    """The packets of one key by ``seq``, kept as plain numbers until their turn comes."""
+    first, numbers = len(STATE_KEY), array("q")
+    last = first + len(PACKET_FIELDS)
+    for row in rows:
+        numbers.extend(row[first:last])
+    packets = np.frombuffer(numbers, np.int64).reshape(-1, len(PACKET_FIELDS))
+    order = np.argsort(packets[:, 0], kind="stable")
+    for at in range(0, len(order), ORDERED_ROWS):
+        for values in packets[order[at:at + ORDERED_ROWS]].tolist():
+            yield dict(zip(PACKET_FIELDS, values))
+
+
 class FlowTracker(StatefulProcessor):
     """Keeps the open flow of a key; a flow leaves on TCP close, on a packet after the timeout, or
-    when the watermark passes the timeout."""
+    when the watermark passes the timeout. Rows, not frames, go in and out: Spark packs the rows of many keys into a
+    batch, while every frame would be a batch of its own."""
 
     def __init__(self, timeout_us: int, idle_us: int, tcp_close: bool):
         self.timeout_us, self.idle_us, self.tcp_close = timeout_us, idle_us, tcp_close
@@ -162,42 +179,41 @@ class FlowTracker(StatefulProcessor):
     def _expire_at(self, flow):
         return (flow["last_ts"] + self.timeout_us) // 1000 + 1
 
-    def _frame(self, rows):
-        return pd.DataFrame([[r[f.name] for f in OUTPUT] for r in rows], columns=OUTPUT.names)
+    def _record(self, key, flow, end_reason):
+        record = flow_record(key, flow, end_reason)
+        return Row(**{c: record[c] for c in OUTPUT.names})
 
     def handleInputRows(self, key, rows, timerValues):
         # The rows of one key in one micro-batch; the trigger limits bound them.
-        packets = pd.concat(list(rows))[PACKET_FIELDS].sort_values("seq")
         is_tcp = int(key[4]) == TCP
         flow = unpack(self.flow.get()) if self.flow.exists() else None
         if flow:
             self.handle.deleteTimer(self._expire_at(flow))
         out = []
-        for values in packets.itertuples(index=False, name=None):
-            p = dict(zip(PACKET_FIELDS, map(int, values)))
+        for p in in_order(rows):
             if flow is None:
                 flow = open_flow(is_tcp, p)
                 continue
             event = add_packet(flow, is_tcp, p, self.timeout_us, self.idle_us)
             if event == tcp.STARTS:
-                out.append(flow_record(key, flow, "timeout"))
+                out.append(self._record(key, flow, "timeout"))
                 flow = open_flow(is_tcp, p)
             elif event == tcp.CLOSES and self.tcp_close:
-                out.append(flow_record(key, flow, "tcp_closed"))
+                out.append(self._record(key, flow, "tcp_closed"))
                 flow = None
         if flow:
             self.flow.update(pack(flow))
             self.handle.registerTimer(self._expire_at(flow))
         else:
             self.flow.clear()
-        yield self._frame(out)
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = []
-        if self.flow.exists():
-            out.append(flow_record(key, unpack(self.flow.get()), "timeout"))
-            self.flow.clear()
-        yield self._frame(out)
+        held = self.flow.get()
+        if held is None:
+            return iter(())
+        self.flow.clear()
+        return iter([self._record(key, unpack(held), "timeout")])
 
     def close(self) -> None:
         pass
@@ -236,7 +252,7 @@ def track_flows(
 
     A task holds the rows that one key has in a micro-batch; ``batches.FlowStream`` splits them."""
     rows = stream_rows(packets).withWatermark("event_time", delay)
-    return rows.groupBy(*STATE_KEY).transformWithStateInPandas(
+    return rows.groupBy(*STATE_KEY).transformWithState(
         statefulProcessor=FlowTracker(timeout_us, idle_us, tcp_close), outputStructType=OUTPUT,
         outputMode="Append", timeMode="EventTime",
     )

@@ -400,3 +400,46 @@ def test_tasks_get_no_more_rows_when_tables_grow(spark, monkeypatch, options):
     monkeypatch.setattr(flows, "TASK_ROWS", 20)
     assert found().rdd.getNumPartitions() == 15
     assert sorted(map(str, found().collect())) == whole
+
+
+class _State:
+    """The state of one key, with its timers."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_key_without_a_finished_flow_gives_no_batch():
+    # A frame for every key, mostly an empty one, cost more than its packets.
+    key = ("10.0.0.1", 1025, "192.168.0.1", 80, 17, 0)
+    packet = lambda seq, ts: (*key, seq, ts, seq % 2, 100, 28, 0, 0, None)
+    tracker, state = stateful.FlowTracker(1_000_000, 1_000, True), _State()
+    tracker.init(state)
+    assert list(tracker.handleInputRows(key, iter([packet(2, 500), packet(1, 100)]), None)) == []
+    assert len(state.timers) == 1
+    ended = list(tracker.handleInputRows(key, iter([packet(3, 2_000_000)]), None))
+    assert [(r.flow_seq, r.last_ts, r.total_fpackets, r.total_bpackets, r.end_reason, r.valid) for r in ended] == [
+        (1, 500, 1, 1, "timeout", True)]
+    assert [(r.flow_seq, r.valid) for r in tracker.handleExpiredTimer(key, None, None)] == [(3, False)]
+    assert list(tracker.handleExpiredTimer(key, None, None)) == []
