@@ -158,6 +158,7 @@ def mark_runs(rows: DataFrame, key: list[str]) -> DataFrame:
         F.max(F.when(F.col("flow_start"), F.col("seq"))).over(order.rowsBetween(*UP_TO)).alias("l_flow"),
         F.max(F.when(F.col("burst_start"), F.col("seq"))).over(order.rowsBetween(*UP_TO)).alias("l_burst"),
         *[last_of(s).over(order.rowsBetween(*BEFORE)).alias(f"last{s}") for s in SIDES],
+        F.max("seq").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("block_end"),
     )
     last = F.when(F.col("side") == 0, F.col("last0")).otherwise(F.col("last1"))
     same_burst = F.col("l_burst").isNull() | (last["seq"] >= F.col("l_burst"))
@@ -181,6 +182,10 @@ PAST = list(PAST_TYPES)
 # every bigint position and any length below LEN_SPAN.
 LEN_SPAN = 10**12
 _SPAN = f"CAST({LEN_SPAN} AS DECIMAL(13,0))"
+# The lowest length of a state, and the state of what is merged from the latest zero and the lowest length since.
+LOW_LEN = f"nullif({LEN_SPAN - 1} - CAST(s@_len_state % {_SPAN} AS BIGINT), {LEN_SPAN - 1})"
+LEN_STATE = (f"CAST((CAST(len_top@ AS DECIMAL(20,0)) + 1) * {_SPAN} + CASE WHEN len_low@ IS NULL THEN 0 ELSE {LEN_SPAN - 1} - len_low@ END"
+             " AS DECIMAL(38,0)) AS s@_len_state")
 
 
 def _window(columns: list[str], order: str = "", frame: str = "") -> str:
@@ -192,8 +197,9 @@ def _both(template: str) -> list[str]:
     return [template.replace("@", str(side)) for side in SIDES]
 
 
-def segments(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One row per burst and block, with the measures of either side as s0_*, s1_* columns.
+def segments(rows: DataFrame, key: list[str], keep_end: bool = False) -> DataFrame:
+    """One row per burst and block, with the measures of either side as s0_*, s1_* columns. ``keep_end`` keeps the last
+    row of the block, too.
 
     Grouped by the block first, so both aggregations run where the rows already are.
     """
@@ -224,6 +230,7 @@ def segments(rows: DataFrame, key: list[str]) -> DataFrame:
         e("min(seq) AS first_seq"), e("min_by(dscp, seq) AS first_dscp"), e("max(gap) AS gap"),
         *[e(f"max({c}) AS {c}") for c in flags],
         *[e("max_by(mode, seq) AS mode"), e("max(seq) AS mode_seq")] * ("mode" in rows.columns),
+        *[e("max(block_end) AS block_end")] * keep_end,
     )
     sided = [
         f"{fn}(CASE WHEN side = @ THEN {c} END) AS s@_{c}"
@@ -239,9 +246,53 @@ def segments(rows: DataFrame, key: list[str]) -> DataFrame:
         e("max(CASE WHEN l_burst <> coalesce(l_flow, -1) THEN gap END) AS idle"),
         *[e(f"max({c}) AS {c}") for c in flags],
         *[e("max_by(mode, mode_seq) AS mode")] * ("mode" in rows.columns),
+        *[e("max(block_end) AS block_end")] * keep_end,
     )
 
 
+def merge_inside(segs: DataFrame, key: list[str]) -> DataFrame:
+    """The bursts of a flow that lie inside a block as one row with their past (``p_*`` columns); segments that continue
+    an earlier block or end one stay as they are. Most flows shrink to a few rows where their packets already are,
+    before anything wide is sorted, walked or shuffled. ``segs`` have the last row of their block (``block_end``)."""
+    e = F.expr
+    run = [*key, "block", "l_flow", "inside", "own"]
+    of_run = _window(run)
+    segs = segs.selectExpr("*", "l_flow IS NOT NULL AND last_seq < block_end AS inside").selectExpr(
+        "*", "CASE WHEN NOT inside THEN l_burst END AS own", "CASE WHEN inside THEN last_ts - first_ts END AS active",
+        "CASE WHEN inside THEN idle END AS rest",
+    ).selectExpr(
+        "*", f"max(CASE WHEN active = 0 THEN l_burst END) {of_run} AS active_top",
+        *_both(f"max(s@_len_state div {_SPAN} - 1) {of_run} AS len_top@"),
+        *_both(f"max(s@_iat_level) {of_run} AS iat_top@"),
+    )
+    sides = [f"sum(s@_{c}) AS s@_{c}" for c in SUMS]
+    sides += [f"max(s@_{c}) AS s@_{c}" for c in ("len_max", "iat_max", "iat_level", "last_ts", "last_seq")]
+    sides += [f"min(s@_{c}) AS s@_{c}" for c in MINS]
+    sides += [
+        "max(len_top@) AS len_top@", f"min(CASE WHEN s@_last_seq >= len_top@ THEN {LOW_LEN} END) AS len_low@",
+        "min(CASE WHEN iat_top@ IS NULL OR s@_last_seq >= iat_top@ THEN s@_iat_low END) AS s@_iat_low",
+        # Only the first that is not 0 counts; a run comes before or after the other segments of its flow as a whole.
+        "min_by(s@_first_dscp, CASE WHEN s@_first_dscp <> 0 THEN s@_first_seq END) AS s@_first_dscp",
+    ]
+    square = lambda c: f"CAST({exact.decimal(c, 18)} * {exact.decimal(c, 18)} AS DECIMAL(38,0))"
+    past = {
+        "active_n": "sum(CASE WHEN inside THEN 1 END)", "active_sum": "sum(active)", "active2": f"sum({square('active')})",
+        "active_max": "max(active)", "active_top": "max(active_top)",
+        "active_low": "min(CASE WHEN l_burst > coalesce(active_top, -1) THEN active END)",
+        "idle_n": "sum(CASE WHEN inside THEN CASE WHEN idle IS NULL THEN 0 ELSE 1 END END)", "idle_sum": "sum(rest)",
+        "idle2": f"sum({square('rest')})", "idle_max": "max(rest)", "idle_min": "min(rest)",
+    }
+    merged = segs.groupBy(*run).agg(
+        *[e(x) for template in sides for x in _both(template)],
+        e("min(l_burst) AS l_burst"), e("min(first_ts) AS first_ts"), e("max(last_ts) AS last_ts"),
+        e("max(last_seq) AS last_seq"), e("min(first_seq) AS first_seq"), e("min_by(first_dscp, first_seq) AS first_dscp"),
+        e("max(CASE WHEN NOT inside THEN idle END) AS idle"),
+        *[e(f"max({c}) AS {c}") for c in FLAGS if c in segs.columns],
+        *[e(f"CAST({past[c[2:]]} AS {kind}) AS {c}") for c, kind in PAST_TYPES.items()],
+    )
+    return merged.selectExpr("*", *_both(LEN_STATE)).drop("inside", "own", *_both("len_top@"), *_both("len_low@"))
+
+
 def settle_segments(segs: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
     """Give every segment its flow and burst, and close the gaps across block edges.
 
@@ -255,11 +306,12 @@ def settle_segments(segs: DataFrame, key: list[str], parts: int | None = None) -
         "*", f"CASE WHEN l_flow IS NULL OR last_seq = block_end THEN {CARRIED} ELSE block END AS carry_group"
     )
     before = _window([*key, "carry_group"], "first_seq", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
-    after = _window([*key, "carry_group"], "first_seq", "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING")
+    # Flows start in the order of rows, so a later one is a greater one of all: no frame has to be folded anew for each row.
+    whole = _window([*key, "carry_group"], "first_seq", "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
     last = "last_value(CASE WHEN s@_n > 0 THEN struct(s@_last_seq AS seq, s@_last_ts AS ts) END, true)"
     segs = dealt(segs, parts, *key, "carry_group").selectExpr(
         "*", f"max(l_flow) {before} AS c_flow", f"max(l_burst) {before} AS c_burst",
-        f"max(l_flow) {after} AS next_flow", *_both(f"{last} {before} AS c_last@"),
+        f"max(l_flow) {whole} AS next_flow", *_both(f"{last} {before} AS c_last@"),
     ).selectExpr(
         "*", "coalesce(l_flow, c_flow) AS flow_seq", "coalesce(l_burst, c_burst) AS burst_seq"
     ).selectExpr(
@@ -290,13 +342,14 @@ def settle_segments(segs: DataFrame, key: list[str], parts: int | None = None) -
     ]
     return segs.selectExpr(
         *key, "flow_seq", "burst_seq", "first_seq", "first_dscp", "first_ts", "last_ts", "idle", "followed",
-        *flags, *["mode"] * ("mode" in segs.columns), *[x for template in fixed for x in _both(template)],
+        *flags, *["mode"] * ("mode" in segs.columns), *[c for c in PAST if c in segs.columns],
+        *[x for template in fixed for x in _both(template)],
     )
 
 
 def flow_rows(segs: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
     """Merge settled segments into one row per flow, still with sides instead of directions. Rows may stand for
-    the past bursts of a flow (``p_*`` columns, see ``resume``)."""
+    several bursts of a flow (``p_*`` columns, see ``merge_inside`` and ``resume``)."""
     e = F.expr
     flow = [*key, "flow_seq"]
     whole_flow = _window(flow)
@@ -306,13 +359,12 @@ def flow_rows(segs: DataFrame, key: list[str], parts: int | None = None) -> Data
         *_both(f"max(s@_len_state div {_SPAN} - 1) {whole_flow} AS len_top@"),
         *_both(f"max(s@_iat_level) {whole_flow} AS iat_top@"),
     )
-    low_len = f"nullif({LEN_SPAN - 1} - CAST(s@_len_state % {_SPAN} AS BIGINT), {LEN_SPAN - 1})"
     sides = [f"sum(s@_{c}) AS s@_{c}" for c in ("n", "vol", "hlen", "psh", "urg", "iat_n", "iat_sum")] + [
         f"sum({exact.decimal('s@_vol2', 28)}) AS s@_vol2",
         f"sum({exact.join_limbs('s@_iat_hh', 's@_iat_hl', 's@_iat_ll')}) AS s@_iat2",
         "max(s@_len_max) AS s@_len_max", "max(s@_iat_max) AS s@_iat_max", "min(s@_dscp_seq) AS s@_dscp_seq",
         "min_by(s@_first_dscp, s@_dscp_seq) AS s@_dscp",
-        f"min(CASE WHEN s@_last_seq >= len_top@ THEN {low_len} END) AS s@_len_min",
+        f"min(CASE WHEN s@_last_seq >= len_top@ THEN {LOW_LEN} END) AS s@_len_min",
         "min(CASE WHEN iat_top@ IS NULL OR s@_last_seq >= iat_top@ THEN s@_iat_low END) AS s@_iat_min",
     ]
     bursts = segs.groupBy(*flow, "burst_seq").agg(
@@ -344,7 +396,7 @@ def flow_rows(segs: DataFrame, key: list[str], parts: int | None = None) -> Data
         e("sum(coalesce(p_active_n, 1)) AS active_n"), e("sum(coalesce(p_active_sum, active)) AS active_sum"),
         e(f"{square('active', 'p_active2')} AS active2"), e("max(coalesce(p_active_max, active)) AS active_max"),
         e("min(CASE WHEN p_active_n IS NULL THEN CASE WHEN burst_seq > coalesce(active_top, -1) THEN active END"
-          " WHEN active_top <=> p_active_top THEN p_active_low END) AS active_min"),
+          " WHEN active_top <=> p_active_top OR burst_seq > active_top THEN p_active_low END) AS active_min"),
         e("sum(coalesce(p_idle_n, CASE WHEN idle IS NULL THEN 0 ELSE 1 END)) AS idle_n"), e("sum(coalesce(p_idle_sum, idle)) AS idle_sum"),
         e(f"{square('idle', 'p_idle2')} AS idle2"), e("max(coalesce(p_idle_max, idle)) AS idle_max"),
         e("min(coalesce(p_idle_min, idle)) AS idle_min"),
@@ -436,7 +488,7 @@ def flow_table(
         marked = dealt(mark_tcp_rows(rows, key, timeout_us, idle_us, block_rows), parts, *key, "block")
     else:
         marked = mark_gaps(dealt(rows, parts, *key, "block"), key, timeout_us, idle_us, key_blocks(rows, key))
-    segs = settle_segments(segments(mark_runs(marked, key), key), key, parts)
+    segs = settle_segments(merge_inside(segments(mark_runs(marked, key), key, keep_end=True), key), key, parts)
     return flow_columns(flow_rows(segs, key, parts))
 
 

@@ -443,3 +443,28 @@ def test_a_key_without_a_finished_flow_gives_no_batch():
         (1, 500, 1, 1, "timeout", True)]
     assert [(r.flow_seq, r.valid) for r in tracker.handleExpiredTimer(key, None, None)] == [(3, False)]
     assert list(tracker.handleExpiredTimer(key, None, None)) == []
+
+
+def bursty(seed, n):
+    """One key, mostly short bursts of one or a few packets: many without length, gap or duration, so that minima restart
+    at different places of a block."""
+    rng, ts, out = random.Random(seed), 0, []
+    for seq in range(n):
+        ts += rng.choice((0, 0, 7, 30, 400_000, 1_000_001, 1_500_000, 2_000_000, 2_000_000, *[700_000_000] * (seq % 97 == 5)))
+        out.append(packet(seq, ts, rng.random() < 0.6, size=rng.choice((0, 40, 60, 90, 1500)), dscp=rng.choice((0, 0, 8))))
+    return out
+
+
+@pytest.mark.parametrize("seed, block_rows", [(1, 10), (2, 23), (3, 64), (4, 1000)])
+def test_bursts_inside_a_block_are_merged_before_the_walk(spark, seed, block_rows):
+    packets = bursty(seed, 300)
+    assert by_spark(spark, packets, block_rows=block_rows) == by_sql(packets)
+    rows, key = flows.keyed_rows(frame(spark, packets), block_rows)
+    marked = flows.mark_runs(flows.mark_gaps(rows, key, flows.FLOW_TIMEOUT_US, flows.IDLE_US, flows.key_blocks(rows, key)), key)
+    segs = flows.segments(marked, key, keep_end=True).cache()
+    merged = flows.merge_inside(segs, key).cache()
+    # Of each flow in a block one row, besides the bursts that continue the block before or end this one.
+    touching = segs.where("l_flow IS NULL OR last_seq = block_end").count()
+    inside = segs.where("l_flow IS NOT NULL AND last_seq < block_end")
+    assert merged.count() == touching + inside.select("block", "l_flow").distinct().count() < segs.count()
+    assert merged.agg(F.sum("p_active_n")).first()[0] == inside.count()
