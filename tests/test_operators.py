@@ -10,6 +10,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -433,3 +434,39 @@ def test_algorithms_of_a_sweep_run_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(jobs, "train_and_evaluate", run)
     table = spark.createDataFrame([(Vectors.dense([1.0]), 1.0)], ["features", "label"])
     assert [r["algorithm"] for r in jobs.sweep(table, ["svm", "decision_tree"]).collect()] == ["svm", "decision_tree"]
+
+
+def test_folds_are_fitted_side_by_side_with_the_choice_of_spark(spark, monkeypatch):
+    rows_ = [(Vectors.dense([float(i % 7), float(i % 3)]), float(i % 7 + i % 3 > 4)) for i in range(400)]
+    data = spark.createDataFrame(rows_, ["features", "label"]).repartition(3).cache()
+    est = models.estimator("decision_tree", seed=1)
+    points = tuning.grid(est, {"maxDepth": [1, 4]})
+    judge = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
+    one_by_one = CrossValidator(estimator=est, estimatorParamMaps=points, evaluator=judge, numFolds=4, seed=tuning.SEED).fit(data)
+    met, fit = threading.Barrier(2, timeout=20), type(est)._fit
+
+    def together(self, dataset):
+        if len(dataset.columns) > 2:
+            met.wait()
+        return fit(self, dataset)
+
+    monkeypatch.setattr(type(est), "_fit", together)
+    found = tuning.cross_validate(est, data, points, folds=4)
+    assert found.avgMetrics == pytest.approx(one_by_one.avgMetrics) and found.avgMetrics[0] < found.avgMetrics[1]
+    assert found.bestModel.toDebugString.split("\n", 1)[1] == one_by_one.bestModel.toDebugString.split("\n", 1)[1]
+    assert found.getNumFolds() == 4 and found.getEstimatorParamMaps() == points
+    data.unpersist()
+
+
+def test_empty_fields_of_messages_cost_no_exceptions(spark):
+    def seconds(field):
+        lines = spark.range(0, 40_000, 1, 1).select(F.lit(",".join([field] * 26)).alias("value"), "id")
+        lines = lines.select(F.concat("value", F.lit("")).alias("value")).repartition(1).cache()
+        lines.count()
+        parsed = codec.parse_packet_payload(lines)
+        took = [models.timed(lambda: parsed.write.format("noop").mode("overwrite").save())[1] for _ in range(3)]
+        lines.unpersist()
+        return min(took)
+
+    assert codec.parse_packet_payload(spark.createDataFrame([(", ,\t,7.0",)], ["value"])).first()[2:5] == (None, 7, None)
+    assert seconds("") < 2 * seconds("1")
