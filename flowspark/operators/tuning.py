@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from threading import BoundedSemaphore
+from threading import BoundedSemaphore, Event
 
 import numpy as np
 from pyspark import inheritable_thread_target
@@ -56,7 +56,7 @@ def cross_validate(est, df: DataFrame, param_maps=None, folds: int = FOLDS, seed
     try:
         drawn.count()  # stored before all folds read it
         pairs = [(fold, i) for fold in range(folds) for i in range(len(points))]
-        metrics = np.reshape(side_by_side(judge, pairs, parallelism), (folds, len(points)))
+        metrics = np.reshape(side_by_side(df.sparkSession, judge, pairs, parallelism), (folds, len(points)))
     finally:
         drawn.unpersist()
     averages = metrics.mean(axis=0)
@@ -67,10 +67,20 @@ def cross_validate(est, df: DataFrame, param_maps=None, folds: int = FOLDS, seed
     return found
 
 
-def side_by_side(action, items, workers: int | None = None) -> list:
-    """The results of an action on each item, several at a time, in order."""
+def side_by_side(spark: SparkSession | None, action, items, workers: int | None = None) -> list:
+    """The results of an action on each item, several at a time, begun and returned in order."""
+    def begin(item, begun: Event):
+        begun.set()
+        return action(item)
+
+    target, runs = inheritable_thread_target(spark)(begin) if spark else begin, []
     with ThreadPoolExecutor(max_workers=max(1, min(workers or SIDE_BY_SIDE, len(items)))) as pool:
-        return list(pool.map(inheritable_thread_target(action), items))
+        for item in items:
+            begun = Event()
+            runs.append(pool.submit(target, item, begun))
+            while not begun.wait(0.1) and not runs[-1].done():
+                pass
+        return [run.result() for run in runs]
 
 
 def hash_folds(df: DataFrame, folds: int, seed: int = SEED) -> Column:
@@ -216,7 +226,7 @@ class PairCrossValidator(Estimator):
             return self.evaluator.evaluate(self.estimator.fit(train, self.param_maps[i]).transform(check))
 
         points = [(i, fold) for i in range(len(self.param_maps)) for fold in range(self.folds)]
-        found = side_by_side(judge, points)
+        found = side_by_side(a.sparkSession, judge, points)
         return [found[i * self.folds:(i + 1) * self.folds] for i in range(len(self.param_maps))]
 
     def _from_summaries(self, a: DataFrame, b: DataFrame) -> list[list[float]]:

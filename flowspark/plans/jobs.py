@@ -71,7 +71,7 @@ def sweep(flows: DataFrame, algorithms=models.SUPERVISED, dataset: str = "", fol
     data = _features(flows).cache()
     run = lambda a: train_and_evaluate(data, a, dataset, (params or {}).get(a), folds=folds, split_key=split_key)
     try:
-        runs = tuning.side_by_side(run, list(algorithms))
+        runs = tuning.side_by_side(SparkSession.getActiveSession(), run, list(algorithms))
     finally:
         data.unpersist()
     rows = [tuple(r[n] for n in metrics.RUN_METRICS) for r in runs]
