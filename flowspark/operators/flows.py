@@ -165,6 +165,26 @@ def mark_runs(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("iat", F.when(same_burst, F.col("ts_us") - last["ts_us"])).drop("last0", "last1")
 
 
+def along_blocks(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of :func:`mark_runs` with the flow and burst they belong to (``flow_seq``, ``burst_seq``) and the side that opened
+    the flow (``first_side``), in whichever block these began."""
+    inside = Window.partitionBy(*key, "block").orderBy("seq").rowsBetween(*UP_TO)
+    rows = rows.withColumn("open_side", F.last(F.when(F.col("flow_start"), F.col("side")), ignorenulls=True).over(inside))
+    along = Window.partitionBy(*key).orderBy("block").rowsBetween(*BEFORE)
+    edges = rows.groupBy(*key, "block").agg(
+        F.max("l_flow").alias("flow"), F.max("l_burst").alias("burst"),
+        F.max_by("open_side", F.when(F.col("flow_start"), F.col("seq"))).alias("side"),
+    )
+    carry = edges.select(
+        *key, "block", F.max("flow").over(along).alias("c_flow"), F.max("burst").over(along).alias("c_burst"),
+        F.last("side", ignorenulls=True).over(along).alias("c_side"),
+    ).where(F.col("c_flow").isNotNull())
+    return rows.join(carry, [*key, "block"], "left").withColumns({
+        "flow_seq": F.coalesce("l_flow", "c_flow"), "burst_seq": F.coalesce("l_burst", "c_burst"),
+        "first_side": F.coalesce("open_side", "c_side"),
+    }).drop("open_side", "c_flow", "c_burst", "c_side")
+
+
 # Measures of one side of one segment, by how they merge.
 SUMS = ["n", "vol", "vol2", "hlen", "psh", "urg", "iat_n", "iat_sum", "iat_hh", "iat_hl", "iat_ll"]
 MAXS = ["len_max", "len_state", "iat_max", "iat_level", "last_ts", "last_seq"]
@@ -518,23 +538,8 @@ def assign_flows(
 ) -> DataFrame:
     """Kept packets with their flow (seq of its first packet), burst and direction."""
     rows, key = keyed_rows(packets, block_rows, window_us)
-    rows = mark_runs(mark_gaps(rows, key, timeout_us, idle_us), key).withColumn(
-        "open_side", F.last(F.when(F.col("flow_start"), F.col("side")), ignorenulls=True).over(
-            Window.partitionBy(*key, "block").orderBy("seq").rowsBetween(*UP_TO))
-    )
-    along = Window.partitionBy(*key).orderBy("block").rowsBetween(*BEFORE)
-    edges = rows.groupBy(*key, "block").agg(
-        F.max("l_flow").alias("flow"), F.max("l_burst").alias("burst"),
-        F.max_by("open_side", F.when(F.col("flow_start"), F.col("seq"))).alias("side"),
-    )
-    carry = edges.select(
-        *key, "block", F.max("flow").over(along).alias("c_flow"), F.max("burst").over(along).alias("c_burst"),
-        F.last("side", ignorenulls=True).over(along).alias("c_side"),
-    ).where(F.col("c_flow").isNotNull())
-    first_side = F.coalesce("open_side", "c_side")
-    return restored_key(rows.join(carry, [*key, "block"], "left")).select(
-        *[k for k in key if k != NULLS], "seq", "ts_us", "len", "gap", F.col("side"),
-        F.coalesce("l_flow", "c_flow").alias("flow_seq"),
-        F.coalesce("l_burst", "c_burst").alias("burst_seq"),
-        F.when(F.col("side") == first_side, "f").otherwise("b").alias("direction"),
+    rows = along_blocks(mark_runs(mark_gaps(rows, key, timeout_us, idle_us), key), key)
+    return restored_key(rows).select(
+        *[k for k in key if k != NULLS], "seq", "ts_us", "len", "gap", "side", "flow_seq", "burst_seq",
+        F.when(F.col("side") == F.col("first_side"), "f").otherwise("b").alias("direction"),
     )

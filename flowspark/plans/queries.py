@@ -556,8 +556,8 @@ def flw3_split_flows_tcp_null_ports_in_blocks(spark, sf):
 @query(O.flow_query("SELECT seq, flow_seq, hit AS valid_hit, closes FROM marked WHERE proto = 6", tcp_close=True))
 def flw4_tcp_state(spark, sf):
     keyed, key = flows.keyed_rows(_packets(spark, sf))
-    marked = flows.mark_runs(flows.mark_tcp_rows(keyed, key), key).where(F.col("proto") == schemas.TCP)
-    return marked.select("seq", F.col("l_flow").alias("flow_seq"), "valid_hit", "closes")
+    marked = flows.along_blocks(flows.mark_runs(flows.mark_tcp_rows(keyed, key), key), key)
+    return marked.where(F.col("proto") == schemas.TCP).select("seq", "flow_seq", "valid_hit", "closes")
 
 
 @query(O.flow_query("SELECT seq, CASE WHEN fwd THEN 'f' ELSE 'b' END AS direction FROM dirs"))

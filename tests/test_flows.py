@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from flowspark import schemas
 from flowspark.operators import flows, tcp
 from flowspark.plans import oracle
@@ -468,3 +469,19 @@ def test_bursts_inside_a_block_are_merged_before_the_walk(spark, seed, block_row
     inside = segs.where("l_flow IS NOT NULL AND last_seq < block_end")
     assert merged.count() == touching + inside.select("block", "l_flow").distinct().count() < segs.count()
     assert merged.agg(F.sum("p_active_n")).first()[0] == inside.count()
+
+
+def test_connections_over_block_edges_keep_their_flow(spark, tmp_path):
+    # Blocks are 1,048,576 sequence numbers long: the first flow begins before an edge, the second has no packet of its own block.
+    names = "event_id long, ts string, user_id long, event_type string, value double, props string"
+    at = [(1 << 20) - 2, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, (1 << 21) + 5, (1 << 21) + 6]
+    day = "2024-01-{:02d} 00:00:00"
+    rows = [(seq, day.format(d), user, "view", 0.5, None)
+            for user, shift in ((3, 0), (4, 10)) for seq, d in zip((s + shift for s in at), (1, 1, 1, 1, 1, 20), strict=True)]
+    spark.createDataFrame(rows, names).withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    found = entry.queries()["flw4_tcp_state"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        expected = con.execute(entry.oracle_sql()["flw4_tcp_state"]).fetchall()
+    assert len(expected) == 12
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
