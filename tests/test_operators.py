@@ -470,3 +470,38 @@ def test_empty_fields_of_messages_cost_no_exceptions(spark):
 
     assert codec.parse_packet_payload(spark.createDataFrame([(", ,\t,7.0",)], ["value"])).first()[2:5] == (None, 7, None)
     assert seconds("") < 2 * seconds("1")
+
+
+@pytest.mark.parametrize("holdout", ["fold", "full"])
+def test_folds_of_row_windows_take_one_ordering_of_the_rows(spark, holdout, monkeypatch):
+    rng = np.random.default_rng(5)
+    # The order ties, folds have runs of rows of their own, and ranges hold a few windows each.
+    table = [(int(at) // 3, int(at) // 40 % 3 if at % 2 else int(at) % 3, float(a), float(b), int(at) % 7 // 6)
+             for at, a, b in zip(range(400), rng.integers(0, 9, 400), rng.normal(size=400), strict=True)]
+    data = codec.featurize(spark.createDataFrame(table, "at int, fold int, a double, b double, label int"), ["a", "b"])
+    est = detect.EntropyClassifier(2, 4, 7, 0.1, ["at"])
+    points = tuning.grid(est, {"threshold": [0.0, 0.2], "windowSize": [7, 11]})
+    cv = tuning.PairCrossValidator(est, points, folds=3, holdout=holdout, fold_col="fold")
+    a, b = cv._numbered(data.where("label = 0")), cv._numbered(data)
+    expected = cv._one_by_one(a, b)
+    monkeypatch.setattr(rows, "RANGE_ROWS", 40)
+    monkeypatch.setattr(detect, "RUNS", 16)
+    cut, calls = rows.splitters, []
+    monkeypatch.setattr(rows, "splitters", lambda *args: calls.append(1) or cut(*args))
+    model = cv.fit(data.where("label = 0"), data)
+    assert np.allclose(cv._from_windows(a, b), expected, rtol=0, atol=1e-12)
+    assert model.avgMetrics == pytest.approx(np.mean(expected, axis=1).tolist(), abs=1e-12)
+    # For either window size both datasets, and the best point: whatever the number of folds.
+    assert len(calls) == 5 + 4
+
+
+def test_runs_over_several_ranges_are_counted_once(spark, monkeypatch):
+    values = np.random.default_rng(6).integers(0, 6, (130, 2)).astype(float)
+    data = vectors(spark, values.tolist())
+    monkeypatch.setattr(rows, "RANGE_ROWS", 4)  # shorter than a run
+    with detect.leave_out_entropies(data, "features", 12, 5, ["row_index"]) as found:
+        got = {(r["feature"], r["entropy"]): r["windows"] for r in found.collect()}
+    want = {}
+    for f, column in enumerate(detect.run_entropies(values, 12, 5).T):
+        want |= {(f, e): n for e, n in zip(*(x.tolist() for x in np.unique(column, return_counts=True)), strict=True)}
+    assert got == want
