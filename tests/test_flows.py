@@ -485,3 +485,14 @@ def test_connections_over_block_edges_keep_their_flow(spark, tmp_path):
         expected = con.execute(entry.oracle_sql()["flw4_tcp_state"]).fetchall()
     assert len(expected) == 12
     assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("proto", [6, 17])
+def test_a_key_of_few_rows_is_one_block_of_a_micro_batch(spark, proto):
+    # Others come between: its sequence numbers lie in 60 blocks. All gaps but the last end a burst.
+    lasting = [packet(1000 * i, 2_000_000 * min(i, 58), proto=proto, flags=16, prhlen=20) for i in range(60)]
+    settled, key = batches.resume(frame(spark, lasting), None, block_rows=100)
+    rows = sorted(settled.collect(), key=lambda r: r["first_ts"])
+    assert [(r["s0_n"], r["p_active_n"]) for r in rows] == [(58, 58), (2, None)]
+    (row,) = batches.open_flows(batches.held_state(settled, key), key).collect()
+    assert (row["total_fpackets"], row["max_idle"], row["mean_active"]) == (60, 2_000_000, 0)
