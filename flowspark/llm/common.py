@@ -12,6 +12,8 @@ from flowspark.session import scratch_dir, shared_dir
 
 #: White space of the operators: blank and \t \n \v \f \r.
 SPACE = "\\x20\\x09-\\x0D"
+#: Bytes of rows that a task turns into Python values at once.
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,15 @@ def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size_col: str, t
     return here.unionByName(met.where("_hot IS NULL").drop("_hot", *names).join(groups.where(~is_hot), on))
 
 
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about so many bytes, at least a row each. A batch may be a whole partition,
+    and Python values take several times its memory."""
+    for batch in batches:
+        rows = max(1, most_bytes * batch.num_rows // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_rows(df: DataFrame, start: Callable, schema: str, columns: dict[str, pa.DataType]) -> DataFrame:
     """``mapInArrow`` for functions over Python values: ``start()`` runs once per partition and
     returns a function from the batch's columns (lists) to the columns of the result."""

@@ -30,8 +30,8 @@ _CELL_SCHEMA = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("n", pa
                           *[(c, pa.binary()) for c in ("code", "least", "runs", "rows", "places")]])
 
 
-def owners_for(spark: SparkSession, keys: int) -> int:
-    return min(MOST_OWNERS, max(shuffle_partitions(spark), -(-keys // OWNER_KEYS)))
+def owners_for(spark: SparkSession, keys: int, held: int = OWNER_KEYS) -> int:
+    return min(MOST_OWNERS, max(shuffle_partitions(spark), -(-keys // held)))
 
 
 def owner_base(owner: int, owners: int, bits: int = KEY_BITS) -> int:

@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm import exchange, golomb
-from flowspark.llm.common import text_of, written
+from flowspark.llm.common import slices, text_of, written
 from flowspark.llm.minhash import WordHashes, shingles
 
 #: Words of a window (the length threshold) and of an anchor.
 WINDOW, ANCHOR = 13, 5
 #: Windows' keys: two different windows of n fall together with chance n / 2^63.
 WINDOW_BITS = 63
+#: A block of the exchange closes at so many keys, some hundred bytes each while it is sorted and sent.
+BLOCK_KEYS = 1 << 19
+#: Keys an owner holds on average, some hundred bytes each while it answers.
+OWNER_KEYS = 1 << 20
+#: Bytes of text for each anchor: about a fifth of the words begin one.
+ANCHOR_BYTES = 25
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -35,12 +41,12 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> t
 def _anchor_cells(texts: DataFrame, owners: int, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, block = WordHashes(), exchange.Block(owners, exchange.KEY_BITS)
-        for batch in batches:
+        for batch in slices(batches):
             for i, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 keys = np.unique(anchors(hashes(text.encode().split()), window, anchor)[0])
                 if len(keys):
                     block.add(keys, i, 0, np.zeros(len(keys), np.int64))
-                if block.size >= exchange.BLOCK_KEYS:
+                if block.size >= BLOCK_KEYS:
                     yield block.flush()
         if block.size:
             yield block.flush()
@@ -61,7 +67,7 @@ def _seeds(cells: DataFrame, owners: int) -> DataFrame:
     """(id, keys): the anchors a document shares with another, as little-endian 64-bit numbers, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for r in batch.to_pylist():
                 runs = np.frombuffer(r["runs"], np.uint32)
@@ -84,7 +90,7 @@ def _candidates(texts: DataFrame, seeds: DataFrame, window: int, anchor: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, row = WordHashes(), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for i, text, parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words, starts = text.encode().split(), None
@@ -110,12 +116,12 @@ def _candidates(texts: DataFrame, seeds: DataFrame, window: int, anchor: int) ->
 def _window_cells(candidates: DataFrame, owners: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, block = WordHashes(), exchange.Block(owners, WINDOW_BITS)
-        for batch in batches:
+        for batch in slices(batches):
             for row, i, text, starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 starts = np.frombuffer(starts, np.int32)
                 keys = shingles(hashes(text.encode().split()), window)[starts] >> np.uint64(64 - WINDOW_BITS)
                 block.add(keys, i, row, starts)
-                if block.size >= exchange.BLOCK_KEYS:
+                if block.size >= BLOCK_KEYS:
                     yield block.flush()
         if block.size:
             yield block.flush()
@@ -127,7 +133,7 @@ def _covered(cells: DataFrame) -> DataFrame:
     """(row, starts): windows that also start in a document with a smaller id, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for r in batch.to_pylist():
                 runs = np.frombuffer(r["runs"], np.uint32)
@@ -172,18 +178,21 @@ def repeats(
     """
     spark = docs.sparkSession
     texts = text_of(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    # Anchors are about a fifth of the words; an owner's share is planned with 400 anchors a document.
-    owners = exchange.owners_for(spark, 400 * docs.count())
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    owners = exchange.owners_for(spark, size // ANCHOR_BYTES, OWNER_KEYS)
     cells = written(_anchor_cells(texts.where(F.col("id").isNotNull()), owners, window, anchor), "anchors")
     seeds = _seeds(exchange.with_bits(cells, owners, exchange.KEY_BITS, False), owners)
     found = written(_candidates(texts, seeds, window, anchor), "candidates")
     some = found.where(F.col("starts").isNotNull())
+    # Every word of a copy may begin a window, so there may be many more of these than of anchors.
+    windows = some.agg(F.sum(F.length("starts"))).first()[0] or 0
+    owners = exchange.owners_for(spark, windows // 4, OWNER_KEYS)
     cells = written(_window_cells(some, owners, window), "windows")
     covered = _covered(exchange.with_bits(cells, owners, WINDOW_BITS, True)).groupBy("row").agg(
         F.collect_list("starts").alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for i, text, parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = text.encode().split()

@@ -7,12 +7,15 @@ from collections import Counter, defaultdict
 import cases
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from flowspark.llm import (components, exact, golomb, lines, minhash, mixing, packing, pii, quality, repeats, tokens,
+from flowspark.llm import (components, exact, exchange, golomb, lines, minhash, mixing, packing, pii, quality, repeats, tokens,
                            toxicity)
+from flowspark.llm.common import slices
 from flowspark.llm.encoders import encoder
+from flowspark.llm.minhash import WordHashes
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -445,3 +448,28 @@ def test_empty_tables(spark, empty):
                 tokens.count_tokens(empty, BPE), quality.passing(empty), lines.drop_repeated_lines(empty),
                 minhash.one_of_each(empty), mixing.mixed(empty, F.lit("d"), {})):
         assert out.count() == 0
+
+
+def test_owners_of_repeats_are_planned_by_what_texts_hold(spark, monkeypatch):
+    # Few long texts: thousands of anchors each, and the copy's every window.
+    long = cases.prose(1, 8_000)
+    rows = [(1, long), (2, "own words first " + long), (3, cases.prose(2, 8_000)), (None, cases.prose(3, 500))]
+    docs, planned = cases.frame(spark, rows), []
+    whole = sorted(map(str, repeats.repeats(docs).collect()))
+    of = exchange.owners_for
+    monkeypatch.setattr(repeats.exchange, "owners_for", lambda spark, keys, *held: planned.append(keys) or of(spark, keys, *held))
+    monkeypatch.setattr(repeats, "OWNER_KEYS", 500)
+    monkeypatch.setattr(repeats, "BLOCK_KEYS", 700)
+    assert sorted(map(str, repeats.repeats(docs).collect())) == whole
+    hashes = WordHashes()
+    found = [len(np.unique(repeats.anchors(hashes(t.encode().split()))[0])) for i, t in rows if i]
+    assert planned[0] >= sum(found) > 400 * len(rows)
+    # Windows of both copies, counted.
+    assert 2 * (8_000 - 12) <= planned[1] <= 2 * 8_000 + 50
+
+
+def test_batches_are_taken_in_slices():
+    batch = pa.RecordBatch.from_pydict({"x": [bytes(100)] * 90 + [bytes(50_000)]})
+    cut = list(slices(iter([batch, batch.slice(0, 0)]), 6_000))
+    assert sum(b.num_rows for b in cut) == 91 and max(b.num_rows for b in cut) < 12
+    assert [b.num_rows for b in slices(iter([batch]), 1)] == [1] * 91
